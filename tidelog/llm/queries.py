@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, packing, tokens
+from . import chat, decontam, language, packing, tokens, topk
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -25,5 +29,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op4_token_counts, op8_decontamination, op9_best_fit_packing)}
-SQL = {"op2_chat_format": chat.CHAT_SQL}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op4_token_counts, op6_exact_topk, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+SQL = {"op2_chat_format": chat.CHAT_SQL, "op6_exact_topk": topk.TOPK_SQL}
