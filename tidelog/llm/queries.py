@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, language, packing, tokens, topk
+from . import chat, decontam, language, packing, pii, secrets, tokens, topk
 from .common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_report(rows.unionByName(chat.probe(spark)))
@@ -17,6 +21,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
 
@@ -33,5 +41,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op4_token_counts, op6_exact_topk, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op4_token_counts, op5_pii, op6_exact_topk, op8_decontamination, op9_best_fit_packing, op10_language_id)}
 SQL = {"op2_chat_format": chat.CHAT_SQL, "op6_exact_topk": topk.TOPK_SQL}
