@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, language, packing, pii, secrets, tokens, topk
+from . import chat, decontam, jaccard, language, packing, pii, secrets, tokens, topk
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(rows.unionByName(chat.probe(spark)))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op4_token_counts, op5_pii, op6_exact_topk, op8_decontamination, op9_best_fit_packing, op10_language_id)}
-SQL = {"op2_chat_format": chat.CHAT_SQL, "op6_exact_topk": topk.TOPK_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_jaccard_join, op4_token_counts, op5_pii, op6_exact_topk, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+SQL = {"op2_chat_format": chat.CHAT_SQL, "op3_jaccard_join": jaccard.SIMILAR_SQL, "op6_exact_topk": topk.TOPK_SQL}
