@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, jaccard, language, packing, pii
-from tidelog.llm.common import durable, table
+from tidelog.llm.common import stored, table
 
 #: Score under which a prediction counts as a rejection: no language of the corpus fits.
 LEAST_SCORE = 0.3
@@ -53,6 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs
