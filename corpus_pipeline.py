@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, jaccard, language, packing, pii
-from tidelog.llm.common import stored, table
+from tidelog.llm.common import fresh, stored, table
 
 #: Score under which a prediction counts as a rejection: no language of the corpus fits.
 LEAST_SCORE = 0.3
@@ -15,7 +15,8 @@ LEAST_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or of no learned language go."""
     model = language.train(docs.select("doc_id", "text", "lang"))
-    return language.predict(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    return language.predict(docs, model, (lang, score)).where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_spans") == 0).select(docs.columns)
+    names = fresh(docs.columns, "n_words", "spans", "items")
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), names=tuple(names))
+    return found.where(F.size(names[1]) == 0).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

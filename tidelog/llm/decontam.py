@@ -101,18 +101,19 @@ def item_blocks(items: DataFrame, window: int, block_patterns: int):
     yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_patterns: int = BLOCK_PATTERNS) -> DataFrame:
-    """All columns of docs, and n_words, spans (word ranges that occurrences cover), items (ids as sorted strings)."""
-    spark, out = docs.sparkSession, docs
-    names = docs.columns
-    taken = {n.lower() for n in names}
-    held = [n for n in ("_words", "_spans", "_items") if n in taken]
-    if held:
-        raise ValueError(f"columns {held} are the operator's own")
-    text_at = [n.lower() for n in names].index("text")
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_patterns: int = BLOCK_PATTERNS, names: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
+    """All columns of docs, and the number of words, the word ranges that occurrences cover, the items (ids as sorted strings).
+
+    names: of these three; columns of docs that have such a name are replaced.
+    """
+    spark, out = docs.sparkSession, docs.drop(*names)
+    kept = out.columns
+    text_at = [n.lower() for n in kept].index("text")
+    span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
+    schema = T.StructType([*out.schema.fields, *(T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.ArrayType(span), T.ArrayType(T.StringType())), strict=True))])
+    kinds = (pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()))
     for k, block in enumerate(item_blocks(items, window, block_patterns)):
         given = spark.sparkContext.broadcast(block)
-        schema = out.schema
 
         def run(batches, given=given, first=k == 0):
             matcher = Matcher(given.value, window)
@@ -122,18 +123,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_pat
                     w = words(text.as_py())
                     s, found = matcher.find(w)
                     if not first:
-                        s = union([(x["begin"], x["end"]) for x in batch.column("_spans")[i].as_py()] + s)
-                        found = found | set(batch.column("_items")[i].as_py())
+                        s = union([(x["begin"], x["end"]) for x in batch.column(names[1])[i].as_py()] + s)
+                        found = found | set(batch.column(names[2])[i].as_py())
                     n.append(len(w))
                     spans.append([{"begin": a, "end": b} for a, b in s])
                     ids.append(sorted(found))
-                kinds = (pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()))
-                arrays = [batch.column(c) for c in range(len(names))] + [pa.array(v, t) for v, t in zip((n, spans, ids), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "_words", "_spans", "_items"])
+                arrays = [batch.column(c) for c in range(len(kept))] + [pa.array(v, t) for v, t in zip((n, spans, ids), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-        if k == 0:
-            span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
-            schema = T.StructType([*schema.fields, T.StructField("_words", T.LongType()), T.StructField("_spans", T.ArrayType(span)), T.StructField("_items", T.ArrayType(T.StringType()))])
         out = out.mapInArrow(run, schema)
     return out
 
@@ -151,12 +148,25 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def contamination_report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The counts and digests of contamination() for each row."""
     found = contamination(docs.select("doc_id", "text"), items, window)
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
     return found.select(
         "doc_id",
-        F.col("_words").alias("n_words"),
+        "n_words",
         n_hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+CONTAMINATION_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i : i + least(10, len(w)) - 1], ' '))) AS g FROM b WHERE len(w) > 0),
+g AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS g FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m),
+o AS (SELECT doc_id, item_id, i, m FROM g JOIN p USING (m, g)),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM o) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -188,18 +188,18 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     return Model(languages, w, bias, idf, temperature(logits, np.array([c for *_, c in check], int)))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and lang_pred, score."""
-    names, given = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
-    at = [n.lower() for n in names].index("text")
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, and the language and score; columns of docs that have one of their names are replaced."""
+    rows = docs.drop(*names)
+    kept, given = rows.columns, docs.sparkSession.sparkContext.broadcast(model)
+    at = [n.lower() for n in kept].index("text")
 
     def run(batches):
         for batch in batches:
             got = [given.value.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*kept, *names])
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema)
 
 
 def language_report(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

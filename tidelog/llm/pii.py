@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh
 from .spans import attach, matches, of_kind, spans_text
 
 #: Contract patterns. Possessive and bounded forms that match the same strings in linear time, without deep recursion.
@@ -154,11 +154,12 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text, and n_chars of the new text where there is such a column."""
     rows, added = pii_spans(docs.select("doc_id", "text"))
     base = F.concat(*[of_kind(F.col(f"_{k}"), k, i) for i, k in enumerate(KINDS)])
-    per_text = rows.select("key", base.alias("_base")).where(F.size("_base") > 0).dropDuplicates(["key"])
-    marks = per_text.join(added, "key", "full").select("key", F.concat(F.coalesce("_base", F.slice("added", 1, 0)), F.coalesce("added", F.slice("_base", 1, 0))).alias("_marks"))
-    held = attach(docs.withColumn("key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), durable(marks), "key")
-    clean = F.when(F.col("_marks").isNotNull(), masked(F.col("text"), F.col("_marks"))).otherwise(F.col("text"))
-    out = held.withColumn("text", clean)
+    key, mark = fresh(docs.columns, "key", "marks")
+    per_text = rows.select("key", base.alias("base")).where(F.size("base") > 0).dropDuplicates(["key"])
+    marks = per_text.join(added, "key", "full").select(F.col("key").alias(key), F.concat(F.coalesce("base", F.slice("added", 1, 0)), F.coalesce("added", F.slice("base", 1, 0))).alias(mark))
+    held = attach(docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), durable(marks), key)
+    found = F.col(mark).isNotNull()
+    changed = {"text": F.when(found, masked(F.col("text"), F.col(mark))).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_marks").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(found, F.length(changed["text"]).cast("long")).otherwise(F.col("n_chars"))
+    return held.withColumns(changed).select(docs.columns)

@@ -46,4 +46,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_jaccard_join, op4_token_counts, op5_pii, op6_exact_topk, op8_decontamination, op9_best_fit_packing, op10_language_id)}
-SQL = {"op2_chat_format": chat.CHAT_SQL, "op3_jaccard_join": jaccard.SIMILAR_SQL, "op6_exact_topk": topk.TOPK_SQL}
+SQL = {"op2_chat_format": chat.CHAT_SQL, "op3_jaccard_join": jaccard.SIMILAR_SQL, "op6_exact_topk": topk.TOPK_SQL, "op8_decontamination": decontam.CONTAMINATION_SQL}
