@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, language, packing, pii, secrets, tokens, topk
+from . import chat, decontam, jaccard, language, packing, pii, repeats, secrets, tokens, topk
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,5 +49,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_jaccard_join, op4_token_counts, op5_pii, op6_exact_topk, op8_decontamination, op9_best_fit_packing, op10_language_id)}
-SQL = {"op2_chat_format": chat.CHAT_SQL, "op3_jaccard_join": jaccard.SIMILAR_SQL, "op6_exact_topk": topk.TOPK_SQL, "op8_decontamination": decontam.CONTAMINATION_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_jaccard_join, op4_token_counts, op5_pii, op6_exact_topk, op7_substring_dedup, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+SQL = {"op2_chat_format": chat.CHAT_SQL, "op3_jaccard_join": jaccard.SIMILAR_SQL, "op6_exact_topk": topk.TOPK_SQL, "op7_substring_dedup": repeats.REPEATS_SQL, "op8_decontamination": decontam.CONTAMINATION_SQL}
