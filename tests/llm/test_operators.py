@@ -98,7 +98,8 @@ def test_jaccard_signatures_lose_no_link():
                 if len(b) > 3 * len(a) + 5:
                     break
             if not np.array_equal(a, b):
-                assert np.intersect1d(windows.signatures(a), windows.signatures(b)).size
+                x, y = ({w: (spare, set(sigs.tolist())) for w, spare, sigs in windows.signatures(s)} for s in (a, b))
+                assert any(len(x[w][1] & y[w][1]) > max(x[w][0], y[w][0]) for w in x.keys() & y.keys())
 
 
 def test_jaccard_keeps_one_of_each_group(spark):
@@ -289,3 +290,40 @@ def test_pipeline(spark, sf):
         extra = stage(spark, extra, sf)
     assert extra.columns == [*docs.columns, "key", "score", "items", "marks"]
     assert extra.where("key = 'x' and score = 1 and items = 'y' and marks = 2").count() == extra.count() > 0
+
+
+def test_substring_dedup(spark):
+    from tidelog.llm import repeats
+
+    r = random.Random(11)
+    pool = [" ".join(r.choice(["aa", "Bé", "cc", "dd"]) for _ in range(r.randint(1, 9))) + r.choice([".", "! ", ".\n", "\n", "?  "]) for _ in range(60)]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(120)] + [None, "", "...", "x y " * 4000]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        kept, gone = "", []
+        for m in re.finditer(r"[^\n.!?]+[.!?]*[ \t\r\n]*|[\n.!?]+[ \t\r\n]*", t or ""):
+            p = re.sub(r"[ \t\r\n]+", " ", m.group().lower()).strip(" ")
+            if len(p.split(" ")) >= repeats.MIN_WORDS and p in seen:
+                gone.append(f"{m.start()}:{m.end()}")
+            else:
+                kept += m.group()
+                seen.add(p)
+        want[i] = (len(gone), ",".join(gone), kept if t is not None else None)
+    df = docs_of(spark, texts)
+    got = repeats.without_repeats(df.unionByName(df.where("doc_id = 3")).repartition(4)).collect()
+    assert len(got) == len(texts) + 1
+    assert {x["doc_id"]: tuple(x)[1:] for x in got} == want
+    assert repeats.without_repeats(df.limit(0)).count() == 0
+
+
+def test_components_of_long_paths(spark):
+    from tidelog.llm.graph import components
+
+    r = random.Random(3)
+    names = r.sample(range(-1000, 1000), 300)
+    edges = [(names[i], names[i + 1]) for i in range(199)] + [(names[i], names[250]) for i in range(210, 260)] + [(5000, 5000)]
+    got = {x["u"]: x["v"] for x in components(spark.createDataFrame(edges * 2, "u long, v long")).collect()}
+    for part in (names[:200], names[210:260]):
+        assert {n: min(part) for n in part if n != min(part)}.items() <= got.items()
+    assert len(got) == 199 + 49
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters handled together by the vectorised text code: bounds its temporaries to some tens of MB.
 CHUNK_CHARS = 1 << 19
+#: Rows of text that go to a Python worker at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """Lets few rows at once go to Python workers, as texts may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """names, each with as many underscores in front as it takes to differ from those taken."""
     held, out = {t.lower() for t in taken}, []

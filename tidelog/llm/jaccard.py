@@ -6,36 +6,41 @@ into three; as k < 2 * n1, linked sets differ by one element at most in some ran
 (range, two thirds) gives a signature from the elements there, and only sets with a common signature are compared.
 
 Ranges whose two thirds are empty say nothing. With n1 over (k + 1) / 2 by a margin m, linked sets agree in m + 1 ranges at
-least, so a set with m empty ones at most needs no signature for them, and another one needs one for each choice of m + 1.
+least, so a set with m empty ones at most needs no signatures for them; m is such that few sets have more. Those that do get
+signatures for them too, which they share only with each other.
 
-Signatures travel packed by bucket, copies of a set in one task once. In a signature's group, all are compared with the least
-member first; of groups that still lie in several components, the other pairs between components follow, except those whose
-sizes or counts over the hash domain prove them too different. No pair within a component needs a comparison, so large groups
-of near copies cost a row for each member, not for each pair; nothing is capped.
+Signatures travel packed by bucket, copies of a set in one task once. Linked sets share at least a signature for each of the
+m + 1 ranges that aren't empty, so each set may leave as many of its largest groups, less one, without losing a partner. In a
+group, all are compared with the least member first; of groups that still lie in several components, the other pairs between
+components follow, except those whose sizes or counts over the hash domain prove them too different. No pair within a component
+needs a comparison, so large groups of near copies cost a row for each member, not for each pair; nothing is capped.
 
 Null and empty texts have no set and are alone. Null ids are never a component's id. Repeated rows are equal sets.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, durable, shuffle_width, splitmix, symbol_codes
+from .common import Rolling, chunks, durable, lean, shuffle_width, splitmix, symbol_codes
 from .graph import components
 
 #: Growth of the size windows.
 GROWTH = 1.3
+#: Share of the least sets of a window that may need signatures for empty ranges, where a margin can bring it about.
+RARE = 0.1
 #: Counts in the summary that bounds an overlap from above.
 SUMMARY = 128
 #: Bytes of packed signatures that a task holds at most.
-FLUSH = 64 << 20
+FLUSH = 12 << 20
 #: Parts into which a node's comparisons are dealt, so that a much compared one doesn't stay in one task.
 SALTS = 64
 #: Nodes whose ids may be broadcast to pick their texts (8 bytes each); more are joined by shuffle.
@@ -106,14 +111,24 @@ class Windows:
     def scheme(self, w: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(bounds of the thirds, tag of each signature, margin)."""
         k = self.distance(w)
-        margin = 0 if k < 4 else 1 if k < 12 else 2
-        thirds = 3 * (k // 2 + 1 + margin)
+        least = -(-self.num * self.begin(w) // self.den)
+        base = k // 2 + 1
+
+        def thin(m: int) -> float:
+            """About the share of the window's least sets with more than m empty ranges."""
+            mean = 3 * (base + m) * exp(-2 * least / (3 * (base + m)))
+            return 1 - sum(exp(i * log(mean) - mean - lgamma(i + 1)) for i in range(m + 1)) if mean else 0.0
+
+        margin = next((m for m in range(base + 1) if thin(m) <= RARE), None)
+        if margin is None:
+            margin = min(range(base + 1), key=thin)
+        thirds = 3 * (base + margin)
         bounds = np.array([(i << 64) // thirds for i in range(1, thirds)], np.uint64)
         tags = splitmix((np.uint64(w) << np.uint64(40)) + np.arange(thirds, dtype=np.uint64) + DOUBLE)
         return bounds, tags.reshape(-1, 3), margin
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set."""
+    def signatures(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(window, spare, signatures) of a sorted set; it shares more than spare of them with any linked set of that window."""
         out = []
         with np.errstate(over="ignore"):
             sums = np.concatenate([[np.uint64(0)], np.cumsum(splitmix(s ^ DOUBLE), dtype=np.uint64)])
@@ -122,16 +137,13 @@ class Windows:
                 at = np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]])
                 part = np.diff(sums[at]).reshape(-1, 3)
                 size = np.diff(at).reshape(-1, 3)
-                left = size.sum(1, keepdims=True) - size
-                values = splitmix((part.sum(1, keepdims=True, dtype=np.uint64) - part) ^ tags)
-                full = left > 0
-                out.append(values[full])
-                empty = np.argwhere(~full)
-                if len(np.unique(empty[:, 0])) > margin:
-                    for choice in combinations(empty.tolist(), margin + 1):
-                        if len({r for r, _ in choice}) == margin + 1:
-                            out.append(splitmix(np.array([sum(int(tags[r, t]) * (2 * i + 3) for i, (r, t) in enumerate(choice)) % (1 << 64)], np.uint64)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                full = size.sum(1, keepdims=True) > size
+                values = splitmix((part.sum(1, keepdims=True, dtype=np.uint64) - part) ^ tags)[full]
+                spare = margin - int((~full).any(1).sum())
+                if spare < 0:
+                    values = np.concatenate([values, splitmix(~tags[~full])])
+                out.append((w, min(max(spare, 0), 255), values))
+        return out
 
 
 def pack6(s: np.ndarray) -> bytes:
@@ -145,6 +157,24 @@ def unpack6(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+#: A signature on its way to its group, and a node in a group.
+ROW = np.dtype([("sig", "u1", 6), ("node", "<i8"), ("window", "u1"), ("spare", "u1")])
+MEMBER = np.dtype([("node", "<i8"), ("spare", "u1")])
+
+
+def packed(sigs: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Rows of 16 bytes; of signatures the lower 48 bits, as the bucket tells of the upper ones."""
+    rest["sig"] = sigs.view(np.uint8).reshape(-1, 8)[:, :6]
+    return rest
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(data, ROW)
+    sigs = np.zeros((len(rows), 8), np.uint8)
+    sigs[:, :6] = rows["sig"]
+    return sigs.view("<u8").ravel(), rows
+
+
 def with_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
@@ -164,17 +194,16 @@ def nodes_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def signature_groups(docs: DataFrame, size: int, windows: Windows) -> DataFrame:
-    """members (sorted nodes, packed) of each group of nodes that share a signature; equal groups once."""
+    """members (nodes and their spares, packed), window, times: the groups of nodes that share signatures, and how many they share."""
     width = shuffle_width(docs.sparkSession)
     buckets = 4 * max(256, width)
-    row = np.dtype([("sig", "<u8"), ("node", "<i8")])
 
-    def emit(held: list[np.ndarray]):
+    def emit(held: list[tuple[np.ndarray, np.ndarray]]):
         if held:
-            rows = np.concatenate(held)
-            bucket = ((rows["sig"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            sigs, rows = (np.concatenate([h[i] for h in held]) for i in range(2))
+            bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
+            rows, bucket = packed(sigs[order], rows[order]), bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
             blobs = [rows[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(rows)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
@@ -185,52 +214,75 @@ def signature_groups(docs: DataFrame, size: int, windows: Windows) -> DataFrame:
             for _, s in shingle_sets(batch.column(0).to_pylist(), size):
                 if len(s) and (node := node_of(s)) not in done:
                     done.add(node)
-                    sigs = windows.signatures(s)
-                    rows = np.empty(len(sigs), row)
-                    rows["sig"], rows["node"] = sigs, node
-                    held.append(rows)
-                    total += rows.nbytes
+                    for window, spare, sigs in windows.signatures(s):
+                        rows = np.empty(len(sigs), ROW)
+                        rows["node"], rows["window"], rows["spare"] = node, window, spare
+                        held.append((sigs, rows))
+                        total += 24 * len(sigs)
                     if total > FLUSH:
                         yield from emit(held)
                         held, total = [], 0
         yield from emit(held)
 
+    def told(out: Counter) -> pa.RecordBatch:
+        keys = list(out)
+        return pa.RecordBatch.from_arrays([pa.array([m for _, m in keys], pa.binary()), pa.array([w for w, _ in keys], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["members", "window", "times"])
+
     def group(batches):
         def groups(blobs: list[bytes]):
-            rows = np.unique(np.frombuffer(b"".join(blobs), row))
-            cut = np.flatnonzero(np.diff(rows["sig"], prepend=rows["sig"][:1] ^ np.uint64(1)))
-            n = np.diff(np.r_[cut, len(rows)])
+            sigs, rows = unpacked(b"".join(blobs))
+            order = np.lexsort((rows["node"], sigs))
+            sigs, nodes, rows = sigs[order], rows["node"][order], rows[order]
+            new = np.r_[True, (np.diff(sigs) != 0) | (np.diff(nodes) != 0)]
+            sigs, rows = sigs[new], rows[new]
+            cut = np.flatnonzero(np.r_[True, np.diff(sigs) != 0])
+            n = np.diff(np.r_[cut, len(sigs)])
             for a, m in zip(cut[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-                yield rows["node"][a : a + m].tobytes()
+                yield int(rows["window"][a]), rows[["node", "spare"]][a : a + m].astype(MEMBER).tobytes()
 
-        bucket, blobs, out = None, [], set()
+        bucket, blobs, out = None, [], Counter()
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != bucket and blobs:
                     out.update(groups(blobs))
                     blobs = []
                     if len(out) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary())], names=["members"])
-                        out = set()
+                        yield told(out)
+                        out = Counter()
                 bucket = b
                 blobs.append(blob)
         out.update(groups(blobs) if blobs else ())
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary())], names=["members"])
+        yield told(out)
 
     signed = with_text(docs).select("text").mapInArrow(sign, "bucket int, rows binary")
-    return signed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(group, "members binary").distinct()
+    found = signed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(group, "members binary, window int, times long")
+    return found.groupBy("members", "window").agg(F.sum("times").alias("times"))
 
 
-def first_pairs(groups: DataFrame) -> DataFrame:
-    """p, m: each group's least node with all others."""
+def memberships(groups: DataFrame) -> DataFrame:
+    """gid, node: what is left of the groups when each node leaves the largest ones that it can spare (a prefix filter).
 
-    def run(batches):
+    Linked nodes share more signatures than either can spare, so they still meet in the least group that has both.
+    """
+
+    def spread(batches):
         for batch in batches:
-            for members in batch.column(0).to_pylist():
-                x = np.frombuffer(members, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x) - 1, x[0])), pa.array(x[1:])], names=["p", "m"])
+            members = [np.frombuffer(m, MEMBER) for m in batch.column("members").to_pylist()]
+            sizes = np.array([len(m) for m in members], np.int64)
+            every = np.concatenate(members) if members else np.zeros(0, MEMBER)
+            repeated = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("gid", "window", "times")]
+            yield pa.RecordBatch.from_arrays([*repeated, pa.array(np.repeat(sizes, sizes)), pa.array(np.ascontiguousarray(every["node"])), pa.array(every["spare"].astype(np.int32))], names=["gid", "window", "times", "n", "node", "spare"])
+
+    named = groups.select(F.xxhash64("members", "window").alias("gid"), "members", "window", "times")
+    rows = named.mapInArrow(spread, "gid long, window int, times long, n long, node long, spare int")
+    down = Window.partitionBy("node", "window").orderBy(F.desc("n"), "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_left", F.sum("times").over(down)).where(F.col("_left") > F.col("spare")).select("gid", "node")
 
-    return groups.mapInArrow(run, "p long, m long").distinct()
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """p, m: each group's least node with all others."""
+    least = members.groupBy("gid").agg(F.min("node").alias("p"), F.max("node").alias("_m")).where("p <> _m").drop("_m")
+    return members.join(least, "gid").where("node <> p").select("p", F.col("node").alias("m")).distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -278,56 +330,67 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("p", "m", "elements").mapInArrow(compare, "u long, v long")
 
 
-def other_pairs(groups: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """p, m: pairs of a group, without its least node, in different components, unless sizes or summaries rule them out."""
-
-    def spread(batches):
+def other_pairs(members: DataFrame, stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """p, m: pairs of a group in different components, but those with its least node, unless sizes or summaries rule them out."""
+    rows = members.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rows.groupBy("gid").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("a <> b and n > 2").select("gid", "least")
+    left = durable(rows.join(split, "gid").where("node <> least").drop("least"))
+    own = left.groupBy("node").agg(F.sort_array(F.collect_list("gid")).alias("gids"))
+    left = left.join(own, "node").join(sets.select("node", "n", "summary"), "node")
+
+    def pairs_of(gid: int, held: list[tuple]):
+        """A pair is told of by the first group that has both."""
+        held.sort(key=lambda r: r[1])
+        node, n, root = (np.array([r[c] for r in held]) for c in range(3))
+        summary = np.frombuffer(b"".join(r[3] for r in held), np.uint16).reshape(len(n), SUMMARY).astype(np.int32)
+        ends = np.searchsorted(n, n * den // num, "right")
+        for i in range(len(n) - 1):
+            for a in range(i + 1, int(ends[i]), 4096):
+                hit = np.flatnonzero(root[a : min(int(ends[i]), a + 4096)] != root[i]) + a
+                if len(hit):
+                    common = np.minimum(summary[i], summary[hit]).sum(1)
+                    for j in hit[den * common >= num * (n[i] + n[hit] - common)].tolist():
+                        if np.intersect1d(held[i][4], held[j][4], assume_unique=True)[0] == gid:
+                            yield int(node[i]), int(node[j])
+
+    def told(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["p", "m"])
+
+    def cross(batches):
+        at, held = None, []
         for batch in batches:
-            members = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
-            sizes = [len(m) for m in members]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(batch.column(0)), sizes)), pa.array(np.concatenate(members) if members else np.zeros(0, np.int64)), pa.array(np.concatenate([np.arange(n) == 0 for n in sizes]) if sizes else np.zeros(0, bool))],
-                names=["gid", "node", "first"],
-            )
-
-    large = groups.where(F.octet_length("members") > 16).select(F.xxhash64("members", F.octet_length("members")).alias("gid"), "members")
-    rows = large.mapInArrow(spread, "gid long, node long, first boolean")
-    rows = rows.join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rows.groupBy("gid").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gid")
-    left = rows.join(split, "gid").where("not first").join(sets.select("node", "n", "summary"), "node")
-
-    def cross(table):
-        n, root, node = (table.column(c).to_numpy() for c in ("n", "root", "node"))
-        summary = np.frombuffer(b"".join(table.column("summary").to_pylist()), np.uint16).reshape(len(n), SUMMARY).astype(np.int32)
-        order = np.argsort(n, kind="stable")
-        n, root, node, summary = n[order], root[order], node[order], summary[order]
-        p, m = [], []
-        for i in range(len(n)):
-            end = int(np.searchsorted(n, n[i] * den // num, "right"))
-            for a in range(i + 1, end, 4096):
-                b = min(end, a + 4096)
-                common = np.minimum(summary[i], summary[a:b]).sum(1)
-                hit = np.flatnonzero((root[a:b] != root[i]) & (den * common >= num * (n[i] + n[a:b] - common))) + a
-                p += [int(node[i])] * len(hit)
-                m += node[hit].tolist()
-        return pa.table({"p": pa.array(p, pa.int64()), "m": pa.array(m, pa.int64())})
-
-    found = left.groupBy("gid").applyInArrow(lambda t: cross(t), "p long, m long")
+            out = []
+            lists = batch.column("gids")
+            ids, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            rows = zip(*(batch.column(c).to_pylist() for c in ("gid", "node", "n", "root", "summary")), strict=True)
+            for k, (gid, *row) in enumerate(rows):
+                if gid != at and held:
+                    out += pairs_of(at, held)
+                    held = []
+                at = gid
+                held.append((*row, ids[cuts[k] : cuts[k + 1]]))
+            yield told(out)
+        if held:
+            yield told(list(pairs_of(at, held)))
+
+    width = shuffle_width(members.sparkSession)
+    found = left.repartition(width, "gid").sortWithinPartitions("gid").mapInArrow(cross, "p long, m long")
     return found.select(F.least("p", "m").alias("p"), F.greatest("p", "m").alias("m")).distinct()
 
 
 def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; links hold where den * |intersection| >= num * |union|."""
+    lean(docs.sparkSession)
     windows = Windows(num, den)
     named = durable(nodes_of(docs, size))
     nodes = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    groups = durable(signature_groups(docs, size, windows))
-    pairs = durable(first_pairs(groups))
+    members = durable(memberships(signature_groups(docs, size, windows)))
+    pairs = durable(first_pairs(members))
     met = pairs.select(F.explode(F.array("p", "m")).alias("node")).distinct()
     sets = durable(sets_of(docs, durable(nodes.join(met, "node", "left_semi").select("doc_id")), size))
     links = durable(linked(pairs, sets, num, den))
     stars = components(links)
-    more = durable(other_pairs(groups, stars, sets, num, den))
+    more = durable(other_pairs(members, stars, sets, num, den))
     if not more.isEmpty():
         stars = components(stars.unionByName(linked(more, sets, num, den)))
     rooted = nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
