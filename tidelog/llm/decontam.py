@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Patterns sent to the workers at once.
 BLOCK_PATTERNS = 500_000
@@ -107,6 +109,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_pat
     names: of these three; columns of docs that have such a name are replaced.
     """
     spark, out = docs.sparkSession, docs.drop(*names)
+    lean(spark)
     kept = out.columns
     text_at = [n.lower() for n in kept].index("text")
     span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])

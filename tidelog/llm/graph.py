@@ -16,22 +16,18 @@ def oriented(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node but the least of its component, and that least node. edges: u, v, in any order."""
     e = durable(oriented(edges))
-    state = mark(e)
-    while state[0]:
+    while not is_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = oriented(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(down, "u")
         e = durable(oriented(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))))
-        if (now := mark(e)) == state:
-            break
-        state = now
     return e
 
 
-def mark(e: DataFrame) -> tuple:
-    """Count and order-free checksum of the edges."""
-    low = F.lit(0xFFFFFFFF).cast("long")
-    r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(low)), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(r)
+def is_stars(e: DataFrame) -> bool:
+    """Whether each node hangs on one node at most, and none that hangs has others hanging on it."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    each = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return each.where("hangs > 1 or (hangs > 0 and holds > 0)").isEmpty()

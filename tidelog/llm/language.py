@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BITS = 14
 #: Labelled rows of each language to learn from, about.
 SAMPLE_PER_LANGUAGE = 1500
@@ -175,6 +177,7 @@ def temperature(logits: np.ndarray, classes: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+    lean(docs.sparkSession)
     rows = training_rows(docs)
     n, df = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -190,6 +193,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All columns of docs, and the language and score; columns of docs that have one of their names are replaced."""
+    lean(docs.sparkSession)
     rows = docs.drop(*names)
     kept, given = rows.columns, docs.sparkSession.sparkContext.broadcast(model)
     at = [n.lower() for n in kept].index("text")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, lean
 from .tokens import default_tokenizer, loaded
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,6 +38,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """A row for each piece of each document, with the checksum of its ids."""
+    lean(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def run(batches):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, symbol_codes
+from .common import Rolling, chunks, lean, symbol_codes
 
 #: Code points below this are split by table.
 PLANE = 0x3000
@@ -215,6 +215,7 @@ def loaded(path: str) -> BulkTokenizer:
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for each row of docs. Rows map one to one; no shuffle."""
+    lean(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def run(batches):
