@@ -174,13 +174,13 @@ def test_packing(spark, library):
 def test_packing_exchanges_between_partitions(spark):
     r = random.Random(1)
     rows = [(i, 0, 0, r.randint(1, 99), i) for i in range(3000)]
-    got = packing.pack(spark.createDataFrame(rows, packing.PIECE), 100, partition_pieces=100).collect()
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECE), 100, partition_pieces=500).collect()
     assert sorted(x["doc_id"] for x in got) == list(range(3000))
     fill = defaultdict(int)
     for x in got:
         fill[x["sequence_id"]] += x["length"]
     assert max(fill.values()) <= 100
-    assert len(fill) <= packing.lower_bound(np.array([x[3] for x in rows]), 100) * 1.01 + 1
+    assert len(fill) <= packing.lower_bound(np.array([x[3] for x in rows]), 100) * 1.02 + 1
 
 
 def test_lower_bound_never_exceeds_a_packing():
@@ -243,12 +243,11 @@ def test_decontamination(spark):
 def test_language(spark):
     r = random.Random(5)
     pieces = {"xx": ["ka", "to", "mi", "ra"], "yy": ["schl", "ung", "keit", "ver"], "zz": ["eau", "oi", "ç", "ent"]}
-    texts, langs = [], {}
+    texts, langs, truth = [], {}, {}
     for i in range(600):
-        lang = r.choice(list(pieces))
+        lang = truth[i] = r.choice(list(pieces))
         texts.append(" ".join("".join(r.choice(pieces[lang]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 30))))
         langs[i] = lang if r.random() > 0.02 else None
-    truth = {i: next(k for k, v in pieces.items() if any(p in t for p in v)) for i, t in enumerate(texts)}
     texts += [None, "", "123 !?", "ka " * 20000]
     got = {x["doc_id"]: x for x in language.language_report(docs_of(spark, texts, langs), per_language=100).collect()}
     assert len(got) == len(texts)
