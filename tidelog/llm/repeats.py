@@ -19,10 +19,6 @@ from .spans import sums_before
 
 UNIT = r"[^\n.!?]++[.!?]*+[ \t\r\n]*+|[\n.!?]++[ \t\r\n]*+"
 MIN_WORDS = 6
-#: Digests of repeated units that may be broadcast (48 bytes each); more are joined by shuffle.
-BROADCAST_DIGESTS = 300_000
-#: Documents with removed units that may be broadcast.
-BROADCAST_DOCUMENTS = 50_000
 
 
 def units_of(docs: DataFrame) -> DataFrame:
@@ -41,19 +37,16 @@ def removed_units(docs: DataFrame) -> DataFrame:
     units = units_of(docs)
     rank = F.struct("doc_id", "start", "twin")
     first = units.groupBy("a", "b").agg(F.min(rank).alias("first"), F.max(rank).alias("_last")).where("first <> _last").drop("_last")
-    first = durable(first)
-    few = first.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    later = units.join(F.broadcast(first) if few else first, ["a", "b"]).where(rank != F.col("first"))
+    later = units.join(durable(first), ["a", "b"]).where(rank != F.col("first"))
     return durable(later.groupBy("doc_id", "twin").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_removed, removed (start:end in the original text, comma-joined), text (what stays) of each row."""
     gone = removed_units(docs).withColumnsRenamed({"doc_id": "_id", "twin": "_twin"})
-    few = gone.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "text", F.xxhash64(text, F.length(text)).alias("twin"))
-    held = rows.join(F.broadcast(gone) if few else gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["twin"] == gone["_twin"]), "left")
+    held = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["twin"] == gone["_twin"]), "left")
     step = "struct<at:bigint,parts:array<string>>"
     none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts")).cast(step)
     piece = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
