@@ -315,6 +315,53 @@ def test_substring_dedup(spark):
     assert repeats.without_repeats(df.limit(0)).count() == 0
 
 
+def test_line_dedup(spark):
+    from tidelog.llm import repeats
+
+    r = random.Random(12)
+    pool = [" ".join(r.choice(["aa", "Bé", "cc", "dd"]) for _ in range(r.randint(1, 9))) + r.choice([".", "! ", ".\n", "\n", "?  ", " \r\n\n ", "...\n"]) for _ in range(60)]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(120)]
+    texts += [None, "", "...", "\n---\n---\n", " \nles.\n.\n.les", "LES.\nx", "Short one. Two! Three? So on.\ny", "z\nshort  one. two! Three? so on.", "x y " * 4000]
+    seen, want = set(), {}
+    norm = lambda u: re.sub(r"[ \t\r\n]+", " ", u.lower()).strip(" ")
+    for i, t in enumerate(texts):
+        kept, gone = "", []
+        for m in re.finditer(r"[^\n]*\n[ \t\r\n]*|[^\n]+", t or ""):
+            parts = [(x.group(), m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^\n.!?]+[.!?]*[ \t\r\n]*|[\n.!?]+[ \t\r\n]*", m.group())]
+            whole = norm(m.group())
+            if not re.search(r"\w", whole):
+                kept += m.group()
+            elif whole in seen:
+                gone.append(f"{m.start()}:{m.end()}")
+            else:
+                for u, start, end in parts:
+                    p = norm(u)
+                    if len(p.split(" ")) >= repeats.MIN_WORDS and p != whole and p in seen:
+                        gone.append(f"{start}:{end}")
+                    else:
+                        kept += u
+                        seen |= {p} if len(p.split(" ")) >= repeats.MIN_WORDS else set()
+                seen.add(whole)
+        want[i] = (len(gone), ",".join(gone), kept if t is not None else None)
+    df = docs_of(spark, texts)
+    got = repeats.without_repeats(df.unionByName(df.where("doc_id = 3")).repartition(4), repeats.lines_of).collect()
+    assert len(got) == len(texts) + 1
+    assert {x["doc_id"]: tuple(x)[1:] for x in got} == want
+    assert want[125][2] == "x" and want[127][2] == "z\n"
+    assert repeats.without_repeats(df.limit(0), repeats.lines_of).count() == 0
+
+
+def test_line_dedup_equals_duckdb(spark, sf):
+    import duckdb
+
+    from tidelog.llm.queries import QUERIES, SQL
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.sql(SQL["op7_line_dedup"])
+    assert sorted(map(tuple, QUERIES["op7_line_dedup"](spark, sf).select(want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_components_of_long_paths(spark):
     from tidelog.llm.graph import components
 

@@ -37,6 +37,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines of any length, and sentences in addition."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), repeats.lines_of)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,5 +54,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_jaccard_join, op4_token_counts, op5_pii, op6_exact_topk, op7_substring_dedup, op8_decontamination, op9_best_fit_packing, op10_language_id)}
-SQL = {"op2_chat_format": chat.CHAT_SQL, "op3_jaccard_join": jaccard.SIMILAR_SQL, "op6_exact_topk": topk.TOPK_SQL, "op7_substring_dedup": repeats.REPEATS_SQL, "op8_decontamination": decontam.CONTAMINATION_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_jaccard_join, op4_token_counts, op5_pii, op6_exact_topk, op7_substring_dedup, op7_line_dedup, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+SQL = {"op2_chat_format": chat.CHAT_SQL, "op3_jaccard_join": jaccard.SIMILAR_SQL, "op6_exact_topk": topk.TOPK_SQL, "op7_substring_dedup": repeats.REPEATS_SQL, "op7_line_dedup": repeats.LINES_SQL, "op8_decontamination": decontam.CONTAMINATION_SQL}

@@ -5,20 +5,28 @@ Units are normalised (lower case, single spaces) and grouped by a digest of 128
 occurrence that ranks first (least doc_id, then place) stays; the others are removed, and their places in the original text kept.
 Units of fewer than MIN_WORDS words always stay: short ones repeat by chance.
 
+With lines_of the units are whole lines of any length that have a word, and in addition the sentences of MIN_WORDS words or more
+of lines that have several. Lines and sentences that are equal share a digest. A line that goes takes its sentences with it; a
+line that ranks before it has equal ones, so of each digest the first occurrence still stays.
+
 A null text counts as empty; a null id ranks before all others. Rows with equal id and text are one document, so a repeated row
 loses nothing to its twin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, stored
 from .spans import sums_before
 
 UNIT = r"[^\n.!?]++[.!?]*+[ \t\r\n]*+|[\n.!?]++[ \t\r\n]*+"
 MIN_WORDS = 6
+LINE = r"[^\n]*+\n[ \t\r\n]*+|[^\n]++"
+WORD = r"[\p{L}\p{N}]"
 
 
 def units_of(docs: DataFrame) -> DataFrame:
@@ -32,18 +40,45 @@ def units_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "twin", "start", "end", F.xxhash64("plain").alias("a"), F.xxhash64(F.lit(7), "plain").alias("b"))
 
 
-def removed_units(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, twin, start, end, a, b of each line with a word, and of each sentence that is long enough of lines with several.
+
+    Written once, as cutting costs more than reading twice.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cut = docs.select("doc_id", F.xxhash64(text, F.length(text)).alias("twin"), F.regexp_extract_all(text, F.lit(LINE), F.lit(0)).alias("u")).where(F.size("u") > 0)
+    starts = sums_before(F.transform("u", lambda u: F.length(u).cast("long")))
+    lines = cut.select("doc_id", "twin", F.explode(F.arrays_zip(F.col("u").alias("u"), starts.alias("at"))).alias("x")).select("doc_id", "twin", "x.u", "x.at")
+    lines = lines.where(F.col("u").rlike(WORD)).withColumn("s", F.regexp_extract_all("u", F.lit(UNIT), F.lit(0)))
+    inner = F.zip_with("s", sums_before(F.transform("s", lambda u: F.length(u).cast("long"))), lambda u, n: F.struct(u.alias("u"), (F.col("at") + n).alias("start"), F.lit(MIN_WORDS).alias("least")))
+    each = F.concat(F.array(F.struct("u", F.col("at").alias("start"), F.lit(1).alias("least"))), F.when(F.size("s") > 1, inner).otherwise(F.slice(inner, 1, 0)))
+    rows = lines.select("doc_id", "twin", F.explode(each).alias("x")).select("doc_id", "twin", "x.*")
+    plain = F.trim(F.regexp_replace(F.lower("u"), r"[ \t\r\n]+", " "))
+    rows = rows.select("doc_id", "twin", "start", (F.col("start") + F.length("u")).alias("end"), "least", plain.alias("plain")).where(F.length("plain") - F.length(F.replace("plain", F.lit(" "))) >= F.col("least") - 1)
+    return stored(rows.select("doc_id", "twin", "start", "end", F.xxhash64("plain").alias("a"), F.xxhash64(F.lit(7), "plain").alias("b")), "lines")
+
+
+def outermost(spans: Column) -> Column:
+    """Of an array of struct(start, end), any two of which are nested or apart, those that no other covers, sorted."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"))))
+    ends = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end")))
+    return F.aggregate(ends, F.array().cast(kind), lambda d, s: F.when(s["end"] <= F.coalesce(F.try_element_at(d, F.lit(-1))["end"], F.lit(-1)), d).otherwise(F.array_append(d, s)).cast(kind))
+
+
+def removed_units(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = units_of) -> DataFrame:
     """doc_id, twin, spans: the units to remove of each document that has any."""
-    units = units_of(docs)
+    units = cut(docs)
     rank = F.struct("doc_id", "start", "twin")
     first = units.groupBy("a", "b").agg(F.min(rank).alias("first"), F.max(rank).alias("_last")).where("first <> _last").drop("_last")
     later = units.join(durable(first), ["a", "b"]).where(rank != F.col("first"))
-    return durable(later.groupBy("doc_id", "twin").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    spans = F.collect_set(F.struct("start", "end"))
+    return durable(later.groupBy("doc_id", "twin").agg((F.array_sort(spans) if cut is units_of else outermost(spans)).alias("spans")))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = units_of) -> DataFrame:
     """doc_id, n_removed, removed (start:end in the original text, comma-joined), text (what stays) of each row."""
-    gone = removed_units(docs).withColumnsRenamed({"doc_id": "_id", "twin": "_twin"})
+    gone = removed_units(docs, cut).withColumnsRenamed({"doc_id": "_id", "twin": "_twin"})
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "text", F.xxhash64(text, F.length(text)).alias("twin"))
     held = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["twin"] == gone["_twin"]), "left")
@@ -70,3 +105,23 @@ g AS (SELECT o.doc_id, string_agg(o.start || ':' || (o.start + length(o.u)), ','
   FROM o LEFT JOIN k ON o.doc_id = k.doc_id AND o.i = k.i GROUP BY o.doc_id)
 SELECT c.doc_id, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(g.text, c.text) AS text FROM c LEFT JOIN g USING (doc_id)
 """
+
+LINES_SQL = """
+WITH c AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n[ \\t\\r\\n]*|[^\\n]+') AS u FROM documents),
+x AS (SELECT doc_id, unnest(u) AS u, unnest(range(1, len(u) + 1)) AS i FROM c),
+l AS (SELECT doc_id, i, u, coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  regexp_extract_all(u, '[^\\n.!?]+[.!?]*[ \\t\\r\\n]*|[\\n.!?]+[ \\t\\r\\n]*') AS s FROM x),
+y AS (SELECT doc_id, i, start AS base, unnest(s) AS u, unnest(range(1, len(s) + 1)) AS j, len(s) AS n FROM l WHERE regexp_matches(u, '[\\p{L}\\p{N}]')),
+z AS (SELECT doc_id, i, j, u, (base + coalesce(sum(length(u)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, n FROM y),
+o AS (SELECT doc_id, i, 0 AS j, u, start, trim(regexp_replace(lower(u), '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM l WHERE regexp_matches(u, '[\\p{L}\\p{N}]')
+  UNION ALL SELECT doc_id, i, j, u, start, p FROM (SELECT *, trim(regexp_replace(lower(u), '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM z WHERE n > 1) WHERE len(string_split(p, ' ')) >= 6),
+k AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY doc_id, start) AS r FROM o),
+v AS (SELECT *, bool_or(j = 0) OVER (PARTITION BY doc_id, i) AS whole FROM k WHERE r > 1),
+d AS (SELECT doc_id, i, j, u, start FROM v WHERE j = 0 OR NOT whole),
+h AS (SELECT doc_id, i, u, start FROM l WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM d)
+  UNION ALL SELECT doc_id, i, u, start FROM z WHERE (doc_id, i) IN (SELECT (doc_id, i) FROM d WHERE j > 0) AND (doc_id, i, j) NOT IN (SELECT (doc_id, i, j) FROM d)),
+a AS (SELECT doc_id, count(*) AS n, string_agg(start || ':' || (start + length(u)), ',' ORDER BY start) AS removed FROM d GROUP BY doc_id),
+b AS (SELECT doc_id, string_agg(u, '' ORDER BY start) AS text FROM h GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN n IS NULL THEN c.text ELSE coalesce(b.text, '') END AS text
+FROM c LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
+"""
