@@ -44,6 +44,15 @@ def test_bounds_reach_the_files(spark, sf):
         event_log(spark, sf).events(5, 3)
 
 
+def test_imports_cover_the_whole_log(spark):
+    sf = "/root/testdata/sf0.01"
+    n = event_log(spark, sf).events().count()
+    copies = QUERIES["import_overlap_whole"](spark, sf).groupBy("copies").count().collect()
+    assert sum(x["count"] for x in copies) == n and {x["copies"] for x in copies} == {1, 2}
+    assert QUERIES["import_distinct_whole"](spark, sf).select("lsn").distinct().count() == n
+    assert n * 0.6 < QUERIES["snapshot_read_pinned"](spark, sf).count() < n * 0.7
+
+
 def test_engine_stands_without_llm():
     import ast
     from pathlib import Path

@@ -9,7 +9,7 @@ from .functions.columns import event_time, parse_segment_name, segment_name
 from .operators import frames as fr
 from .operators import ordering, reads, replication, retention
 from .sources import codec
-from .sources.view import event_log
+from .sources.view import LogView, event_log
 
 SEGMENT = 65_536
 
@@ -122,6 +122,33 @@ def import_distinct(spark, sf_dir):
     return replication.without_repeats(replication.imported(v.events(last=600), v.events(first=501, last=900))).select("lsn", "payload")
 
 
+def _bounds(log: LogView) -> tuple[int, int]:
+    """First and last number of a log."""
+    at = log.table.agg(F.min(log.id_column).alias("a"), F.max(log.id_column).alias("b")).first()
+    return (at["a"] + log.shift, at["b"] + log.shift) if at["a"] is not None else (log.shift, log.shift)
+
+
+def _thirds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The whole log in two parts: up to two thirds, and from one third on."""
+    v = event_log(spark, sf_dir)
+    a, b = _bounds(v)
+    return v.events(last=a + (b - a) * 2 // 3), v.events(first=a + (b - a) // 3)
+
+
+def snapshot_read_pinned(spark, sf_dir):
+    """A snapshot pinned at two thirds of the log."""
+    return _thirds(spark, sf_dir)[0].select("lsn", "key", "payload")
+
+
+def import_overlap_whole(spark, sf_dir):
+    both = replication.imported(*_thirds(spark, sf_dir))
+    return both.groupBy("lsn").agg(F.count(F.lit(1)).alias("copies"), F.min("payload").alias("payload"))
+
+
+def import_distinct_whole(spark, sf_dir):
+    return replication.without_repeats(replication.imported(*_thirds(spark, sf_dir))).select("lsn", "payload")
+
+
 def replica_missing_segments(spark, sf_dir):
     s = _segments(spark, sf_dir)
     return replication.missing_segments(s, s.where("first_lsn % 2 = 0")).select("first_lsn", "last_lsn", "size")
@@ -223,6 +250,7 @@ QUERIES = {
     for f in (
         *(replay_from, replay_range, replay_batches, replay_batch_events, iterate_events, event_times, frames, frames_of_orders, sparse_index, segments, seek_lsn, seek_ts),
         *(delete_before, delete_older_than, retention_count, retention_size, compact_checkpoint, snapshot_read, import_overlap, import_distinct),
+        *(snapshot_read_pinned, import_overlap_whole, import_distinct_whole),
         *(replica_missing_segments, index_feed, index_lookup, live_index, latest_per_key, assign_lsn, drop_gaps, batch_too_large, recover_prefix),
         *(replay_skip_rest, stats, segment_names, wal_roundtrip, wal_roundtrip_compressed, frame_headers, follow_available_now),
     )
@@ -241,6 +269,7 @@ _S = f"""S AS (SELECT segment_lsn AS first_lsn, max(last_lsn) AS last_lsn, sum(s
   arg_max(frame_ts, "offset") AS last_ts, max(frame_ts) AS max_ts, sum(size) >= {SEGMENT} AS sealed FROM P GROUP BY segment_lsn)"""
 _TO_S = f"WITH RECURSIVE {_L}, {_F}, {_P}, {_S}"
 _TO_P = f"WITH RECURSIVE {_L}, {_F}, {_P}"
+_B = "B AS (SELECT min(lsn) AS a, max(lsn) AS b FROM L)"
 _FREE = "first_lsn < (SELECT max(first_lsn) FROM S)"
 _EVENTS = "lsn, ts_ns, key, meta, payload"
 
@@ -265,6 +294,9 @@ SQL = {
     "snapshot_read": f"WITH {_L} SELECT lsn, key, payload FROM L WHERE lsn <= 700",
     "import_overlap": f"WITH {_L} SELECT lsn, count(*) AS copies, min(payload) AS payload FROM (SELECT * FROM L WHERE lsn <= 600 UNION ALL SELECT * FROM L WHERE lsn BETWEEN 501 AND 900) GROUP BY lsn",
     "import_distinct": f"WITH {_L} SELECT lsn, payload FROM L WHERE lsn <= 900",
+    "snapshot_read_pinned": f"WITH {_L}, {_B} SELECT lsn, key, payload FROM L, B WHERE lsn <= a + (b - a) * 2 // 3",
+    "import_overlap_whole": f"WITH {_L}, {_B} SELECT lsn, count(*) AS copies, min(payload) AS payload FROM (SELECT L.* FROM L, B WHERE lsn <= a + (b - a) * 2 // 3 UNION ALL SELECT L.* FROM L, B WHERE lsn >= a + (b - a) // 3) GROUP BY lsn",
+    "import_distinct_whole": f"WITH {_L} SELECT lsn, payload FROM L",
     "replica_missing_segments": f"{_TO_S} SELECT first_lsn, last_lsn, size FROM S WHERE sealed AND first_lsn NOT IN (SELECT first_lsn FROM S WHERE first_lsn % 2 = 0)",
     "index_feed": f'{_TO_P} SELECT lsn, ts_ns, key, meta, "offset", segment_lsn FROM L JOIN P USING (batch_no)',
     "index_lookup": f"WITH {_L} SELECT lsn, key, meta, payload FROM L WHERE key = '7'",
