@@ -82,6 +82,23 @@ def test_linked_secret_parts(spark):
     assert [s.split(":")[0] for s in got[3].split(",")] == ["weak_endpoint", "weak_secret"]
 
 
+def test_long_secret_parts(spark):
+    long = "aZ3" * 60
+    late = "x" * 70 + "Q" * 70 + "7"
+    url = "https://h.example/" + "p" * 700
+    texts = [f"login: bob {long}", f"login: bob {late}", f"{url} {' ' * 100}{long}", f"{long} {' ' * 190}{url}", f"login: {'k' * 80} {long}", f"login: bob {'x' * 300}", f"{url}{' ' * 201}{long}"]
+    got = [r["spans"] for r in secrets.secret_report(rows_of(spark, texts)).sort("doc_id").collect()]
+    assert got == [
+        "weak_id:0:10,weak_secret:11:191",
+        "weak_id:0:10,weak_secret:11:152",
+        "weak_endpoint:0:718,weak_secret:819:999",
+        "weak_secret:0:180,weak_endpoint:371:1089",
+        "weak_id:0:87,weak_secret:88:268",
+        "",
+        "",
+    ]
+
+
 def test_patterns_from_seeds_find_more(spark):
     seeds = [f"please call me at: +1 (555) 010-99{i:02d} soon" for i in range(6)]
     unseen = ["please call me at: 555-010-1234 soon", "the sum was 555-010-1234 there"]

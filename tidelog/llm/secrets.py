@@ -2,7 +2,7 @@
 
 Base spans are assignments of secrets, access keys and long hexadecimal strings. The method adds weak parts: identifiers,
 secret-like strings and endpoints that prove nothing alone. Parts of a text are joined as intervals: a part sees those that
-start within SCOPE code points of it. A weak secret is reported if an identifier or endpoint is in its scope, a weak identifier
+start within SCOPE code points of its end, or end as near before it. A weak secret is reported if an identifier or endpoint is in its scope, a weak identifier
 or endpoint if a secret is; base spans take part as secrets (assign, hex) and identifiers (access).
 
 Null texts count as empty. Texts that are equal have equal spans, so copies are linked once. Repeated rows give a row each.
@@ -21,10 +21,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 #: Weak parts.
-WEAK_ID = r"""(?i)(?<![a-z0-9])(?:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}+[0-9])(?=[A-Z0-9+/_=-]{0,64}+[a-z])(?=[a-z0-9+/_=-]{0,64}+[A-Z])[A-Za-z0-9+/_=-]{16,128}+(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"""(?i)(?<![a-z0-9])(?:(?:https?|jdbc:[a-z]{1,20}|mongodb|postgres|postgresql|mysql|redis|amqp|s3)://[^\s"'<>]{3,512}+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,255})"""
-#: Start distance within which parts are linked.
+WEAK_ID = r"""(?i)(?<![a-z0-9])(?:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}+"""
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+ENDPOINT = r"""(?i)(?<![a-z0-9])(?:(?:https?|jdbc:[a-z]{1,20}|mongodb|postgres|postgresql|mysql|redis|amqp|s3)://[^\s"'<>]{3,}+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}+)"""
+#: Distance, from the end of the earlier to the start of the later, within which parts are linked.
 SCOPE = 200
 BASE = ("assign", "access", "hex")
 
@@ -40,16 +40,22 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def weak_spans(text: Column) -> Column:
     yes = lambda _: F.lit(True)
-    kinds = (("weak_id", WEAK_ID), ("weak_secret", WEAK_SECRET), ("weak_endpoint", ENDPOINT))
-    return F.concat(*[of_kind(matches(text, p, yes), k, 3 + i) for i, (k, p) in enumerate(kinds)])
+    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
+    kinds = (("weak_id", WEAK_ID, yes), ("weak_secret", WEAK_SECRET, mixed), ("weak_endpoint", ENDPOINT, yes))
+    return F.concat(*[of_kind(matches(text, p, keep), k, 3 + i) for i, (k, p, keep) in enumerate(kinds)])
 
 
 def linked(parts: DataFrame) -> DataFrame:
-    """key, added: the weak parts whose complement starts within SCOPE; parts: key, base, weak."""
+    """key, added: the weak parts whose complement is within SCOPE; parts: key, base, weak."""
     one = parts.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).dropDuplicates(["key"])
-    rows = one.select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s", F.col("s.start").alias("at"), F.col("s.kind").alias("kind"))
-    near = Window.partitionBy("key").orderBy("at").rangeBetween(-SCOPE, SCOPE)
-    has = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
+    rows = one.select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s", F.col("s.start").alias("at"), F.col("s.end").alias("to"), F.col("s.kind").alias("kind"))
+    so_far = lambda at: Window.partitionBy("key").orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def has(*kinds: str) -> Column:
+        its = F.col("kind").isin(*kinds)
+        before, after = F.max(F.when(its, F.col("to"))).over(so_far(F.asc("at"))), F.min(F.when(its, F.col("at"))).over(so_far(F.desc("at")))
+        return F.coalesce(before >= F.col("at") - SCOPE, F.lit(False)) | F.coalesce(after <= F.col("to") + SCOPE, F.lit(False))
+
     rows = rows.select("key", "s", "kind", has("assign", "hex", "weak_secret").alias("secret"), has("access", "weak_id", "weak_endpoint").alias("other"))
     told = ((F.col("kind") == "weak_secret") & F.col("other")) | (F.col("kind").isin("weak_id", "weak_endpoint") & F.col("secret"))
     return rows.where(told).groupBy("key").agg(F.sort_array(F.collect_set("s")).alias("added"))
