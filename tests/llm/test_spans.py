@@ -111,6 +111,13 @@ def test_patterns_from_seeds_find_more(spark):
     assert (clean[7], clean[8], clean[9]) == (unseen[1], None, "")
 
 
+def test_long_identifiers_go_whole(spark):
+    seeds = [f"please call me at: +1 (555) 010-99{i:02d} soon" for i in range(12)]
+    long = ["555-" + "0123456789" * 9, "abcdefghijklmnopqrstuvw-12345"]
+    clean = [r["text"] for r in pii.redact(rows_of(spark, seeds + [f"please call me at: {x} soon" for x in long])).sort("doc_id").collect()]
+    assert set(clean) == {"please call me at: [PHONE] soon"}
+
+
 def test_copies_give_no_support(spark):
     copies = ["please call me at: +1 (555) 010-9900 soon"] * 50 + ["please call me at: 555-010-1234 soon"]
     assert {r["spans"] for r in pii.pii_report(rows_of(spark, copies)).collect() if r["doc_id"] == 50} == {""}

@@ -23,8 +23,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Identifier-like strings: a few letters at most, then a digit, then three or more characters of identifiers.
-CANDIDATE = r"(?<![A-Za-z0-9@._+-])[A-Za-z]{0,16}+[-(]?[0-9][A-Za-z0-9@._()/-]{3,63}"
+#: Identifier-like strings: letters or none, then a digit, then three or more characters of identifiers, all that follow.
+CANDIDATE = r"(?<![A-Za-z0-9@._+-])[A-Za-z]*+[-(]?[0-9][A-Za-z0-9@._()/-]{3,}+"
 #: Distinct seed values that a pattern needs; the score that it needs; turns of scoring.
 SUPPORT, CONFIDENCE, TURNS = 3, 0.8, 3
 KINDS = ("email", "ip", "card", "phone")
