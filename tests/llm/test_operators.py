@@ -110,6 +110,14 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert jaccard.similar_documents(df.limit(0)).count() == 0
 
 
+def test_jaccard_links_through_null_ids(spark):
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(0, text(0, 200)), (None, text(10, 210)), (None, text(10, 210)), (2, text(20, 220)), (3, text(500, 700)), (None, text(900, 1100)), (None, text(905, 1105))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard.similar_documents(df).collect() if r["component_id"] is not None)
+    assert got == [("0", 0), ("2", 0), ("3", 3), ("None", 0), ("None", 0)]
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer

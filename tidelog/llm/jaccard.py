@@ -286,9 +286,10 @@ def first_pairs(members: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, n, elements, summary of the wanted doc_ids."""
-    few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    chosen = with_text(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    """node, n, elements, summary of wanted (node, doc_id); nodes with a null doc_id are looked for in the rows without one."""
+    named, rest = wanted.where("doc_id is not null").select("doc_id"), wanted.where("doc_id is null").select("node")
+    few = named.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    chosen = with_text(docs).join(F.broadcast(named) if few else named, "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -299,7 +300,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["node", "n", "elements", "summary"])
 
-    return chosen.select("text").mapInArrow(run, "node long, n long, elements binary, summary binary")
+    made = lambda rows: rows.select("text").mapInArrow(run, "node long, n long, elements binary, summary binary")
+    if rest.isEmpty():
+        return made(chosen)
+    return made(chosen).unionByName(made(with_text(docs).where("doc_id is null")).join(rest, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -379,7 +383,10 @@ def other_pairs(members: DataFrame, stars: DataFrame, sets: DataFrame, num: int,
 
 
 def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row; links hold where den * |intersection| >= num * |union|."""
+    """doc_id, n_shingles, component_id for each row; links hold where den * |intersection| >= num * |union|.
+
+    A row with a null id links as others do; its component_id is its component's least id, null where no row of that has one.
+    """
     lean(docs.sparkSession)
     windows = Windows(num, den)
     named = durable(nodes_of(docs, size))
@@ -387,7 +394,7 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     members = durable(memberships(signature_groups(docs, size, windows)))
     pairs = durable(first_pairs(members))
     met = pairs.select(F.explode(F.array("p", "m")).alias("node")).distinct()
-    sets = durable(sets_of(docs, durable(nodes.join(met, "node", "left_semi").select("doc_id")), size))
+    sets = durable(sets_of(docs, durable(nodes.join(met, "node", "left_semi")), size))
     links = durable(linked(pairs, sets, num, den))
     stars = components(links)
     more = durable(other_pairs(members, stars, sets, num, den))
