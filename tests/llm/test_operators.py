@@ -110,6 +110,17 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert jaccard.similar_documents(df.limit(0)).count() == 0
 
 
+def test_jaccard_summaries_do_not_wrap(spark):
+    n = 70_000  # elements with equal first bits
+    s = np.arange(n, dtype=np.uint64)
+    assert np.frombuffer(jaccard.summary_of(s), np.int32)[0] == n
+    summary = [jaccard.summary_of(x) for x in (s[:10], s[: n - 10], s)]
+    sets = spark.createDataFrame([(i, k, bytearray(x)) for i, k, x in zip((1, 2, 3), (10, n - 10, n), summary)], "node long, n long, summary binary")
+    members = spark.createDataFrame([(9, 1), (9, 2), (9, 3)], "gid long, node long")
+    stars = spark.createDataFrame([], "u long, v long")
+    assert [tuple(r) for r in jaccard.other_pairs(members, stars, sets, 85, 100).collect()] == [(2, 3)]
+
+
 def test_jaccard_links_through_null_ids(spark):
     text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     rows = [(0, text(0, 200)), (None, text(10, 210)), (None, text(10, 210)), (2, text(20, 220)), (3, text(500, 700)), (None, text(900, 1100)), (None, text(905, 1105))]

@@ -285,6 +285,12 @@ def first_pairs(members: DataFrame) -> DataFrame:
     return members.join(least, "gid").where("node <> p").select("p", F.col("node").alias("m")).distinct()
 
 
+def summary_of(s: np.ndarray) -> bytes:
+    """How many elements of a set there are by their first bits, 32 bits each."""
+    counts = np.bincount(s >> np.uint64(64 - SUMMARY.bit_length() + 1), minlength=SUMMARY) if len(s) else np.zeros(SUMMARY)
+    return counts.astype(np.int32).tobytes()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """node, n, elements, summary of wanted (node, doc_id); nodes with a null doc_id are looked for in the rows without one."""
     named, rest = wanted.where("doc_id is not null").select("doc_id"), wanted.where("doc_id is null").select("node")
@@ -295,8 +301,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for _, s in shingle_sets(batch.column(0).to_pylist(), size):
-                counts = np.bincount(s >> np.uint64(64 - SUMMARY.bit_length() + 1), minlength=SUMMARY) if len(s) else np.zeros(SUMMARY)
-                for c, v in zip(out, (node_of(s), len(s), pack6(s), counts.astype(np.uint16).tobytes()), strict=True):
+                for c, v in zip(out, (node_of(s), len(s), pack6(s), summary_of(s)), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["node", "n", "elements", "summary"])
 
@@ -346,7 +351,7 @@ def other_pairs(members: DataFrame, stars: DataFrame, sets: DataFrame, num: int,
         """A pair is told of by the first group that has both."""
         held.sort(key=lambda r: r[1])
         node, n, root = (np.array([r[c] for r in held]) for c in range(3))
-        summary = np.frombuffer(b"".join(r[3] for r in held), np.uint16).reshape(len(n), SUMMARY).astype(np.int32)
+        summary = np.frombuffer(b"".join(r[3] for r in held), np.int32).reshape(len(n), SUMMARY)
         ends = np.searchsorted(n, n * den // num, "right")
         for i in range(len(n) - 1):
             for a in range(i + 1, int(ends[i]), 4096):
