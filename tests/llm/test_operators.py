@@ -121,6 +121,53 @@ def test_jaccard_summaries_do_not_wrap(spark):
     assert [tuple(r) for r in jaccard.other_pairs(members, stars, sets, 85, 100).collect()] == [(2, 3)]
 
 
+def test_words_of_the_same_structure_do_not_meet(spark):
+    """Thue-Morse words defeat any polynomial modulo a power of two."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word[:64]), (4, word[64:128])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["component_id"] for r in jaccard.similar_documents(df).collect()) == [1, 2, 3, 4]
+
+
+def test_jaccard_hub_of_near_copies(spark, monkeypatch):
+    """Groups of more members than a block or a task's share of comparisons."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "DEALT", 4)
+    common = [f"c{i}" for i in range(100)]
+    texts = [" ".join([*common, f"x{i}"]) for i in range(60)] + [" ".join([*common[:20], *(f"y{i}.{j}" for j in range(40 if i % 2 else 4))]) for i in range(40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs_of(spark, texts)).collect()}
+    assert got == brute_components(texts, 4, 85, 100)
+
+
+def test_much_shared_signatures_leave_in_parts(monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD", 50)
+    monkeypatch.setattr(jaccard, "HOT", 20)
+    r = np.random.default_rng(3)
+    want: dict[int, set] = {}
+    got: dict[int, set] = {}
+    bucket, parts = jaccard.Bucket(7), []
+    for _ in range(40):
+        sig, node = np.where(r.random(12) < 0.5, 5, r.integers(6, 400, 12)).astype(np.uint64), r.integers(0, 60, 12).astype(np.uint64)
+        for a, b in zip(sig.tolist(), node.tolist(), strict=True):
+            want.setdefault(a, set()).add(b << 8 | 3)
+        parts += bucket.add(jaccard.packed((sig, node, np.full(12, 3, np.uint64))))
+    assert bucket.hot == {5}
+    parts += bucket.groups()
+    for gid, members in parts:
+        got.setdefault(gid, set()).update(members.tolist()) if gid else got.setdefault(len(got), set(members.tolist()))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, text(0, 200)), (1, text(500, 700)), (1, text(500, 700)), (2, text(5, 205)), (3, ""), (3, ""), (None, None), (None, None), (None, text(3, 203)), (None, text(900, 999)), (None, text(900, 999))]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, key string")
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in jaccard.keep_one(df).collect())
+    assert kept == sorted([("1", text(0, 200)), ("1", text(500, 700)), ("3", ""), ("None", ""), ("None", ""), ("None", text(900, 999))])
+
+
 def test_jaccard_links_through_null_ids(spark):
     text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     rows = [(0, text(0, 200)), (None, text(10, 210)), (None, text(10, 210)), (2, text(20, 220)), (3, text(500, 700)), (None, text(900, 1100)), (None, text(905, 1105))]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
+from hashlib import blake2b
 from uuid import uuid4
 
 import numpy as np
@@ -21,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; one of its own where a local session names none (tests). A cluster must name one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/tidelog-checkpoints")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "/tmp/tidelog-checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -34,11 +39,43 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def releasing(spark: SparkSession):
+    """Within it, Spark deletes the shuffle files of a write when that write has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+class Scratch:
+    """Tables of one run, written as Parquet in a folder of its own in the shared folder.
+
+    A written table cuts lineage: a lost executor costs the tasks of one step. Nothing of a step stays on the executors' disks.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read again."""
+        with releasing(self.spark):
+            df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later step reads; all of the run without names."""
+        for name in names or ("",):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return Scratch(df.sparkSession, name).keep(df, "rows")
 
 
 def lean(spark: SparkSession) -> None:
@@ -121,6 +158,53 @@ class Rolling:
             return splitmix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
+#: Bytes of a word that the tables cover; longer words get a cryptographic digest.
+TABLED = 64
+
+
+@cache
+def byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Two independent tables of a random 64-bit value for each place in a word and byte there."""
+    codes = symbol_codes(2 * TABLED * 256)
+    return codes[: TABLED * 256], codes[TABLED * 256 :]
+
+
+def word_hashes(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, hash, second hash) of the words of data; separators: which byte values part words.
+
+    Tabulation hashing: the sum over a word's bytes of random values by place and byte, so no structure of a word makes two
+    words meet. Data is handled in slabs that end after a separator, so memory is bounded but for single longer words.
+    """
+    every, parts, at = np.frombuffer(data, np.uint8), [], 0
+    while at < len(every) or not parts:
+        end, cut = min(len(every), at + CHUNK_CHARS), ()
+        while end < len(every) and not len(cut := np.flatnonzero(separators[every[at:end]])):
+            end = min(len(every), 2 * end - at)
+        if len(cut):
+            end = at + int(cut[-1]) + 1
+        parts.append(hash_slab(data, every[at:end], at, separators))
+        at = end
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def hash_slab(data: bytes, slab: np.ndarray, at: int, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(separators[slab], prepend=True, append=True))
+    begin, end = edge[::2], edge[1::2]
+    last = np.zeros(len(slab), np.int64)
+    last[begin] = begin
+    place = np.arange(len(slab)) - np.maximum.accumulate(last)
+    index = (np.minimum(place, TABLED - 1) << 8) + slab
+    out = []
+    with np.errstate(over="ignore"):
+        for t in byte_tables():
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[index], dtype=np.uint64)])
+            out.append(splitmix(sums[end] - sums[begin]))
+    for i in np.flatnonzero(end - begin > TABLED).tolist():
+        digest = np.frombuffer(blake2b(data[at + int(begin[i]) : at + int(end[i])], digest_size=16).digest(), np.uint64)
+        out[0][i], out[1][i] = digest
+    return begin + at, *out
+
+
 def text_column(df: DataFrame, column: str = "text"):
     """The column as string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

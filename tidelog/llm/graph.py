@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import Scratch
 
 
 def oriented(edges: DataFrame) -> DataFrame:
@@ -15,14 +15,17 @@ def oriented(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node but the least of its component, and that least node. edges: u, v, in any order."""
-    e = durable(oriented(edges))
+    scratch, turn = Scratch(edges.sparkSession, "components"), 0
+    e = scratch.keep(oriented(edges), "0")
     while not is_stars(e):
+        turn += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = oriented(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(down, "u")
-        e = durable(oriented(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))))
+        e = scratch.keep(oriented(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))), str(turn))
+        scratch.drop(str(turn - 1))
     return e
 
 
