@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import FRAME_BYTES, data_bytes, record_bytes
+from .ordering import ranged
 
 DEFAULT_SEGMENT_BYTES = 256 << 20
 DEFAULT_BATCH_BYTES = 4 << 20
@@ -25,35 +28,89 @@ def frames(log: DataFrame, key: str = "batch_no") -> DataFrame:
     return each.withColumn("size", size.cast("long")).drop("_data")
 
 
-def too_large(batches: DataFrame, limit: int = DEFAULT_BATCH_BYTES) -> DataFrame:
+def too_large(batches: DataFrame, limit: int | Column = DEFAULT_BATCH_BYTES) -> DataFrame:
     """Batches that an append would refuse."""
     return batches.where(F.col("size") > limit)
 
 
-def cuts(batches: DataFrame, max_bytes: int, offset: int = 0) -> Column:
-    """Aggregate: sorted first numbers of the segments that an ordered placement opens.
+def next_cuts(begins: np.ndarray, max_bytes: int) -> np.ndarray:
+    """For each frame of a sorted stretch, were it the first of a segment, the position of the frame that opens the next one."""
+    return np.searchsorted(begins, begins + max_bytes, "left")
 
-    A segment is closed by the first frame that brings it to max_bytes or over. offset: bytes in the open segment, whose frames
-    then precede the first cut. The fold carries one row for each frame, in one task; a store places each append by itself.
+
+def ways(begins: np.ndarray, lsns: np.ndarray, max_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin of a first cut, begin and number of the last cut that it leads to), for each frame that may be a stretch's first cut.
+
+    Cuts that lead to the same last one and are adjacent are told of by the last of them.
     """
-    state = "struct<at:bigint,cuts:array<bigint>>"
-    start = F.struct(F.lit(offset).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("cuts")).cast(state)
+    follow, n = next_cuts(begins, max_bytes), len(begins)
+    last = np.arange(n)
+    for i in range(n - 1, -1, -1):
+        if follow[i] < n:
+            last[i] = last[follow[i]]
+    some = np.arange(min(n, int(np.searchsorted(begins, begins[0] + max_bytes, "left")) + 1))
+    some = some[np.r_[last[some][1:] != last[some][:-1], True]]
+    return begins[some], begins[last[some]], lsns[last[some]]
 
-    def step(s: Column, f: Column) -> Column:
-        opened = F.when(s["at"] == 0, F.array_append(s["cuts"], f["first_lsn"])).otherwise(s["cuts"])
-        after = s["at"] + f["size"]
-        return F.struct(F.when(after >= max_bytes, F.lit(0)).otherwise(after).cast("bigint").alias("at"), opened.alias("cuts")).cast(state)
 
-    return F.aggregate(F.sort_array(F.collect_list(F.struct("first_lsn", "size"))), start, step)
+def place(batches: DataFrame, max_bytes: int = DEFAULT_SEGMENT_BYTES, opened: tuple[int, int] | None = None) -> DataFrame:
+    """batches with segment_lsn (first number of the segment) and offset (byte in it).
 
+    A segment is closed by the first frame that brings it to max_bytes or over. opened: (first number, bytes) of an open segment
+    that takes the first frames.
 
-def place(batches: DataFrame, max_bytes: int = DEFAULT_SEGMENT_BYTES, key: str = "batch_no") -> DataFrame:
-    """batches with segment_lsn (first number of the segment) and offset (byte in it)."""
-    opened = batches.agg(cuts(batches, max_bytes)["cuts"].alias("_cuts"))
-    with_cuts = batches.crossJoin(F.broadcast(opened))
-    at = with_cuts.withColumn("segment_lsn", F.array_max(F.filter("_cuts", lambda c: c <= F.col("first_lsn")))).drop("_cuts")
-    before = Window.partitionBy("segment_lsn").orderBy("first_lsn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return at.withColumn("offset", (F.sum("size").over(before) - F.col("size")).cast("long"))
+    Frames are dealt into sorted ranges. Where a range is cut depends on the frames before it, through the last cut alone; so each
+    range tells, for each frame that may be its first cut, the last cut that follows. One task reads what the ranges tell, in
+    order, and keeps a cut for each; then all ranges are cut side by side.
+    """
+    dealt = ranged(batches, ["first_lsn"])
+    sums = dealt.groupBy("_range").agg(F.sum("size").alias("_n"))
+    bases = sums.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("_base"))
+    based = dealt.join(F.broadcast(bases), "_range")
+
+    def begins_of(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        table = table.sort_by("first_lsn")
+        sizes = table.column("size").to_numpy()
+        return table, np.cumsum(sizes) - sizes + table.column("_base")[0].as_py()
+
+    def tell(table: pa.Table) -> pa.Table:
+        table, begins = begins_of(table)
+        at, cut, lsn = ways(begins, table.column("first_lsn").to_numpy(), max_bytes)
+        return pa.table({"_range": pa.array([table.column("_range")[0].as_py()] * len(at), pa.int32()), "at": at, "cut": cut, "lsn": lsn})
+
+    def carry(rows):
+        cut, lsn = (-opened[1], opened[0]) if opened else (-max_bytes, 0)
+        at, entered = None, [[], [], []]
+        for batch in rows:
+            for r, begin, to, number in zip(*(batch.column(c).to_pylist() for c in ("_range", "at", "cut", "lsn")), strict=True):
+                if r != at:
+                    at, since = r, cut + max_bytes
+                    for c, v in zip(entered, (r, cut, lsn), strict=True):
+                        c.append(v)
+                if since is not None and begin >= since:
+                    cut, lsn, since = to, number, None
+        yield pa.RecordBatch.from_arrays([pa.array(entered[0], pa.int32()), pa.array(entered[1], pa.int64()), pa.array(entered[2], pa.int64())], names=["_range", "_cut", "_lsn"])
+
+    told = based.select("_range", "_base", "first_lsn", "size").groupBy("_range").applyInArrow(tell, "_range int, at long, cut long, lsn long")
+    entries = told.coalesce(1).sortWithinPartitions("_range", "at").mapInArrow(carry, "_range int, _cut long, _lsn long")
+    names = batches.columns
+
+    def cut_range(table: pa.Table) -> pa.Table:
+        table, begins = begins_of(table)
+        lsns = table.column("first_lsn").to_numpy()
+        cut, lsn = table.column("_cut")[0].as_py(), table.column("_lsn")[0].as_py()
+        follow, starts = next_cuts(begins, max_bytes), []
+        i = int(np.searchsorted(begins, cut + max_bytes, "left"))
+        while i < len(begins):
+            starts.append(i)
+            i = int(follow[i])
+        which = np.searchsorted(np.array(starts, np.int64), np.arange(len(begins)), "right")
+        segment = np.r_[lsn, lsns[starts]][which]
+        offset = begins - np.r_[cut, begins[starts]][which]
+        return table.select(names).append_column("segment_lsn", pa.array(segment, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+
+    whole = batches.select("*", F.lit(0).cast("long").alias("segment_lsn"), F.lit(0).cast("long").alias("offset")).schema
+    return based.join(F.broadcast(entries), "_range").groupBy("_range").applyInArrow(cut_range, whole)
 
 
 def segments(placed: DataFrame, max_bytes: int = DEFAULT_SEGMENT_BYTES) -> DataFrame:

@@ -13,20 +13,22 @@ def ranged(rows: DataFrame, order: list) -> DataFrame:
     return durable(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
 
 
-def running_last(rows: DataFrame, order: list[str | Column], value: str, before: bool = False) -> DataFrame:
-    """Adds `last`: the last non-null value in order up to each row (before: of the rows before it).
+def running(rows: DataFrame, order: list[str | Column], value: str, pick=F.last, before: bool = False) -> DataFrame:
+    """Adds `run`: an aggregate (last, min, max) of the non-null values in order up to each row (before: of the rows before it).
 
-    Each range keeps its own last value (a row for each range goes through one task); rows of a range without one so far take
-    the last value of the ranges before it.
+    Each range has its own aggregate, and what the ranges before it have together; a row for each range goes through one task.
     """
     keyed = rows.withColumns({f"_o{i}": o if isinstance(o, Column) else F.col(o) for i, o in enumerate(order)})
     names = [f"_o{i}" for i in range(len(order))]
+    chosen = (lambda c: F.last(c, ignorenulls=True)) if pick is F.last else pick
     dealt = ranged(keyed, names)
     inside = Window.partitionBy("_range").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    own = dealt.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
-    ends = dealt.groupBy("_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*names))).alias("_end"))
-    carried = ends.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    out = own.join(F.broadcast(carried), "_range", "left").withColumn("last", F.coalesce("_own", "_carried"))
+    own = dealt.withColumn("_own", chosen(value).over(inside))
+    whole = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*names))) if pick is F.last else pick(value)
+    ends = dealt.groupBy("_range").agg(whole.alias("_end"))
+    carried = ends.select("_range", chosen("_end").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    both = F.coalesce("_own", "_carried") if pick is F.last else (F.least if pick is F.min else F.greatest)("_own", "_carried")
+    out = own.join(F.broadcast(carried), "_range", "left").withColumn("run", both)
     return out.drop("_range", "_own", "_carried", *names)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import LsnRangeError
+from .ordering import running
 
 
 def replay(log: DataFrame, first: int, ordered: bool = False) -> DataFrame:
@@ -58,19 +59,24 @@ def seek_lsn(frames: DataFrame, probes: DataFrame) -> DataFrame:
     Frames and probes are merged in order of their numbers, by ranges: a running maximum in each range, and the maxima of
     the ranges before it, so no probe meets all frames.
     """
-    from .ordering import running_last
-
     rows = frames.select(F.col("first_lsn").alias("at"), F.col("first_lsn").alias("value"), F.lit(None).cast("long").alias("probe"))
     rows = rows.unionByName(probes.select(F.col("probe").cast("long").alias("at"), F.lit(None).cast("long").alias("value"), F.col("probe").cast("long").alias("probe")))
-    found = running_last(rows, ["at", F.col("probe").isNotNull()], "value").where("probe is not null")
+    found = running(rows, ["at", F.col("probe").isNotNull()], "value").where("probe is not null")
     least = frames.agg(F.min("first_lsn").alias("least"))
-    return found.crossJoin(F.broadcast(least)).select("probe", F.coalesce("last", "least").alias("first_lsn"))
+    return found.crossJoin(F.broadcast(least)).select("probe", F.coalesce("run", "least").alias("first_lsn"))
 
 
 def seek_ts(frames: DataFrame, probes: DataFrame) -> DataFrame:
-    """probe_ts, first_lsn: for each probe the first frame whose timestamp is at or after it, null past the end. Probes are few."""
-    met = frames.join(F.broadcast(probes), F.col("frame_ts") >= F.col("probe_ts"), "right")
-    return met.groupBy("probe_ts").agg(F.min("first_lsn").alias("first_lsn"))
+    """probe_ts, first_lsn: for each probe the first frame whose timestamp is at or after it, null past the end.
+
+    Frames and probes are merged by descending timestamp, by ranges: the least number so far is the answer.
+    """
+    rows = frames.select(F.col("frame_ts").alias("at"), F.col("first_lsn").alias("value"), F.lit(None).cast("long").alias("probe_ts"))
+    probes = probes.select(F.col("probe_ts").cast("long").alias("probe_ts")).distinct()
+    rows = rows.unionByName(probes.select(F.col("probe_ts").alias("at"), F.lit(None).cast("long").alias("value"), "probe_ts"))
+    # ~at falls as at grows and, unlike -at, never overflows
+    found = running(rows, [F.bitwise_not("at"), F.col("probe_ts").isNotNull()], "value", F.min).where("probe_ts is not null")
+    return found.select("probe_ts", F.col("run").alias("first_lsn"))
 
 
 def index_feed(log: DataFrame, placed: DataFrame, key: str = "batch_no") -> DataFrame:
@@ -91,7 +97,5 @@ def latest_per_key(log: DataFrame) -> DataFrame:
 
 def gaps(log: DataFrame) -> DataFrame:
     """after_lsn, next_lsn: stretches of missing sequence numbers between events."""
-    from .ordering import running_last
-
-    rows = running_last(log.select(F.col("lsn").alias("at"), F.col("lsn").alias("value")), ["at"], "value", before=True)
-    return rows.where(F.col("at") > F.col("last") + 1).select(F.col("last").alias("after_lsn"), F.col("at").alias("next_lsn"))
+    rows = running(log.select(F.col("lsn").alias("at"), F.col("lsn").alias("value")), ["at"], "value", before=True)
+    return rows.where(F.col("at") > F.col("run") + 1).select(F.col("run").alias("after_lsn"), F.col("at").alias("next_lsn"))
