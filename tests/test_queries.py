@@ -47,10 +47,27 @@ def test_bounds_reach_the_files(spark, sf):
 def test_imports_cover_the_whole_log(spark):
     sf = "/root/testdata/sf0.01"
     n = event_log(spark, sf).events().count()
-    copies = QUERIES["import_overlap_whole"](spark, sf).groupBy("copies").count().collect()
+    copies = QUERIES["import_overlap"](spark, sf).groupBy("copies").count().collect()
     assert sum(x["count"] for x in copies) == n and {x["copies"] for x in copies} == {1, 2}
-    assert QUERIES["import_distinct_whole"](spark, sf).select("lsn").distinct().count() == n
-    assert n * 0.6 < QUERIES["snapshot_read_pinned"](spark, sf).count() < n * 0.7
+    assert QUERIES["import_distinct"](spark, sf).select("lsn").distinct().count() == n
+    assert n * 0.6 < QUERIES["snapshot_read"](spark, sf).count() < n * 0.7
+
+
+@pytest.mark.parametrize("name", ["delete_before", "delete_older_than", "compact_checkpoint", "retention_count", "replica_missing_segments", "live_index"])
+def test_rules_on_segments_take_some(spark, name):
+    sf = "/root/testdata/sf0.01"
+    assert 0 < QUERIES[name](spark, sf).count() < QUERIES["segments"](spark, sf).count()
+
+
+def test_rules_on_frames_and_events_take_some(spark):
+    sf = "/root/testdata/sf0.01"
+    frames = QUERIES["frames"](spark, sf).count()
+    assert 0 < QUERIES["batch_too_large"](spark, sf).count() < frames
+    active = QUERIES["sparse_index"](spark, sf).groupBy("segment_lsn").count().orderBy("segment_lsn").collect()[-1]["count"]
+    assert 0 < QUERIES["recover_prefix"](spark, sf).count() < active
+    n = event_log(spark, sf).events().count()
+    for name in ("store_delete_before", "store_snapshot", "follow_tidelog"):
+        assert 0 < QUERIES[name](spark, sf).count() < n
 
 
 def test_engine_stands_without_llm():

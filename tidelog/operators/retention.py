@@ -17,17 +17,17 @@ def _kept(segments: DataFrame, gone: Column) -> DataFrame:
     return _marked(segments).where(~(F.col("_free") & gone)).drop("_free")
 
 
-def delete_before(segments: DataFrame, lsn: int) -> DataFrame:
+def delete_before(segments: DataFrame, lsn: int | Column) -> DataFrame:
     """What stays when segments that end before lsn go."""
     return _kept(segments, F.col("sealed") & (F.col("last_lsn") < lsn))
 
 
-def delete_older_than(segments: DataFrame, ts_ns: int) -> DataFrame:
+def delete_older_than(segments: DataFrame, ts_ns: int | Column) -> DataFrame:
     """What stays when segments whose last frame is older go."""
     return _kept(segments, F.col("sealed") & (F.col("last_ts") < ts_ns))
 
 
-def compact(segments: DataFrame, checkpoint_lsn: int | None = None, checkpoint_ts: int | None = None) -> DataFrame:
+def compact(segments: DataFrame, checkpoint_lsn: int | Column | None = None, checkpoint_ts: int | Column | None = None) -> DataFrame:
     """The rule by number, then the one by time; without a checkpoint nothing goes."""
     if checkpoint_lsn is not None:
         segments = delete_before(segments, checkpoint_lsn)

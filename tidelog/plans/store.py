@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BatchTooLarge, CommitConflict, EmptyBatch, ImportInvalid, LsnRangeError, ManifestError, SegmentNotFound
-from ..functions.columns import MOST_KEY_BYTES, MOST_META_BYTES, empty_to_null, null_to_empty
+from ..functions.columns import FRAME_BYTES, MOST_KEY_BYTES, MOST_META_BYTES, empty_to_null, null_to_empty
 from ..operators import frames as fr
 from ..operators import retention
 from ..operators.ordering import assign_lsn
@@ -25,8 +25,11 @@ from ..schema import EVENT, SEGMENT, SEGMENT_FIELDS
 from ..session import Lifecycle, State, durable
 from ..sources import codec, wal
 from ..sources.files import Files
+from .buffer import Buffer
 from .manifest import Manifest, Manifests
 
+#: Never; at each commit; after a time, a number of batches or a number of bytes since the last sync.
+SYNC_MODES = ("never", "batch", "interval", "count", "size")
 #: Counters that manifests carry.
 COUNTERS = (
     *("events_written", "batches_written", "bytes_written", "bytes_synced", "sync_count", "last_sync_ns", "drops", "compressed_bytes", "corruptions"),
@@ -47,8 +50,22 @@ class Options:
     retention_age_ns: int | None = None
     start_lsn: int = 1
     clock: Callable[[], int] = time.time_ns
+    #: When a commit counts as synced: SYNC_MODES; the numbers say how often, for the last three.
+    sync_mode: str = "batch"
+    sync_interval_ns: int = 100_000_000
+    sync_count: int = 1
+    sync_bytes: int = 1
+    #: Takes the rows of reads.index_feed for each commit; its errors are swallowed.
+    indexer: Callable[[DataFrame], None] | None = None
+    #: Makes the file operations; sources.files.Files by default.
+    storage: Callable[[SparkSession], Files] = Files
+    #: Codec by whose name exported frames are compressed, and their compressed bytes counted.
+    compression: str | None = None
 
     def __post_init__(self):
+        if self.sync_mode not in SYNC_MODES:
+            raise ValueError(f"sync_mode is one of {SYNC_MODES}")
+        self.sync_count, self.sync_bytes = max(1, self.sync_count), max(1, self.sync_bytes)
         for name in ("max_segments", "retention_bytes"):
             if (v := getattr(self, name)) is not None and v <= 0:
                 setattr(self, name, None)
@@ -80,7 +97,8 @@ class Hooks:
 class Log:
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None, *observers):
         self.spark, self.root, self.options, self.hooks = spark, root.rstrip("/"), options or Options(), Hooks(*observers)
-        self.files, self.life, self.pins = Files(spark), Lifecycle(), {}
+        self.files, self.life, self.pins = self.options.storage(spark), Lifecycle(), {}
+        self.unsynced = {"batches": 0, "bytes": 0}
         self.manifests = Manifests(self.files, self.root)
         self.manifest = self._recover()
         self.life.advance(State.RUNNING)
@@ -142,7 +160,7 @@ class Log:
         m = self._fresh()
         base, now = m.last_lsn, self.options.clock()
         ts = F.coalesce(F.col("ts_ns"), F.lit(now)) if "ts_ns" in rows.columns else F.lit(now)
-        numbered = durable(assign_lsn(rows, order, base)) if order else rows
+        numbered = durable(assign_lsn(rows, order, base) if order else rows)
         binary = lambda c: F.col(c).cast("binary") if c in rows.columns else F.lit(None).cast("binary")
         events = numbered.select(
             "lsn", ts.cast("long").alias("ts_ns"), empty_to_null(binary("key")).alias("key"), empty_to_null(binary("meta")).alias("meta"), null_to_empty(binary("payload")).alias("payload"),
@@ -150,6 +168,21 @@ class Log:
         )
         return self._write(m, events)
 
+    def buffer(self, **settings) -> Buffer:
+        """A buffer whose batches are numbered as they come and committed together when it is flushed; drops are counted."""
+        self.life.must_write()
+
+        def write(rows: list[tuple]) -> None:
+            events = self.spark.createDataFrame(rows, "lsn long, ts_ns long, key binary, meta binary, payload binary, batch_first_lsn long")
+            m = self._fresh()
+            self._count(m, {"drops": held.drops - told[0]})
+            told[0] = held.drops
+            self._write(m, events)
+
+        told = [0]
+        held = Buffer(write, self._fresh().last_lsn + 1, max_batch_bytes=self.options.max_batch_bytes, on_drop=lambda n: self.hooks.fire("on_drop", n), **settings)
+        return held
+
     def _write(self, m: Manifest, events: DataFrame, sealed: bool = False, imported: bool = False) -> int:
         """Places, writes and commits numbered events; retries under the next version if only another's commit was in between and numbers are kept."""
         batches = durable(fr.frames(events, "batch_first_lsn"))
@@ -165,10 +198,9 @@ class Log:
             opened["sealed"] = True
             opened = None
         limit = 1 << 62 if sealed else self.options.max_segment_bytes
-        cuts = batches.agg(fr.cuts(batches, limit, opened["size"] if opened else 0)["cuts"].alias("c")).first()["c"]
-        firsts = ([opened["first_lsn"]] if opened else []) + list(cuts)
-        segment = F.array_max(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in firsts]), lambda c: c <= F.col("batch_first_lsn")))
-        batches, events = (d.withColumn("segment_lsn", segment).withColumn("segment", F.col("segment_lsn")) for d in (batches, events))
+        batches = durable(fr.place(batches, limit, (opened["first_lsn"], opened["size"]) if opened else None))
+        segment_of = batches.select("batch_first_lsn", "segment_lsn", F.col("segment_lsn").alias("segment"))
+        events = events.drop("segment_lsn").join(segment_of, "batch_first_lsn")
         folder = uuid4().hex
         self.hooks.fire("before_write", head["bytes"])
         began = self.options.clock()
@@ -191,20 +223,38 @@ class Log:
         m.segments.sort(key=lambda s: s["first_lsn"])
         for s in m.segments[:-1]:
             s["sealed"] = True
+        m.segments = [s for s in m.segments if s["folders"]]
         m.last_lsn = max(m.last_lsn, head["last"])
         m.first_lsn = min(s["first_lsn"] for s in m.segments)
-        count = {"events_written": head["events"], "batches_written": head["batches"], "bytes_written": head["bytes"], "rotation_count": len(rotations)}
+        written = {"events_written": head["events"], "batches_written": head["batches"]}
+        count = {"bytes_written": head["bytes"], "rotation_count": len(rotations)} | ({} if sealed else written)
         if imported:
-            count = {"bytes_written": head["bytes"], "import_batches": head["batches"], "import_bytes": head["bytes"]}
+            count |= {"import_batches": head["batches"], "import_bytes": head["bytes"]}
+        elif self.options.compression:
+            count["compressed_bytes"] = self._compressed(events)
         self._count(m, count)
         if rotations:
             self._retire(m)
-        self._commit(m, head["bytes"])
+        self._commit(m, head["bytes"], head["batches"])
         for s in rotations:
             self.hooks.fire("on_rotation", dict(s))
-        self.hooks.fire(*(("on_import", head["first"], head["last"], head["bytes"]) if imported else ("after_append", head["first"], head["last"], head["events"])))
+        if not sealed:
+            self.hooks.fire("after_append", head["first"], head["last"], head["events"])
+        if imported:
+            self.hooks.fire("on_import", head["first"], head["last"], head["bytes"])
+        if self.options.indexer is not None and not sealed:
+            rows = events.select("lsn", "ts_ns", "key", "meta", "batch_first_lsn").join(batches.select("batch_first_lsn", "offset", "segment_lsn"), "batch_first_lsn").drop("batch_first_lsn")
+            try:
+                self.options.indexer(rows)
+            except Exception:  # noqa: BLE001, S110  as with hooks
+                pass
         return head["last"]
 
+    def _compressed(self, events: DataFrame) -> int:
+        """Bytes that the records of compressed frames take: those that the codec makes smaller."""
+        heads = codec.scan_frames(codec.encode_frames(events, "batch_first_lsn", self.options.compression).select("frame"))
+        return heads.where("compressed").agg(F.coalesce(F.sum(F.col("size") - FRAME_BYTES), F.lit(0)).alias("n")).first()["n"]
+
     @staticmethod
     def _segment_rows(batches: DataFrame) -> list[dict]:
         """Entries of the segments of some frames; a row for each segment reaches the driver."""
@@ -214,19 +264,32 @@ class Log:
         return [{"first_lsn": r["segment_lsn"], "last_lsn": r["last_lsn"], "size": r["size"], "first_ts": r["first_ts"], "last_ts": r["last_ts"]} for r in each.orderBy("segment_lsn").collect()]
 
     def rotate(self) -> None:
-        """Seals the open segment; the next append opens one."""
+        """Seals the open segment and opens the next at the following number. One that is empty is told of, and replaced."""
         self.life.must_write()
-        m = self._fresh()
+        m, now = self._fresh(), self.options.clock()
         if m.segments and not m.segments[-1]["sealed"]:
-            m.segments[-1]["sealed"] = True
-            self._count(m, {"rotation_count": 1})
-            self._retire(m)
-            self._commit(m, 0)
-            self.hooks.fire("on_rotation", dict(m.segments[-1]))
+            told = m.segments[-1] if m.segments[-1]["folders"] else m.segments.pop()
+        else:
+            told = self._empty(m.last_lsn + 1, now)
+        told["sealed"] = True
+        m.segments.append(self._empty(m.last_lsn + 1, now))
+        self._count(m, {"rotation_count": 1})
+        self._retire(m)
+        self._commit(m, 0)
+        self.hooks.fire("on_rotation", dict(told))
+
+    @staticmethod
+    def _empty(first_lsn: int, now: int) -> dict:
+        """The entry of an open segment without frames."""
+        return {"first_lsn": first_lsn, "last_lsn": first_lsn - 1, "size": 0, "created_at": now, "first_ts": 0, "last_ts": 0, "sealed": False, "folders": []}
 
     def flush(self) -> None:
-        """Appends are committed when they return; nothing is left to do."""
+        """Appends are committed when they return; what the sync mode left counts as synced now."""
         self.life.must_write()
+        if self.unsynced["bytes"]:
+            m = self._fresh()
+            self._sync(m, self.options.clock())
+            self.manifest = self.manifests.commit(m)
 
     sync = flush
 
@@ -250,17 +313,37 @@ class Log:
         for k, v in more.items():
             m.counters[k] = m.counters.get(k, 0) + int(v)
 
-    def _commit(self, m: Manifest, written: int) -> None:
-        began = self.options.clock()
+    def _due(self, m: Manifest, now: int) -> bool:
+        """Whether the sync mode asks for a sync now."""
+        o, left = self.options, self.unsynced
+        return {
+            "never": False,
+            "batch": True,
+            "interval": now - m.counters.get("last_sync_ns", 0) >= o.sync_interval_ns,
+            "count": left["batches"] >= o.sync_count,
+            "size": left["bytes"] >= o.sync_bytes,
+        }[o.sync_mode]
+
+    def _sync(self, m: Manifest, now: int) -> None:
         self.hooks.fire("before_sync")
-        self._count(m, {"bytes_synced": written, "sync_count": 1})
-        m.counters["last_sync_ns"] = began
+        self._count(m, {"bytes_synced": self.unsynced["bytes"], "sync_count": 1})
+        m.counters["last_sync_ns"] = now
+        self.hooks.fire("after_sync", self.unsynced["bytes"], self.options.clock() - now)
+        self.unsynced = {"batches": 0, "bytes": 0}
+
+    def _commit(self, m: Manifest, written: int, batches: int = 0) -> None:
+        """Commits the manifest. Files are whole by then in every sync mode; the mode says which commits count as syncs."""
+        now = self.options.clock()
+        before = dict(self.unsynced)
+        self.unsynced = {"batches": before["batches"] + batches, "bytes": before["bytes"] + written}
+        if self._due(m, now):
+            self._sync(m, now)
         try:
             self.manifest = self.manifests.commit(m)
         except CommitConflict as e:
+            self.unsynced = before
             self.hooks.fire("on_error", e)
             raise
-        self.hooks.fire("after_sync", written, self.options.clock() - began)
 
     # --- reading
 

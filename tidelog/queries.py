@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.columns import event_time, parse_segment_name, segment_name
 from .operators import frames as fr
 from .operators import ordering, reads, replication, retention
-from .sources import codec
+from .plans.store import Log, Options
+from .session import shared_folder
+from .sources import codec, wal
 from .sources.view import LogView, event_log
 
 SEGMENT = 65_536
@@ -85,14 +89,25 @@ def seek_ts(spark, sf_dir):
     return reads.seek_ts(f, probes)
 
 
+def _bounded(spark, sf_dir) -> DataFrame:
+    """Segments, with _third and _middle: the numbers a third and half through the log; _ts: the time half through the segments."""
+    s = _segments(spark, sf_dir)
+    a, b = F.min("first_lsn"), F.max("last_lsn")
+    div = lambda x, n: F.call_function("div", x, F.lit(n))
+    bounds = s.agg((a + div(b - a, 3)).alias("_third"), (a + div(b - a, 2)).alias("_middle"), div(F.min("last_ts") + F.max("last_ts"), 2).alias("_ts"))
+    return s.crossJoin(F.broadcast(bounds))
+
+
+def _plain(bounded: DataFrame) -> DataFrame:
+    return bounded.drop("_third", "_middle", "_ts")
+
+
 def delete_before(spark, sf_dir):
-    return retention.delete_before(_segments(spark, sf_dir), 600)
+    return _plain(retention.delete_before(_bounded(spark, sf_dir), F.col("_middle")))
 
 
 def delete_older_than(spark, sf_dir):
-    s = _segments(spark, sf_dir)
-    middle = s.agg(F.call_function("div", F.min("last_ts") + F.max("last_ts"), F.lit(2)).alias("t")).first()["t"]
-    return retention.delete_older_than(s, middle)
+    return _plain(retention.delete_older_than(_bounded(spark, sf_dir), F.col("_ts")))
 
 
 def retention_count(spark, sf_dir):
@@ -104,22 +119,8 @@ def retention_size(spark, sf_dir):
 
 
 def compact_checkpoint(spark, sf_dir):
-    return retention.compact(_segments(spark, sf_dir), 900, 0)
-
-
-def snapshot_read(spark, sf_dir):
-    return event_log(spark, sf_dir).events(last=700).select("lsn", "key", "payload")
-
-
-def import_overlap(spark, sf_dir):
-    v = event_log(spark, sf_dir)
-    both = replication.imported(v.events(last=600), v.events(first=501, last=900))
-    return both.groupBy("lsn").agg(F.count(F.lit(1)).alias("copies"), F.min("payload").alias("payload"))
-
-
-def import_distinct(spark, sf_dir):
-    v = event_log(spark, sf_dir)
-    return replication.without_repeats(replication.imported(v.events(last=600), v.events(first=501, last=900))).select("lsn", "payload")
+    """Checkpoints by number and by time; the later one decides."""
+    return _plain(retention.compact(_bounded(spark, sf_dir), F.col("_third"), F.col("_ts")))
 
 
 def _bounds(log: LogView) -> tuple[int, int]:
@@ -135,23 +136,23 @@ def _thirds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return v.events(last=a + (b - a) * 2 // 3), v.events(first=a + (b - a) // 3)
 
 
-def snapshot_read_pinned(spark, sf_dir):
+def snapshot_read(spark, sf_dir):
     """A snapshot pinned at two thirds of the log."""
     return _thirds(spark, sf_dir)[0].select("lsn", "key", "payload")
 
 
-def import_overlap_whole(spark, sf_dir):
+def import_overlap(spark, sf_dir):
     both = replication.imported(*_thirds(spark, sf_dir))
     return both.groupBy("lsn").agg(F.count(F.lit(1)).alias("copies"), F.min("payload").alias("payload"))
 
 
-def import_distinct_whole(spark, sf_dir):
+def import_distinct(spark, sf_dir):
     return replication.without_repeats(replication.imported(*_thirds(spark, sf_dir))).select("lsn", "payload")
 
 
 def replica_missing_segments(spark, sf_dir):
     s = _segments(spark, sf_dir)
-    return replication.missing_segments(s, s.where("first_lsn % 2 = 0")).select("first_lsn", "last_lsn", "size")
+    return replication.missing_segments(s, s.where("first_lsn div 100 % 3 = 0")).select("first_lsn", "last_lsn", "size")
 
 
 def index_feed(spark, sf_dir):
@@ -164,7 +165,8 @@ def index_lookup(spark, sf_dir):
 
 
 def live_index(spark, sf_dir):
-    s = retention.delete_before(_segments(spark, sf_dir), 600)
+    """Index rows that a deletion before the middle leaves valid, counted by segment."""
+    s = retention.delete_before(_bounded(spark, sf_dir), F.col("_middle"))
     return replication.live_index(reads.index_feed(_log(spark, sf_dir), _placed(spark, sf_dir)), s).groupBy("segment_lsn").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -182,14 +184,19 @@ def drop_gaps(spark, sf_dir):
 
 
 def batch_too_large(spark, sf_dir):
-    return fr.too_large(fr.frames(_log(spark, sf_dir)), 11_000).select("first_lsn", "size")
+    """Batches over the mean size."""
+    f = fr.frames(_log(spark, sf_dir))
+    mean = f.agg(F.call_function("div", F.sum("size"), F.count(F.lit(1))).alias("_mean"))
+    return fr.too_large(f.crossJoin(F.broadcast(mean)), F.col("_mean")).select("first_lsn", "size")
 
 
 def recover_prefix(spark, sf_dir):
+    """The open segment with a bad frame half through it."""
     p = _placed(spark, sf_dir)
     last = p.agg(F.max("segment_lsn").alias("m"))
-    active = p.join(F.broadcast(last), p["segment_lsn"] == last["m"], "left_semi")
-    return fr.recovered(active, F.col("batch_no") % 3 == 2).select("segment_lsn", "offset", "first_lsn", "last_lsn")
+    active = p.join(F.broadcast(last), p["segment_lsn"] == last["m"]).drop("m")
+    middle = active.agg(F.call_function("div", F.min("batch_no") + F.max("batch_no"), F.lit(2)).alias("_middle"))
+    return fr.recovered(active.crossJoin(F.broadcast(middle)), F.col("batch_no") == F.col("_middle")).select("segment_lsn", "offset", "first_lsn", "last_lsn")
 
 
 def replay_skip_rest(spark, sf_dir):
@@ -240,6 +247,86 @@ def follow_available_now(spark, sf_dir):
     return drain(rows)
 
 
+def _store(spark: SparkSession, sf_dir: str, observe=None) -> Log:
+    """A native log of the events, from two appends; observe(log) runs between them."""
+    v = event_log(spark, sf_dir)
+    a, b = _bounds(v)
+    middle = a + (b - a) // 2 // v.batch_size * v.batch_size - 1
+    log = Log(spark, f"{shared_folder(spark)}/log-{uuid4().hex}", Options(batch_size=v.batch_size, max_segment_bytes=SEGMENT))
+    for rows in (v.events(last=middle), v.events(first=middle + 1)):
+        if not rows.isEmpty():
+            log.append(rows.select("lsn", "ts_ns", "key", "meta", "payload").withColumnRenamed("lsn", "at"), ["at"])
+            if observe is not None:
+                observe, _ = None, observe(log)
+    return log
+
+
+def _strings(events: DataFrame) -> DataFrame:
+    return events.select("lsn", "ts_ns", *[F.col(c).cast("string").alias(c) for c in ("key", "meta", "payload")])
+
+
+def store_append_read(spark, sf_dir):
+    """Two appends, read back."""
+    return _strings(_store(spark, sf_dir).read())
+
+
+def store_segments(spark, sf_dir):
+    """The segments that two appends make: the second goes on in the open one."""
+    return _store(spark, sf_dir).segments().drop("created_at")
+
+
+def store_delete_before(spark, sf_dir):
+    """What a deletion before the middle leaves to read."""
+    log = _store(spark, sf_dir)
+    first, last = log.manifest.first_lsn, log.manifest.last_lsn
+    log.delete_before(first + (last - first) // 2)
+    return _strings(log.read())
+
+
+def store_snapshot(spark, sf_dir):
+    """A snapshot taken between the appends, read after the second and a deletion."""
+    held = []
+    log = _store(spark, sf_dir, lambda log: held.append(log.snapshot().__enter__()))
+    log.delete_before(log.manifest.last_lsn)
+    return _strings(held[0].read())
+
+
+def store_import(spark, sf_dir):
+    """Sealed segments, exported as files of compressed frames and imported by a replica."""
+    log = _store(spark, sf_dir)
+    replica = Log(spark, f"{log.root}-replica")
+    for s in log.manifest.segments:
+        if s["sealed"]:
+            replica.import_segment(log.export_segment(s["first_lsn"], f"{log.root}-files", "zstd"), "zstd")
+    return _strings(replica.read())
+
+
+def store_rotate(spark, sf_dir):
+    """A rotation between the appends: the first number of each segment, and how many events it has."""
+    log = _store(spark, sf_dir, lambda log: log.rotate())
+    return log.read().groupBy(F.col("segment_lsn").alias("first_lsn")).agg(F.count(F.lit(1)).alias("events"))
+
+
+def wal_files(spark, sf_dir):
+    """The log written as files of frames and read again, both by format("wal")."""
+    wal.register(spark)
+    folder = f"{shared_folder(spark)}/wal-{uuid4().hex}"
+    rows = _log(spark, sf_dir)
+    first = F.min("lsn").over(Window.partitionBy("batch_no")).alias("batch_first_lsn")
+    binary = rows.select("lsn", "ts_ns", *[F.col(c).cast("binary").alias(c) for c in ("key", "meta", "payload")], first).withColumn("segment_lsn", F.col("batch_first_lsn"))
+    binary.repartitionByRange("lsn").sortWithinPartitions("lsn").write.format("wal").option("path", folder).mode("append").save()
+    return _strings(spark.read.format("wal").option("path", folder).load())
+
+
+def follow_tidelog(spark, sf_dir):
+    """The native log through format("tidelog"), from a third on."""
+    from .streaming.follow import drain, follow
+
+    log = _store(spark, sf_dir)
+    first, last = log.manifest.first_lsn, log.manifest.last_lsn
+    return _strings(drain(follow(spark, log.root, first + (last - first) // 3)))
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -250,9 +337,9 @@ QUERIES = {
     for f in (
         *(replay_from, replay_range, replay_batches, replay_batch_events, iterate_events, event_times, frames, frames_of_orders, sparse_index, segments, seek_lsn, seek_ts),
         *(delete_before, delete_older_than, retention_count, retention_size, compact_checkpoint, snapshot_read, import_overlap, import_distinct),
-        *(snapshot_read_pinned, import_overlap_whole, import_distinct_whole),
         *(replica_missing_segments, index_feed, index_lookup, live_index, latest_per_key, assign_lsn, drop_gaps, batch_too_large, recover_prefix),
         *(replay_skip_rest, stats, segment_names, wal_roundtrip, wal_roundtrip_compressed, frame_headers, follow_available_now),
+        *(store_append_read, store_segments, store_delete_before, store_snapshot, store_import, store_rotate, wal_files, follow_tidelog),
     )
 }
 
@@ -270,6 +357,7 @@ _S = f"""S AS (SELECT segment_lsn AS first_lsn, max(last_lsn) AS last_lsn, sum(s
 _TO_S = f"WITH RECURSIVE {_L}, {_F}, {_P}, {_S}"
 _TO_P = f"WITH RECURSIVE {_L}, {_F}, {_P}"
 _B = "B AS (SELECT min(lsn) AS a, max(lsn) AS b FROM L)"
+_MIDDLE = "(SELECT min(first_lsn) + (max(last_lsn) - min(first_lsn)) // {} FROM S)"
 _FREE = "first_lsn < (SELECT max(first_lsn) FROM S)"
 _EVENTS = "lsn, ts_ns, key, meta, payload"
 
@@ -286,26 +374,23 @@ SQL = {
     "segments": f"{_TO_S} SELECT * FROM S",
     "seek_lsn": f"WITH {_L}, {_F}, Q AS (SELECT unnest([0, 1, 5, 100, 101, 555, 999, 1000000000000]::BIGINT[]) AS probe) SELECT probe, coalesce((SELECT max(first_lsn) FROM F WHERE first_lsn <= probe), (SELECT min(first_lsn) FROM F)) AS first_lsn FROM Q",
     "seek_ts": f"WITH {_L}, {_F}, Q AS (SELECT frame_ts + 1 AS probe_ts FROM F WHERE first_lsn IN (1, 301, 501) UNION ALL SELECT unnest([0, 4611686018427387904]::BIGINT[])) SELECT probe_ts, (SELECT min(first_lsn) FROM F WHERE frame_ts >= probe_ts) AS first_lsn FROM Q",
-    "delete_before": f"{_TO_S} SELECT * FROM S WHERE NOT ({_FREE} AND sealed AND last_lsn < 600)",
+    "delete_before": f"{_TO_S} SELECT * FROM S WHERE NOT ({_FREE} AND sealed AND last_lsn < {_MIDDLE.format(2)})",
     "delete_older_than": f"{_TO_S} SELECT * FROM S WHERE NOT ({_FREE} AND sealed AND last_ts < (SELECT (min(last_ts)::HUGEINT + max(last_ts)) // 2 FROM S))",
     "retention_count": f"{_TO_S} SELECT * FROM S ORDER BY first_lsn DESC LIMIT 3",
     "retention_size": f"{_TO_S} SELECT * EXCLUDE (rest, n) FROM (SELECT *, sum(size) OVER (ORDER BY first_lsn DESC) AS rest, row_number() OVER (ORDER BY first_lsn DESC) AS n FROM S) WHERE rest <= 200000 OR n = 1",
-    "compact_checkpoint": f"{_TO_S} SELECT * FROM S WHERE NOT ({_FREE} AND sealed AND (last_lsn < 900 OR last_ts < 0))",
-    "snapshot_read": f"WITH {_L} SELECT lsn, key, payload FROM L WHERE lsn <= 700",
-    "import_overlap": f"WITH {_L} SELECT lsn, count(*) AS copies, min(payload) AS payload FROM (SELECT * FROM L WHERE lsn <= 600 UNION ALL SELECT * FROM L WHERE lsn BETWEEN 501 AND 900) GROUP BY lsn",
-    "import_distinct": f"WITH {_L} SELECT lsn, payload FROM L WHERE lsn <= 900",
-    "snapshot_read_pinned": f"WITH {_L}, {_B} SELECT lsn, key, payload FROM L, B WHERE lsn <= a + (b - a) * 2 // 3",
-    "import_overlap_whole": f"WITH {_L}, {_B} SELECT lsn, count(*) AS copies, min(payload) AS payload FROM (SELECT L.* FROM L, B WHERE lsn <= a + (b - a) * 2 // 3 UNION ALL SELECT L.* FROM L, B WHERE lsn >= a + (b - a) // 3) GROUP BY lsn",
-    "import_distinct_whole": f"WITH {_L} SELECT lsn, payload FROM L",
-    "replica_missing_segments": f"{_TO_S} SELECT first_lsn, last_lsn, size FROM S WHERE sealed AND first_lsn NOT IN (SELECT first_lsn FROM S WHERE first_lsn % 2 = 0)",
+    "compact_checkpoint": f"{_TO_S} SELECT * FROM S WHERE NOT ({_FREE} AND sealed AND (last_lsn < {_MIDDLE.format(3)} OR last_ts < (SELECT (min(last_ts)::HUGEINT + max(last_ts)) // 2 FROM S)))",
+    "snapshot_read": f"WITH {_L}, {_B} SELECT lsn, key, payload FROM L, B WHERE lsn <= a + (b - a) * 2 // 3",
+    "import_overlap": f"WITH {_L}, {_B} SELECT lsn, count(*) AS copies, min(payload) AS payload FROM (SELECT L.* FROM L, B WHERE lsn <= a + (b - a) * 2 // 3 UNION ALL SELECT L.* FROM L, B WHERE lsn >= a + (b - a) // 3) GROUP BY lsn",
+    "import_distinct": f"WITH {_L} SELECT lsn, payload FROM L",
+    "replica_missing_segments": f"{_TO_S} SELECT first_lsn, last_lsn, size FROM S WHERE sealed AND first_lsn // 100 % 3 <> 0",
     "index_feed": f'{_TO_P} SELECT lsn, ts_ns, key, meta, "offset", segment_lsn FROM L JOIN P USING (batch_no)',
     "index_lookup": f"WITH {_L} SELECT lsn, key, meta, payload FROM L WHERE key = '7'",
-    "live_index": f"{_TO_S} SELECT segment_lsn, sum(cnt)::BIGINT AS rows FROM P WHERE segment_lsn IN (SELECT first_lsn FROM S WHERE NOT ({_FREE} AND sealed AND last_lsn < 600)) GROUP BY segment_lsn",
+    "live_index": f"{_TO_S} SELECT segment_lsn, sum(cnt)::BIGINT AS rows FROM P WHERE segment_lsn IN (SELECT first_lsn FROM S WHERE NOT ({_FREE} AND sealed AND last_lsn < {_MIDDLE.format(2)})) GROUP BY segment_lsn",
     "latest_per_key": f"WITH {_L} SELECT key, max(lsn) AS lsn, arg_max(payload, lsn) AS payload FROM L GROUP BY key",
     "assign_lsn": "SELECT o_orderkey, o_custkey, 1000 + row_number() OVER (ORDER BY o_orderkey) AS lsn FROM orders",
     "drop_gaps": f"WITH {_L} SELECT after_lsn, lsn AS next_lsn FROM (SELECT lsn, lag(lsn) OVER (ORDER BY lsn) AS after_lsn FROM L WHERE batch_no % 7 <> 3) WHERE lsn > after_lsn + 1",
-    "batch_too_large": f"WITH {_L}, {_F} SELECT first_lsn, size FROM F WHERE size > 11000",
-    "recover_prefix": f'{_TO_P} SELECT segment_lsn, "offset", first_lsn, last_lsn FROM P a WHERE segment_lsn = (SELECT max(segment_lsn) FROM P) AND "offset" < coalesce((SELECT min("offset") FROM P b WHERE b.segment_lsn = a.segment_lsn AND batch_no % 3 = 2), 9000000000000)',
+    "batch_too_large": f"WITH {_L}, {_F} SELECT first_lsn, size FROM F WHERE size > (SELECT sum(size) // count(*) FROM F)",
+    "recover_prefix": f'{_TO_P}, A AS (SELECT * FROM P WHERE segment_lsn = (SELECT max(segment_lsn) FROM P)) SELECT segment_lsn, "offset", first_lsn, last_lsn FROM A WHERE batch_no < (SELECT (min(batch_no) + max(batch_no)) // 2 FROM A)',
     "replay_skip_rest": f'{_TO_P}, B AS (SELECT segment_lsn, min("offset") AS bad FROM P WHERE batch_no % 11 = 4 GROUP BY 1) SELECT lsn, key FROM L JOIN (SELECT batch_no FROM P LEFT JOIN B USING (segment_lsn) WHERE bad IS NULL OR "offset" < bad) USING (batch_no)',
     "stats": f"{_TO_S} SELECT * FROM (SELECT count(*) AS batches, sum(cnt)::BIGINT AS events, sum(size)::BIGINT AS bytes, min(first_lsn) AS first_lsn, max(last_lsn) AS last_lsn FROM F), (SELECT count(*) AS segments, sum(size)::BIGINT AS total_size, sum(sealed::INT)::BIGINT AS rotations FROM S)",
     "segment_names": f"{_TO_S} SELECT first_lsn, lpad(first_lsn::VARCHAR, 20, '0') || '.wal' AS name, first_lsn AS parsed FROM S",
@@ -313,4 +398,17 @@ SQL = {
     "wal_roundtrip_compressed": f"WITH {_L} SELECT {_EVENTS} FROM L",
     "frame_headers": f"WITH {_L}, {_F} SELECT first_lsn, last_lsn, cnt, frame_ts, per_record_ts, size FROM F",
     "follow_available_now": f"WITH {_L} SELECT {_EVENTS} FROM L",
+    "store_append_read": f"WITH {_L} SELECT {_EVENTS} FROM L",
+    "store_segments": f"{_TO_S} SELECT first_lsn, last_lsn, size, first_ts, last_ts, sealed FROM S",
+    "store_delete_before": f"{_TO_S} SELECT {_EVENTS} FROM L WHERE lsn >= (SELECT min(first_lsn) FROM S WHERE NOT ({_FREE} AND sealed AND last_lsn < {_MIDDLE.format(2)}))",
+    "store_snapshot": f"WITH {_L}, {_B} SELECT {_EVENTS} FROM L, B WHERE lsn < a + (b - a) // 2 // 100 * 100",
+    "store_import": f"{_TO_S} SELECT {_EVENTS} FROM L WHERE lsn <= (SELECT max(last_lsn) FROM S WHERE sealed)",
+    "store_rotate": f"""WITH RECURSIVE {_L}, {_F}, {_B}, N AS (SELECT *, row_number() OVER (ORDER BY first_lsn) AS i FROM F),
+C(i, seg, full_at) AS (
+  SELECT i, first_lsn, size FROM N WHERE i = 1
+  UNION ALL SELECT N.i, CASE WHEN full_at >= {SEGMENT} OR first_lsn = a + (b - a) // 2 // 100 * 100 THEN first_lsn ELSE seg END, CASE WHEN full_at >= {SEGMENT} OR first_lsn = a + (b - a) // 2 // 100 * 100 THEN 0 ELSE full_at END + size
+  FROM C JOIN N ON N.i = C.i + 1, B)
+SELECT seg AS first_lsn, sum(cnt)::BIGINT AS events FROM C JOIN N USING (i) GROUP BY seg""",
+    "wal_files": f"WITH {_L} SELECT {_EVENTS} FROM L",
+    "follow_tidelog": f"WITH {_L}, {_B} SELECT {_EVENTS} FROM L, B WHERE lsn >= a + (b - a) // 3",
 }

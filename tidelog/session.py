@@ -19,10 +19,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; one of its own where a local session names none (tests). A cluster must name one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/tidelog-checkpoints")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "/tmp/tidelog-checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..errors import LsnRangeError
 from ..plans.manifest import Manifest
 from ..session import shared_folder
 
@@ -28,7 +29,11 @@ class Folder(InputPartition):
 
 
 class LogStream(DataSource):
-    """format("tidelog"): a stream of a log's committed events; options path, startLsn (inclusive; afterwards the checkpoint counts)."""
+    """format("tidelog"): a stream of a log's committed events.
+
+    Options: path; startLsn (inclusive; afterwards the checkpoint counts); failOnDataLoss (true): whether events that were
+    deleted after the stream began and before it read them are an error.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -47,6 +52,7 @@ class LogStreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/")
         self.start = int(options.get("startlsn", options.get("startLsn", 0)))
+        self.strict = str(options.get("failondataloss", options.get("failOnDataLoss", "true"))).lower() != "false"
 
     def _system(self):
         from pyarrow import fs
@@ -76,6 +82,9 @@ class LogStreamReader(DataSourceStreamReader):
     def partitions(self, start, end):
         m = self._newest()
         _, base = self._system()
+        begun = start["lsn"] > max(0, self.start - 1)
+        if self.strict and begun and m and m.segments and start["lsn"] < end["lsn"] and m.segments[0]["first_lsn"] > start["lsn"] + 1:
+            raise LsnRangeError(f"events {start['lsn'] + 1} to {m.segments[0]['first_lsn'] - 1} were deleted before they were read")
         wanted = [s for s in (m.segments if m else []) if s["last_lsn"] > start["lsn"] and s["first_lsn"] <= end["lsn"]]
         return [Folder(f"{base}/data/{f}", start["lsn"] + 1, end["lsn"]) for s in wanted for f in s["folders"]] if end["lsn"] > start["lsn"] else []
 
