@@ -8,6 +8,7 @@ from tidelog.operators import reads
 from tidelog.plans.buffer import Backpressure, Batch, Buffer
 from tidelog.plans.store import Log, Options
 from tidelog.sources import codec, wal
+from tidelog.sources.files import Files
 from tidelog.streaming.follow import follow
 
 
@@ -230,3 +231,87 @@ def test_buffer():
         Buffer(got.extend, max_batch_bytes=40).put(Batch().add(b"x" * 40))
     assert got[1][:1] + got[1][2:5] == (2, None, b"m", b"b")
     assert got[1][1] == 0
+
+
+def test_sync_modes(spark, tmp_path):
+    def synced(n, **options):
+        seen = Seen()
+        log = Log(spark, f"file://{tmp_path}/{'-'.join(map(str, options.values()))}", Options(batch_size=5, clock=Clock(), **options), seen)
+        for i in range(n):
+            log.append(rows(spark, 10, 10 * i))
+        s = log.stats().first()
+        assert s["sync_count"] == sum(c == "after_sync" for c, _ in seen.calls)
+        log.flush()
+        assert log.stats().first()["bytes_synced"] == s["bytes_written"]
+        return s["sync_count"]
+
+    assert synced(3, sync_mode="batch") == 3
+    assert synced(3, sync_mode="never") == 0
+    assert synced(4, sync_mode="count", sync_count=4) == 2
+    assert synced(2, sync_mode="size", sync_bytes=10**6) == 0
+    assert synced(2, sync_mode="interval", sync_interval_ns=10**9) == 0
+    with pytest.raises(ValueError, match="sync_mode"):
+        Options(sync_mode="sometimes")
+
+
+def test_indexer_buffer_compression_storage(spark, tmp_path):
+    made, fed = [], []
+
+    def storage(session):
+        made.append(1)
+        return Files(session)
+
+    seen = Seen()
+    log = Log(spark, f"file://{tmp_path}/log", Options(batch_size=5, clock=Clock(), indexer=fed.append, storage=storage, compression="zstd"), seen)
+    log.append(rows(spark, 10, size=500), ["ts_ns"])
+    assert made and sorted((r["lsn"], bytes(r["key"])) for r in fed[0].collect()) == [(i + 1, b"%d" % (i % 3)) for i in range(10)]
+    assert {r["offset"] > 0 for r in fed[0].where("lsn > 5").collect()} == {True}
+    assert 0 < log.stats().first()["compressed_bytes"] < log.stats().first()["bytes_written"]
+    b = log.buffer(queue_size=1, mode=Backpressure.DROP)
+    assert b.put(Batch().add(b"a").add(b"b", b"k")) == 12
+    assert b.put(Batch().add(b"lost")) == 0
+    b.close()
+    assert lsns(log.read(11)) == [11, 12]
+    assert log.stats().first()["drops"] == 1
+    assert "on_drop" in {c for c, _ in seen.calls}
+    failing = Log(spark, f"file://{tmp_path}/other", Options(indexer=lambda rows: 1 / 0))
+    assert failing.append(rows(spark, 3)) == 3
+
+
+def test_rotation_of_an_empty_segment(spark, log):
+    log.rotate()
+    assert [(s["first_lsn"], s["size"]) for s in log.manifest.segments] == [(1, 0)]
+    log.append(rows(spark, 5))
+    log.rotate()
+    log.rotate()
+    assert [s["first_lsn"] for s in log.manifest.segments] == [1, 6]
+    assert log.stats().first()["rotation_count"] == 3
+    assert log.append(rows(spark, 5)) == 10
+    assert [(s["first_lsn"], s["last_lsn"]) for s in log.manifest.segments] == [(1, 5), (6, 10)]
+    assert lsns(Log(spark, log.root, log.options).read()) == list(range(1, 11))
+
+
+def test_imports_count_events(spark, log):
+    seen = Seen()
+    replica = Log(spark, log.root + "-replica", Options(clock=Clock()), seen)
+    replica.import_batch(codec.encode([codec.Record(5, None, None, b"a"), codec.Record(6, b"k", None, b"b")], 500))
+    s = replica.stats().first()
+    assert (s["events_written"], s["batches_written"], s["import_batches"]) == (2, 1, 1)
+    assert {"after_append", "on_import"} <= {c for c, _ in seen.calls}
+
+
+def test_followers_tell_of_deleted_events(spark, log, tmp_path):
+    def caught(**options):
+        source = follow(spark, log.root).writeStream if not options else spark.readStream.format("tidelog").option("path", log.root).options(**options).load().writeStream
+        source.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    log.append(rows(spark, 10))
+    caught()
+    log.append(rows(spark, 60, 10))
+    log.rotate()
+    log.append(rows(spark, 5, 70))
+    log.delete_before(70)
+    with pytest.raises(Exception, match="deleted before they were read"):
+        caught()
+    caught(failOnDataLoss="false")
+    assert lsns(spark.read.parquet(f"{tmp_path}/rows"))[-5:] == [71, 72, 73, 74, 75]
