@@ -10,7 +10,8 @@ thirds there. Each (range, two thirds) gives a signature, and only sets with a c
 of ranges tell their empty thirds too, which they share with each other only.
 
 Linked sets thus share over SPARE signatures, so each may leave its SPARE largest groups without losing a partner (a prefix
-filter). In a group, all are compared with the least member first; then follow the pairs between those that still lie in several
+filter). In a group, all are compared first with the member that shares most with others, as near copies of one text lie nearest
+to that text; then follow the pairs between those that still lie in several
 components, in blocks. Sizes and counts over the hash domain prove most pairs too different before their elements are read.
 Nothing is capped: large groups leave a task in parts, are compared in blocks that several tasks share, and cost a row for
 each member, not for each pair, where their members are near copies.
@@ -332,10 +333,10 @@ def signature_groups(docs: DataFrame, size: int, windows: Windows) -> DataFrame:
 
 
 def memberships(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """gid, node, n: what is left of the groups when each node leaves the largest ones that it can spare (a prefix filter).
+    """gid, node, n, weight: what is left of the groups when each node leaves the largest ones that it can spare (a prefix filter).
 
     Linked nodes share more signatures than either can spare, so they still meet in the least group that has both. Nodes of one
-    short name are a group too.
+    short name are a group too. weight: how much a node shares with others, for its size.
     """
 
     def spread(batches):
@@ -352,7 +353,14 @@ def memberships(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     down = Window.partitionBy("short", "band").orderBy(F.desc("total"), "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     left = rows.withColumn("_left", F.sum("times").over(down)).where(F.col("_left") > F.col("spare")).select("gid", "short")
     twins = nodes.groupBy("short").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.xxhash64("short").alias("gid"), "short")
-    return left.unionByName(twins).distinct().join(nodes.select("short", "node", "n"), "short").select("gid", "node", "n")
+    weight = rows.groupBy("short").agg(F.sum(F.col("times") * (F.col("total") - 1)).alias("shared"))
+    weighed = nodes.join(weight, "short", "left").select("short", "node", "n", F.coalesce(F.col("shared") / F.col("n"), F.lit(0.0)).alias("weight"))
+    return left.unionByName(twins).distinct().join(weighed, "short").select("gid", "node", "n", "weight")
+
+
+def pivot_of(*more: str):
+    """Aggregate: the heaviest node of a group, the least of equal ones."""
+    return F.max_by(F.struct("node", *more), F.struct(F.col("weight"), -F.col("node")))
 
 
 def near_in_size(a: str, b: str, num: int, den: int):
@@ -360,9 +368,10 @@ def near_in_size(a: str, b: str, num: int, den: int):
 
 
 def first_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """p, m: each group's least node with all others of a fitting size."""
-    least = members.groupBy("gid").agg(F.min(F.struct("node", "n")).alias("_p"), F.max("node").alias("_m")).where("_p.node <> _m").select("gid", F.col("_p.node").alias("p"), F.col("_p.n").alias("_n"))
-    return members.join(least, "gid").where((F.col("node") != F.col("p")) & near_in_size("n", "_n", num, den)).select("p", F.col("node").alias("m")).distinct()
+    """p, m: each group's pivot with all others of a fitting size."""
+    pivots = members.groupBy("gid").agg(pivot_of("n").alias("_p"), F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("gid", F.col("_p.node").alias("p"), F.col("_p.n").alias("_n"))
+    pairs = members.join(pivots, "gid").where((F.col("node") != F.col("p")) & near_in_size("n", "_n", num, den))
+    return pairs.select("p", F.col("node").alias("m")).distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -426,15 +435,15 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def other_pairs(members: DataFrame, stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """p, m: pairs of a group in different components, but those with its least node, unless sizes or summaries rule them out.
+    """p, m: pairs of a group in different components, but those with its pivot, unless sizes or summaries rule them out.
 
     A group's members are dealt into blocks by hash, and each two blocks are compared somewhere. Each node brings the least few
     of its groups: a pair is left to an earlier group that both name, so near copies, which share most groups, are told of once.
     """
     rows = members.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rows.groupBy("gid").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("node").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_a <> _b and _n > 2")
-    split = split.select("gid", "_least", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    left = rows.join(split, "gid").where("node <> _least").select("gid", "node", "root", "_blocks", F.pmod(F.xxhash64("node", "gid"), F.col("_blocks")).cast("int").alias("own"))
+    split = rows.groupBy("gid").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), pivot_of().alias("_p"), F.count(F.lit(1)).alias("_n")).where("_a <> _b and _n > 2")
+    split = split.select("gid", F.col("_p.node").alias("_pivot"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    left = rows.join(split, "gid").where("node <> _pivot").select("gid", "node", "root", "_blocks", F.pmod(F.xxhash64("node", "gid"), F.col("_blocks")).cast("int").alias("own"))
     first = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("gid")), 1, FIRST).alias("first"))
     few = sets.select("node", "n", "summary").dropDuplicates(["node"]).join(first, "node")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
