@@ -1,13 +1,16 @@
 """Personal data with bootstrapped contextual extraction, in Spark expressions only.
 
 Base spans are e-mail and IP addresses, payment cards and phone numbers of full form. They are the seeds: the two words before
-a seed are a lexical pattern of its kind. Identifier-like strings that no base span covers are candidates; those behind the
-same two words are instances of the pattern. Patterns and instances form a graph that is scored in turns: a pattern by the
-mean score of its distinct instances (seeds have 1), an instance by its patterns together (noisy or). Patterns of high score
-and support add their candidates as spans.
-
-Null texts count as empty. Copies of a text give its patterns no more support than one. Repeated rows give a row each. Without
-seeds nothing is added.
+a seed (since the identifier before it) are a lexical pattern of its kind. Identifier-like strings that no base span covers are
+candidates; those behind the same two words are instances of the pattern. Patterns and values form a graph that is scored in
+turns. A pattern's score for a kind is the sum of the scores of its known values of that kind, against that sum, the known values
+of other kinds, and a small weight for each value of which nothing is known. A value that patterns of high score and support
+have is known from then on, with the score of these together (noisy or); known values induce and support further patterns. Turns
+end when none finds a value. The patterns that stand then add their candidates as spans.
+
+Null texts count as empty. Texts are read whole; words, the space between them and identifiers have any length. Copies of a text
+give its patterns no more support than one. Repeated rows give a row each. Without seeds nothing is added. Other columns, also
+those named as the operator's own, change nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
-from .spans import attach, matches, of_kind, spans_text
+from .common import Scratch, fresh
+from .spans import attach, matches, of_kind, spans_text, without
 
 #: Contract patterns. Possessive and bounded forms that match the same strings in linear time, without deep recursion.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -25,8 +28,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Identifier-like strings: letters or none, then a digit, then three or more characters of identifiers, all that follow.
 CANDIDATE = r"(?<![A-Za-z0-9@._+-])[A-Za-z]*+[-(]?[0-9][A-Za-z0-9@._()/-]{3,}+"
-#: Distinct seed values that a pattern needs; the score that it needs; turns of scoring.
-SUPPORT, CONFIDENCE, TURNS = 3, 0.8, 3
+#: Distinct known values that a pattern needs; the score that it needs; the weight of a value of which nothing is known.
+SUPPORT, CONFIDENCE, UNKNOWN = 3, 0.8, 0.02
+#: Parts into which the occurrences of a context are dealt.
+SALTS = 16
 KINDS = ("email", "ip", "card", "phone")
 
 
@@ -51,31 +56,35 @@ def keeps(kind: str):
 
 
 def context(before: Column) -> Column:
-    """The last two words before a place, lower-cased, with a mark where a colon or the like follows; null without."""
-    tail = F.lower(F.right(before, F.lit(60)))
-    words = F.regexp_extract(tail, r"(\p{L}++)[^\p{L}\p{N}]++(\p{L}++)([^\p{L}\p{N}]{0,4})$", 0)
-    return F.when(words != "", F.regexp_replace(F.trim(words), r"\s+", " "))
+    """The last two words before a place and what stands between and behind them, lower-cased, white space as one space; null without."""
+    words = F.regexp_extract(before, r"(?<!\p{L})\p{L}++[^\p{L}\p{N}]++\p{L}++[^\p{L}\p{N}]*+\z", 0)
+    return F.when(words != "", F.trim(F.regexp_replace(F.lower(words), r"\s+", " ")))
+
+
+def value_of(match: Column) -> Column:
+    """Names an identifier, however it is punctuated."""
+    return F.xxhash64(F.regexp_replace(F.lower(match), "[^a-z0-9.@]", ""))
 
 
 def base_matches(text: Column) -> dict[str, Column]:
-    extra = {"ctx": lambda p, m, g: context(p), "value": lambda p, m, g: F.xxhash64(F.lower(m))}
+    extra = {"ctx": lambda p, m, g: context(p), "value": lambda p, m, g: value_of(m)}
     return {k: matches(text, p, keeps(k), extra) for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True)}
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, key, base (struct(start, rank, kind, end, ctx, value)), n_<kind>, candidates."""
+def scanned(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, key, _<kind> for each kind and candidates (arrays of struct(start, end, line, ctx, value))."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,ctx:string,value:bigint>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,line:bigint,ctx:string,value:bigint>>")
     cols = {f"_{k}": F.coalesce(c, none) for k, c in base_matches(text).items()}
-    extra = {"ctx": lambda p, m, g: context(p), "value": lambda p, m, g: F.xxhash64(F.lower(m))}
+    extra = {"ctx": lambda p, m, g: context(p), "value": lambda p, m, g: value_of(m)}
     many = F.coalesce(matches(text, CANDIDATE, lambda m: F.length(digits(m)) >= 4, extra), none)
     rows = docs.select("doc_id", F.md5(text.cast("binary")).alias("key"), *[c.alias(k) for k, c in cols.items()], many.alias("candidates"))
-    return durable(rows)
+    return scratch.keep(rows, "scanned")
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """A row for each seed and each candidate that no base span covers: key, kind (null for candidates), ctx, value, start, end."""
-    shape = lambda c, k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).cast("string").alias("kind"), s["ctx"].alias("ctx"), s["value"].alias("value")))
+    """A row for each seed and each candidate that no base span covers: key, kind (null for candidates), ctx, value, start, end, line."""
+    shape = lambda c, k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["line"].alias("line"), F.lit(k).cast("string").alias("kind"), s["ctx"].alias("ctx"), s["value"].alias("value")))
     alike = rows.where((F.size("candidates") > 0) | F.greatest(*[F.size(f"_{k}") for k in KINDS]).__gt__(0)).dropDuplicates(["key"])
     each = alike.select("key", F.explode(F.concat(*[shape(F.col(f"_{k}"), k) for k in KINDS], shape(F.col("candidates"), None))).alias("s")).select("key", "s.*")
     seed = F.col("kind").isNotNull()
@@ -87,38 +96,48 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return each.where(seed | clear).drop("_before", "_after")
 
 
-def confident_patterns(seen: DataFrame) -> DataFrame:
+def confident_patterns(seen: DataFrame, scratch: Scratch) -> DataFrame:
     """ctx, kind, score of the patterns to use."""
-    seeds = seen.where("kind is not null and ctx is not null").groupBy("ctx", "kind", "value").agg(F.count(F.lit(1)).alias("_n"))
-    known = durable(seeds.groupBy("ctx", "kind").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT))
-    loose = seen.where("kind is null and ctx is not null").groupBy("ctx", "value").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    edges = durable(
-        seeds.join(known, ["ctx", "kind"]).select("ctx", "kind", "value", F.lit(1.0).alias("fixed")).unionByName(loose.join(known, "ctx").select("ctx", "kind", "value", F.lit(None).cast("double").alias("fixed")))
-    )
-    scored = edges.withColumn("score", F.coalesce("fixed", F.lit(0.0)))
-    for _ in range(TURNS):
-        pattern = scored.groupBy("ctx", "kind").agg((F.sum("score") / (F.count(F.lit(1)) + 0.5)).alias("p"))
-        graded = edges.join(pattern, ["ctx", "kind"])
-        value = graded.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("v"))
-        scored = durable(edges.join(value, ["kind", "value"]).select("ctx", "kind", "value", "fixed", F.coalesce("fixed", "v").alias("score")))
-    return scored.groupBy("ctx", "kind").agg((F.sum("score") / (F.count(F.lit(1)) + 0.5)).alias("score"), F.sum("fixed").alias("support")).where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("ctx", "kind", "score")
-
-
-def discovered(rows: DataFrame) -> DataFrame:
+    held = seen.where("ctx is not null").groupBy("ctx", "value").agg(F.count(F.lit(1)).alias("_n")).select("ctx", "value")
+    total = scratch.keep(held.groupBy("ctx").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= SUPPORT), "total")
+    edges = scratch.keep(held.join(total.select("ctx"), "ctx", "left_semi"), "edges")
+    known = scratch.keep(seen.where("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct(), "known0")
+    turn = 0
+    while True:
+        turn += 1
+        met = edges.join(known, "value")
+        kinds = met.groupBy("ctx", "kind").agg(F.sum("score").alias("for"), F.count(F.lit(1)).alias("support"))
+        every = met.groupBy("ctx", "value").agg(F.sum("score").alias("score")).groupBy("ctx").agg(F.sum("score").alias("all"), F.count(F.lit(1)).alias("met"))
+        score = F.col("for") / (F.col("all") + UNKNOWN * (F.col("total") - F.col("met")) + 0.5)
+        patterns = kinds.where(F.col("support") >= SUPPORT).join(every, "ctx").join(total, "ctx").select("ctx", "kind", score.alias("score")).where(F.col("score") >= CONFIDENCE)
+        patterns = scratch.keep(patterns, f"patterns{turn}")
+        graded = edges.join(patterns, "ctx").join(known.select("value").distinct(), "value", "left_anti")
+        graded = graded.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
+        found = graded.groupBy("value").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("best")).select("value", "best.kind", "best.score")
+        found = scratch.keep(found, f"found{turn}")
+        if found.isEmpty():
+            return patterns
+        known = scratch.keep(known.unionByName(found), f"known{turn}")
+        scratch.drop(f"known{turn - 1}", f"found{turn}", f"patterns{turn}")
+
+
+def discovered(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """key, added: the candidates that confident patterns find."""
-    seen = durable(occurrences(rows))
-    patterns = durable(confident_patterns(seen))
+    seen = scratch.keep(occurrences(rows), "seen")
+    patterns = confident_patterns(seen, scratch)
     ranks = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    hits = seen.where("kind is null").drop("kind").join(patterns, "ctx")
-    best = hits.groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    span = F.struct(F.col("start"), ranks[F.col("kind")].alias("rank"), F.col("kind"), F.col("end"))
-    return durable(best.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("added")))
+    dealt = seen.where("kind is null").drop("kind").withColumn("_salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)))
+    hits = dealt.join(patterns.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["ctx", "_salt"])
+    best = hits.groupBy("key", "start", "end", "line").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    span = F.struct(F.col("start"), ranks[F.col("kind")].alias("rank"), F.col("kind"), F.col("end"), F.col("line"))
+    return scratch.keep(best.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("added")), "added")
 
 
 def pii_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with base spans by kind, added spans by key)."""
-    rows = scanned(docs)
-    return rows, discovered(rows)
+    scratch = Scratch(docs.sparkSession, "pii")
+    rows = scanned(docs, scratch)
+    return rows, discovered(rows, scratch)
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
@@ -134,20 +153,13 @@ def pii_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """text with each covered stretch replaced by the mark of its first kind."""
-    step = "struct<at:bigint,parts:array<string>>"
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def put(done: Column, s: Column) -> Column:
-        between = F.substring(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
-        fresh = F.struct(s["end"].alias("at"), F.concat(done["parts"], F.array(between, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts"))
-        inside = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["parts"].alias("parts"))
-        return F.when(s["start"] >= done["at"], fresh.cast(step)).otherwise(inside.cast(step))
-
-    done = F.aggregate(F.array_sort(spans), none.cast(step), put)
-    whole = F.transform(F.array(done), lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(text, (d["at"] + 1).cast("int"), F.lit(2**31 - 1))))[0]
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+def stretches(spans: DataFrame) -> DataFrame:
+    """key, marks: sorted array of the disjoint stretches struct(start, end, kind) that spans (key, s) cover, each with its first kind."""
+    order = Window.partitionBy("key").orderBy("s")
+    before = F.max("s.end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("new", (F.col("s.start") >= F.coalesce(before, F.lit(0))).cast("int")).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    each = rows.groupBy("key", "part").agg(F.min("s").alias("first"), F.max("s.end").alias("end"))
+    return each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("first.start").alias("start"), F.col("end"), F.col("first.kind").alias("kind")))).alias("marks"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -156,10 +168,12 @@ def redact(docs: DataFrame) -> DataFrame:
     base = F.concat(*[of_kind(F.col(f"_{k}"), k, i) for i, k in enumerate(KINDS)])
     key, mark = fresh(docs.columns, "key", "marks")
     per_text = rows.select("key", base.alias("base")).where(F.size("base") > 0).dropDuplicates(["key"])
-    marks = per_text.join(added, "key", "full").select(F.col("key").alias(key), F.concat(F.coalesce("base", F.slice("added", 1, 0)), F.coalesce("added", F.slice("base", 1, 0))).alias(mark))
-    held = attach(docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), durable(marks), key)
+    spans = per_text.select("key", F.explode("base").alias("s")).unionByName(added.select("key", F.explode("added").alias("s")))
+    marks = Scratch(docs.sparkSession, "marks").keep(stretches(spans), "rows").withColumnsRenamed({"key": key, "marks": mark})
+    held = attach(docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), marks, key)
     found = F.col(mark).isNotNull()
-    changed = {"text": F.when(found, masked(F.col("text"), F.col(mark))).otherwise(F.col("text"))}
+    masked = without(F.col("text"), F.col(mark), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    held = held.withColumn("text", F.when(found, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(found, F.length(changed["text"]).cast("long")).otherwise(F.col("n_chars"))
-    return held.withColumns(changed).select(docs.columns)
+        held = held.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return held.select(docs.columns)

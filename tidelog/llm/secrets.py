@@ -1,11 +1,13 @@
 """Secret scan with multipart credential linking, in Spark expressions only.
 
 Base spans are assignments of secrets, access keys and long hexadecimal strings. The method adds weak parts: identifiers,
-secret-like strings and endpoints that prove nothing alone. Parts of a text are joined as intervals: a part sees those that
-start within SCOPE code points of its end, or end as near before it. A weak secret is reported if an identifier or endpoint is in its scope, a weak identifier
-or endpoint if a secret is; base spans take part as secrets (assign, hex) and identifiers (access).
+secret-like strings and endpoints that prove nothing alone. A part's scope is its line and the REACH lines on either side, however
+long they are; parts of a text are joined as intervals of lines. A weak secret is reported if an identifier or endpoint is in its
+scope, a weak identifier or endpoint if a secret is; base spans take part as secrets (assign, hex) and identifiers (access).
 
-Null texts count as empty. Texts that are equal have equal spans, so copies are linked once. Repeated rows give a row each.
+Null texts count as empty. Texts are searched whole, and parts have any length. Texts that are equal have equal spans, so copies
+are linked once. Repeated rows give a row each; other columns, also those named as the operator's own, are not read. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import Scratch
 from .spans import attach, matches, of_kind, spans_text
 
 #: Contract patterns. Where a run is wanted that has a least length, its quantifier says so: the matches are the same.
@@ -24,8 +26,8 @@ HEX = r"[0-9a-f]{24,}+"
 WEAK_ID = r"""(?i)(?<![a-z0-9])(?:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}+"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 ENDPOINT = r"""(?i)(?<![a-z0-9])(?:(?:https?|jdbc:[a-z]{1,20}|mongodb|postgres|postgresql|mysql|redis|amqp|s3)://[^\s"'<>]{3,}+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}+)"""
-#: Distance, from the end of the earlier to the start of the later, within which parts are linked.
-SCOPE = 200
+#: Lines before and behind its own that a part's scope has.
+REACH = 1
 BASE = ("assign", "access", "hex")
 
 
@@ -46,16 +48,11 @@ def weak_spans(text: Column) -> Column:
 
 
 def linked(parts: DataFrame) -> DataFrame:
-    """key, added: the weak parts whose complement is within SCOPE; parts: key, base, weak."""
+    """key, added: the weak parts with a complement in their scope; parts: key, base, weak."""
     one = parts.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).dropDuplicates(["key"])
-    rows = one.select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s", F.col("s.start").alias("at"), F.col("s.end").alias("to"), F.col("s.kind").alias("kind"))
-    so_far = lambda at: Window.partitionBy("key").orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def has(*kinds: str) -> Column:
-        its = F.col("kind").isin(*kinds)
-        before, after = F.max(F.when(its, F.col("to"))).over(so_far(F.asc("at"))), F.min(F.when(its, F.col("at"))).over(so_far(F.desc("at")))
-        return F.coalesce(before >= F.col("at") - SCOPE, F.lit(False)) | F.coalesce(after <= F.col("to") + SCOPE, F.lit(False))
-
+    rows = one.select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s", F.col("s.line").alias("line"), F.col("s.kind").alias("kind"))
+    scope = Window.partitionBy("key").orderBy("line").rangeBetween(-REACH, REACH)
+    has = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(scope)
     rows = rows.select("key", "s", "kind", has("assign", "hex", "weak_secret").alias("secret"), has("access", "weak_id", "weak_endpoint").alias("other"))
     told = ((F.col("kind") == "weak_secret") & F.col("other")) | (F.col("kind").isin("weak_id", "weak_endpoint") & F.col("secret"))
     return rows.where(told).groupBy("key").agg(F.sort_array(F.collect_set("s")).alias("added"))
@@ -63,11 +60,12 @@ def linked(parts: DataFrame) -> DataFrame:
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, base (arrays by kind), spans (all, sorted) for each row."""
+    scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
     found = base_spans(text)
     parts = docs.select("doc_id", F.md5(text.cast("binary")).alias("key"), *[c.alias(f"_{k}") for k, c in found.items()], weak_spans(text).alias("weak"))
-    parts = durable(parts.withColumn("base", F.concat(*[f"_{k}" for k in BASE])))
-    added = durable(linked(parts.select("key", "base", "weak")))
+    parts = scratch.keep(parts.withColumn("base", F.concat(*[f"_{k}" for k in BASE])), "parts")
+    added = scratch.keep(linked(parts.select("key", "base", "weak")), "added")
     return attach(parts, added, "key").withColumn("spans", F.concat("base", F.coalesce("added", F.slice("weak", 1, 0))))
 
 

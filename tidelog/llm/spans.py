@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Running sums go in blocks, so that appending to arrays costs no square of their length.
 BLOCK = 256
-#: Rows of which a table read once more may be broadcast at most.
-BROADCAST_ROWS = 100_000
+#: Code points of a block of a text that pieces are taken from.
+PIECE_BLOCK = 1024
 SUMS = "struct<total:bigint,before:array<bigint>>"
 
 
@@ -28,11 +28,13 @@ def sums_before(lengths: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, keep: Callable[[Column], Column], extra: dict[str, Callable[[Column, Column, Column], Column]] | None = None, group: int = 0) -> Column:
-    """Array of struct(start, end, extras...) of the non-overlapping matches, leftmost first, for which keep(group's text) holds.
+    """Array of struct(start, end, line, extras...) of the non-overlapping matches, leftmost first, for which keep(group's text) holds.
 
-    pattern never matches an empty string. extra: of (text before since the last match, match, group's text).
+    pattern never matches an empty string. line: the line feeds before the match. extra: of (text before since the last match,
+    match, group's text).
     """
     extra = extra or {}
+    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     got = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -46,14 +48,15 @@ def matches(text: Column, pattern: str, keep: Callable[[Column], Column], extra:
 
     def placed(x: Column) -> Column:
         before = sums_before(F.transform(x, lambda y: (F.length(y["p"]) + F.length(y["m"])).cast("bigint")))
+        lines = sums_before(F.transform(x, lambda y: (feeds(y["p"]) + feeds(y["m"])).cast("bigint")))
 
         def row(y: Column, n: Column) -> Column:
-            start = n + F.length(y["p"])
+            start = n["n"] + F.length(y["p"])
             more = [f(y["p"], y["m"], y["g"]).alias(k) for k, f in extra.items()]
-            return F.struct(start.alias("start"), (start + F.length(y["m"])).alias("end"), *more, y["g"].alias("_g"))
+            return F.struct(start.alias("start"), (start + F.length(y["m"])).alias("end"), (n["l"] + feeds(y["p"])).alias("line"), *more, y["g"].alias("_g"))
 
-        kept = F.filter(F.zip_with(x, before, row), lambda y: keep(y["_g"]))
-        return F.transform(kept, lambda y: F.struct(*[y[c].alias(c) for c in ("start", "end", *extra)]))
+        kept = F.filter(F.zip_with(x, F.zip_with(before, lines, lambda n, at: F.struct(n.alias("n"), at.alias("l"))), row), lambda y: keep(y["_g"]))
+        return F.transform(kept, lambda y: F.struct(*[y[c].alias(c) for c in ("start", "end", "line", *extra)]))
 
     # one-element transforms bind their argument, so that it is computed once
     some = F.flatten(F.transform(F.array(got), placed))
@@ -65,13 +68,40 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,line:bigint>"
+
+
 def of_kind(spans: Column, kind: str, rank: int) -> Column:
-    """struct(start, rank, kind, end) of an array of matches, null as empty."""
-    made = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
-    return F.coalesce(made, F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>"))
+    """struct(start, rank, kind, end, line) of an array of matches, null as empty."""
+    made = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["line"].alias("line")))
+    return F.coalesce(made, F.array().cast(f"array<{SPAN}>"))
 
 
 def attach(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """rows left-joined with few, which has been written and has unique keys: by broadcast where it is counted to be small."""
-    small = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(few) if small else few, key, "left")
+    """rows left-joined with few, which has unique keys. By shuffle at every size; much repeated keys of rows are split as it runs."""
+    return rows.join(few.hint("merge"), key, "left")
+
+
+def blocks_of(text: Column) -> Column:
+    """Adjacent blocks of a text, from which pieces are taken without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_BLOCK}}}"), F.lit(0))
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end, at a cost that goes with their number."""
+    first = F.floor(start / PIECE_BLOCK).cast("int")
+    last = F.floor((end - 1) / PIECE_BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(some, (start - first * PIECE_BLOCK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
+def without(text: Column, cuts: Column, mark: Callable[[Column], Column]) -> Column:
+    """text with each of an array of disjoint, sorted struct(start, end, ...) replaced by its mark."""
+
+    def joined(blocks: Column) -> Column:
+        upto = lambda i: F.when(i > 0, F.try_element_at(cuts, i)["end"]).otherwise(F.lit(0).cast("bigint"))
+        parts = F.transform(cuts, lambda c, i: F.concat(piece(blocks, upto(i), c["start"]), mark(c)))
+        return F.concat(F.array_join(parts, ""), piece(blocks, F.try_element_at(cuts, F.lit(-1))["end"], F.length(text).cast("bigint")))
+
+    # a one-element transform binds its argument, so that it is computed once
+    return F.transform(F.array(blocks_of(text)), joined)[0]
