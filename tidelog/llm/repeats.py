@@ -1,127 +1,136 @@
-"""Substring dedup by hashing the lines' sentences of all texts, in Spark expressions only.
+"""Substring dedup by hashing lines and passages of all texts, in Spark expressions only.
 
-A text is cut into units that end after sentence marks or a line feed, with the white space that follows; units cover the text.
-Units are normalised (lower case, single spaces) and grouped by a digest of 128 bits over all texts. Of each digest the
-occurrence that ranks first (least doc_id, then place) stays; the others are removed, and their places in the original text kept.
-Units of fewer than MIN_WORDS words always stay: short ones repeat by chance.
+A text is cut into sentences that end after sentence marks or a line feed, with the white space that follows; they cover the text.
+Hashed units are its lines, whole, and in addition, as shared passages also sit inside lines, its passages: from each sentence on,
+the fewest that have LEAST_WORDS words together. Units of fewer words always stay: formulas repeat without being copies.
 
-With lines_of the units are whole lines of any length that have a word, and in addition the sentences of MIN_WORDS words or more
-of lines that have several. Lines and sentences that are equal share a digest. A line that goes takes its sentences with it; a
-line that ranks before it has equal ones, so of each digest the first occurrence still stays.
+Units are normalised (lower case, single spaces; white space alone is none) and grouped by a digest of 128 bits over all texts.
+Of each digest the occurrence that ranks first (least doc_id, then place) counts as the original; what the others cover is
+removed, and its places in the original text kept. Each removed unit ranks behind an equal one, so each removed sentence has an
+equal one that stays.
 
-A null text counts as empty; a null id ranks before all others. Rows with equal id and text are one document, so a repeated row
-loses nothing to its twin.
+A null text counts as empty; a null id ranks before all others. Texts have any length. Rows with equal id and text are one
+document, so a repeated row loses nothing to its twin. Other columns, also those named as the operator's own, are not read. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, stored
-from .spans import sums_before
+from .common import Scratch
+from .spans import sums_before, without
 
-UNIT = r"[^\n.!?]++[.!?]*+[ \t\r\n]*+|[\n.!?]++[ \t\r\n]*+"
-MIN_WORDS = 6
-LINE = r"[^\n]*+\n[ \t\r\n]*+|[^\n]++"
-WORD = r"[\p{L}\p{N}]"
+SENTENCE = r"[^\n.!?]++[.!?]*+[ \t\r\n]*+|[\n.!?]++[ \t\r\n]*+"
+LEAST_WORDS = 15
 
 
-def units_of(docs: DataFrame) -> DataFrame:
-    """doc_id, twin (a hash of the text), start, end, a, b (digest) of each unit that is long enough."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, twin (a hash of the text), text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select("doc_id", F.xxhash64(text, F.length(text)).alias("twin"), F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)).alias("u")).where(F.size("u") > 0)
-    starts = sums_before(F.transform("u", lambda u: F.length(u).cast("long")))
-    rows = cut.select("doc_id", "twin", F.explode(F.arrays_zip(F.col("u").alias("u"), starts.alias("start"))).alias("x")).select("doc_id", "twin", "x.u", "x.start")
-    plain = F.trim(F.regexp_replace(F.lower("u"), r"[ \t\r\n]+", " "))
-    rows = rows.select("doc_id", "twin", "start", (F.col("start") + F.length("u")).alias("end"), plain.alias("plain")).where(F.length("plain") - F.length(F.replace("plain", F.lit(" "))) >= MIN_WORDS - 1)
-    return rows.select("doc_id", "twin", "start", "end", F.xxhash64("plain").alias("a"), F.xxhash64(F.lit(7), "plain").alias("b"))
+    return docs.select("doc_id", F.xxhash64(text, F.length(text)).alias("twin"), "text")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, twin, start, end, a, b of each line with a word, and of each sentence that is long enough of lines with several.
+def units_of(docs: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, twin, start, end, a, b (digest) of each line and each passage."""
+    whole = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(SENTENCE), F.lit(0))
+    cut = keyed(docs).select("doc_id", "twin", whole.alias("u")).where(F.size("u") > 0)
+
+    def sentence(u: Column, start: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.lower(u), r"[ \t\r\n]+", " "))
+        words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
+        fields = {"start": start, "end": start + F.length(u), "words": words.cast("long"), "feed": F.contains(u, F.lit("\n")), "a": F.xxhash64(plain), "b": F.xxhash64(F.lit(7), plain)}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
 
-    Written once, as cutting costs more than reading twice.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select("doc_id", F.xxhash64(text, F.length(text)).alias("twin"), F.regexp_extract_all(text, F.lit(LINE), F.lit(0)).alias("u")).where(F.size("u") > 0)
     starts = sums_before(F.transform("u", lambda u: F.length(u).cast("long")))
-    lines = cut.select("doc_id", "twin", F.explode(F.arrays_zip(F.col("u").alias("u"), starts.alias("at"))).alias("x")).select("doc_id", "twin", "x.u", "x.at")
-    lines = lines.where(F.col("u").rlike(WORD)).withColumn("s", F.regexp_extract_all("u", F.lit(UNIT), F.lit(0)))
-    inner = F.zip_with("s", sums_before(F.transform("s", lambda u: F.length(u).cast("long"))), lambda u, n: F.struct(u.alias("u"), (F.col("at") + n).alias("start"), F.lit(MIN_WORDS).alias("least")))
-    each = F.concat(F.array(F.struct("u", F.col("at").alias("start"), F.lit(1).alias("least"))), F.when(F.size("s") > 1, inner).otherwise(F.slice(inner, 1, 0)))
-    rows = lines.select("doc_id", "twin", F.explode(each).alias("x")).select("doc_id", "twin", "x.*")
-    plain = F.trim(F.regexp_replace(F.lower("u"), r"[ \t\r\n]+", " "))
-    rows = rows.select("doc_id", "twin", "start", (F.col("start") + F.length("u")).alias("end"), "least", plain.alias("plain")).where(F.length("plain") - F.length(F.replace("plain", F.lit(" "))) >= F.col("least") - 1)
-    return stored(rows.select("doc_id", "twin", "start", "end", F.xxhash64("plain").alias("a"), F.xxhash64(F.lit(7), "plain").alias("b")), "lines")
-
-
-def outermost(spans: Column) -> Column:
-    """Of an array of struct(start, end), any two of which are nested or apart, those that no other covers, sorted."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"))))
-    ends = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end")))
-    return F.aggregate(ends, F.array().cast(kind), lambda d, s: F.when(s["end"] <= F.coalesce(F.try_element_at(d, F.lit(-1))["end"], F.lit(-1)), d).otherwise(F.array_append(d, s)).cast(kind))
-
-
-def removed_units(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = units_of) -> DataFrame:
-    """doc_id, twin, spans: the units to remove of each document that has any."""
-    units = cut(docs)
+    rows = cut.select("doc_id", "twin", F.zip_with("u", starts, sentence).alias("s"))
+    # only the first sentence can be white space alone, as the others begin behind it
+    rows = rows.select("doc_id", "twin", F.filter("s", lambda s: s["words"] > 0).alias("s")).where(F.size("s") > 0)
+    each = lambda k: F.transform("s", lambda s: s[k]).alias(k)
+    rows = rows.select("doc_id", "twin", *[each(k) for k in ("start", "end", "words", "feed", "a", "b")])
+    rows = rows.withColumn("before", sums_before(F.col("words")))
+
+    def unit(first: Column, n: Column) -> Column:
+        """n sentences from the first on (counted from 0)."""
+        digest = lambda c: F.xxhash64(F.transform(F.sequence(first, first + n - 1), lambda j: F.get(c, j)))
+        return F.struct(F.get("start", first).alias("start"), F.get("end", first + n - 1).alias("end"), digest("a").alias("a"), digest("b").alias("b"))
+
+    last = F.size("words") - 1
+    total = lambda first, end: F.get("before", end) + F.get("words", end) - F.get("before", first)
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: F.get("feed", i) | (i == last))
+    rows = rows.withColumn("ends", ends)
+    lines = F.transform("ends", lambda e, i: F.struct(F.when(i > 0, F.get("ends", i - 1) + 1).otherwise(0).alias("first"), e.alias("last")))
+    lines = F.transform(F.filter(lines, lambda x: total(x["first"], x["last"]) >= least_words), lambda x: unit(x["first"], x["last"] - x["first"] + 1))
+
+    def fewest(i: Column) -> Column:
+        """How many sentences it takes from i on; 0 if the text ends before."""
+        ahead = F.sequence(i, F.least(i + least_words - 1, last))
+        return F.array_position(F.transform(ahead, lambda j: total(i, j) >= least_words), True).cast("int")
+
+    taken = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("first"), fewest(i).alias("n")))
+    passages = F.transform(F.filter(taken, lambda x: x["n"] > 0), lambda x: unit(x["first"], x["n"]))
+    return rows.select("doc_id", "twin", F.explode(F.concat(lines, passages)).alias("x")).select("doc_id", "twin", "x.*")
+
+
+def stretches(spans: DataFrame) -> DataFrame:
+    """doc_id, twin, spans: sorted array of the disjoint stretches struct(start, end) that start, end cover together."""
+    order = Window.partitionBy("doc_id", "twin").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
+    rows = rows.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    each = rows.groupBy("doc_id", "twin", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return each.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def removed_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, twin, spans: the stretches to remove of each document that has any.
+
+    The units are written once. Of digests only those that occur again are kept to join with; Spark splits much repeated ones.
+    """
+    scratch = Scratch(docs.sparkSession, "repeats")
+    units = scratch.keep(units_of(docs, least_words), "units")
     rank = F.struct("doc_id", "start", "twin")
     first = units.groupBy("a", "b").agg(F.min(rank).alias("first"), F.max(rank).alias("_last")).where("first <> _last").drop("_last")
-    later = units.join(durable(first), ["a", "b"]).where(rank != F.col("first"))
-    spans = F.collect_set(F.struct("start", "end"))
-    return durable(later.groupBy("doc_id", "twin").agg((F.array_sort(spans) if cut is units_of else outermost(spans)).alias("spans")))
-
-
-def without_repeats(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = units_of) -> DataFrame:
-    """doc_id, n_removed, removed (start:end in the original text, comma-joined), text (what stays) of each row."""
-    gone = removed_units(docs, cut).withColumnsRenamed({"doc_id": "_id", "twin": "_twin"})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "text", F.xxhash64(text, F.length(text)).alias("twin"))
-    held = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["twin"] == gone["_twin"]), "left")
-    step = "struct<at:bigint,parts:array<string>>"
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts")).cast(step)
-    piece = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
-    put = lambda d, s: F.struct(s["end"].alias("at"), F.array_append(d["parts"], piece(d["at"], s["start"] - d["at"])).alias("parts")).cast(step)
-    left = F.aggregate("spans", none, put, lambda d: F.concat(F.array_join(d["parts"], ""), piece(d["at"], F.length("text") - d["at"])))
+    first = scratch.keep(first, "first")
+    later = units.join(first.hint("merge"), ["a", "b"]).where(rank != F.col("first")).select("doc_id", "twin", "start", "end").distinct()
+    later = scratch.keep(later, "later")
+    scratch.drop("units", "first")
+    return scratch.keep(stretches(later), "spans")
+
+
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, n_removed (stretches), removed (start:end in the original text, comma-joined), text (what stays) of each row."""
+    gone = removed_spans(docs, least_words).withColumnsRenamed({"doc_id": "_id", "twin": "_twin"})
+    rows = keyed(docs)
+    held = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["twin"] == gone["_twin"]), "left")
     return held.select(
         "doc_id",
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","), F.lit("")).alias("removed"),
-        F.when(F.col("spans").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.when(F.col("spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("spans"), lambda s: F.lit(""))).alias("text"),
     )
 
 
 REPEATS_SQL = """
 WITH c AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\n.!?]+[.!?]*[ \\t\\r\\n]*|[\\n.!?]+[ \\t\\r\\n]*') AS u FROM documents),
 x AS (SELECT doc_id, unnest(u) AS u, unnest(range(1, len(u) + 1)) AS i FROM c),
-o AS (SELECT doc_id, i, u, coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-  trim(regexp_replace(lower(u), '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM x),
-k AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY doc_id, start) AS r FROM o WHERE len(string_split(p, ' ')) >= 6),
-g AS (SELECT o.doc_id, string_agg(o.start || ':' || (o.start + length(o.u)), ',' ORDER BY o.start) FILTER (r > 1) AS removed, count(*) FILTER (r > 1) AS n, coalesce(string_agg(o.u, '' ORDER BY o.i) FILTER (r IS NULL OR r = 1), '') AS text
-  FROM o LEFT JOIN k ON o.doc_id = k.doc_id AND o.i = k.i GROUP BY o.doc_id)
-SELECT c.doc_id, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(g.text, c.text) AS text FROM c LEFT JOIN g USING (doc_id)
-"""
-
-LINES_SQL = """
-WITH c AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n[ \\t\\r\\n]*|[^\\n]+') AS u FROM documents),
-x AS (SELECT doc_id, unnest(u) AS u, unnest(range(1, len(u) + 1)) AS i FROM c),
-l AS (SELECT doc_id, i, u, coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-  regexp_extract_all(u, '[^\\n.!?]+[.!?]*[ \\t\\r\\n]*|[\\n.!?]+[ \\t\\r\\n]*') AS s FROM x),
-y AS (SELECT doc_id, i, start AS base, unnest(s) AS u, unnest(range(1, len(s) + 1)) AS j, len(s) AS n FROM l WHERE regexp_matches(u, '[\\p{L}\\p{N}]')),
-z AS (SELECT doc_id, i, j, u, (base + coalesce(sum(length(u)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, n FROM y),
-o AS (SELECT doc_id, i, 0 AS j, u, start, trim(regexp_replace(lower(u), '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM l WHERE regexp_matches(u, '[\\p{L}\\p{N}]')
-  UNION ALL SELECT doc_id, i, j, u, start, p FROM (SELECT *, trim(regexp_replace(lower(u), '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM z WHERE n > 1) WHERE len(string_split(p, ' ')) >= 6),
-k AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY doc_id, start) AS r FROM o),
-v AS (SELECT *, bool_or(j = 0) OVER (PARTITION BY doc_id, i) AS whole FROM k WHERE r > 1),
-d AS (SELECT doc_id, i, j, u, start FROM v WHERE j = 0 OR NOT whole),
-h AS (SELECT doc_id, i, u, start FROM l WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM d)
-  UNION ALL SELECT doc_id, i, u, start FROM z WHERE (doc_id, i) IN (SELECT (doc_id, i) FROM d WHERE j > 0) AND (doc_id, i, j) NOT IN (SELECT (doc_id, i, j) FROM d)),
-a AS (SELECT doc_id, count(*) AS n, string_agg(start || ':' || (start + length(u)), ',' ORDER BY start) AS removed FROM d GROUP BY doc_id),
-b AS (SELECT doc_id, string_agg(u, '' ORDER BY start) AS text FROM h GROUP BY doc_id)
-SELECT c.doc_id, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN n IS NULL THEN c.text ELSE coalesce(b.text, '') END AS text
-FROM c LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
+y AS (SELECT doc_id, i, u, coalesce(sum(length(u)) OVER w, 0)::BIGINT AS start, coalesce(sum(CASE WHEN contains(u, chr(10)) THEN 1 ELSE 0 END) OVER w, 0) AS line,
+  trim(regexp_replace(lower(u), '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM x
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT doc_id, line, start, start + length(u) AS stop, p, len(string_split(p, ' ')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM y WHERE p <> ''),
+s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM z),
+l AS (SELECT doc_id, min(start) AS start, max(stop) AS stop, string_agg(p, chr(10) ORDER BY k) AS g FROM s GROUP BY doc_id, line HAVING sum(n) >= 15),
+b AS (SELECT f.doc_id, f.k AS first, e.k AS last FROM s f JOIN s e ON f.doc_id = e.doc_id AND e.k >= f.k AND e.k < f.k + 15 AND e.upto - f.upto + f.n >= 15 AND e.upto - f.upto + f.n - e.n < 15),
+q AS (SELECT b.doc_id, first, min(start) AS start, max(stop) AS stop, string_agg(p, chr(10) ORDER BY k) AS g FROM b JOIN s ON s.doc_id = b.doc_id AND k BETWEEN first AND last GROUP BY b.doc_id, first),
+o AS (SELECT doc_id, start, stop, g FROM l UNION SELECT doc_id, start, stop, g FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, start) AS r FROM o),
+v AS (SELECT DISTINCT doc_id, start, stop FROM r WHERE r > 1),
+m AS (SELECT *, CASE WHEN start > coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS fresh FROM v),
+t AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS part FROM m),
+d AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM t GROUP BY doc_id, part),
+a AS (SELECT doc_id, count(*) AS n, string_agg(start || ':' || stop, ',' ORDER BY start) AS removed FROM d GROUP BY doc_id),
+h AS (SELECT y.doc_id, string_agg(u, '' ORDER BY y.start) AS text FROM y WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = y.doc_id AND y.start >= d.start AND y.start + length(u) <= d.stop) GROUP BY y.doc_id)
+SELECT c.doc_id, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN n IS NULL THEN c.text ELSE coalesce(h.text, '') END AS text
+FROM c LEFT JOIN a USING (doc_id) LEFT JOIN h USING (doc_id)
 """
