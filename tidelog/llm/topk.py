@@ -2,13 +2,20 @@
 
 Vectors become integers, floor(scale * x). Queries and candidates meet in the cells of a grid (fragment and replicate): each
 cell holds a bounded number of both. In a cell, each component is a list of candidates sorted by its contribution; lists are
-read in step from their best ends. A candidate's lower bound takes the list's worst value for each list it wasn't yet met in,
-its upper bound the value last read there. Reading stops when all but a few candidates have an upper bound under the k-th lower
-bound; the scores of the few are resolved. The cells' lists of k are merged by score, ties to the smaller id.
+read in step from their best ends, in blocks that begin small and grow by a quarter. A candidate's lower bound takes the list's
+worst value for each list it wasn't yet met in, its upper bound the value last read there. After each block, reading stops when
+all but a few candidates have an upper bound under the k-th lower bound; the scores of the few are resolved.
+
+A query first visits one cell; its k-th score there is passed on to the other cells as a bar that outsiders must reach, so those
+mostly stop before they have k of their own. The cells' lists are merged by score, ties to the smaller id.
+
+How deep the lists are read depends on the vectors: a part of them where few components tell most of a score, all of them
+where many components vary alike. Products too large for exact floating point widen the bounds by the largest rounding error,
+and the few scores are resolved in whole numbers.
 
 Vectors that are null or hold null or non-finite components take no part, nor do null ids. Only vectors of equal length are
 compared. Repeated candidate rows count each; of repeated query rows the least vector stands. Scores beyond 64 bits saturate.
-An empty table gives no rows.
+Other columns, also those named as the operator's own, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,61 +27,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import Scratch, shuffle_width
 
 #: Candidates and queries of one cell at most (on average, as they are dealt by hash).
-CELL_CANDIDATES, CELL_QUERIES = 16_384, 2_048
+CELL_CANDIDATES, CELL_QUERIES = 16_384, 16_384
 #: Candidates of one cell at least, where fewer cells would leave cores idle.
-LEAST_CANDIDATES = 256
+LEAST_CANDIDATES = 2_048
+#: Share of the lists in the first block, growth of the blocks, and candidates (in k) that are few enough to resolve.
+FIRST_BLOCK, BLOCK_GROWTH, FEW = 64, 1.25, 4
+MOST = (1 << 63) - 1
 RESULT = "query_id long, vec_id long, score long"
 
 
-def nra(query: np.ndarray, lists: np.ndarray, values: np.ndarray, matrix: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """Candidates (positions) that may be among the k best. lists, values: per component, positions and values in ascending order."""
-    n, d = matrix.shape
-    up = query >= 0
-    part = lambda a, b: np.where(up, lists[n - b : n - a][::-1], lists[a:b])
-    last = lambda t: query * np.where(up, values[n - t], values[t - 1])
-    worst = query * np.where(up, values[0], values[n - 1])
-    known, floor = np.zeros(n), np.full(n, worst.sum())
-    seen = np.zeros((n, d), bool)
-    columns = np.arange(d)
-    begin, end = 0, max(1, n // 16)
-    while True:
-        met = part(begin, end)
-        gain = query * matrix[met, columns]
-        seen[met, columns] = True
-        known += np.bincount(met.ravel(), gain.ravel(), n)
-        floor += np.bincount(met.ravel(), (gain - worst).ravel(), n)
-        edge = last(end)
-        ceiling = known + (~seen) @ edge
-        least = np.where(own, -np.inf, floor)
-        bar = np.partition(least, n - k)[n - k] if n > k else -np.inf
-        left = np.flatnonzero((ceiling >= bar) & ~own)
-        if end == n or len(left) <= 4 * k:
-            return left
-        begin, end = end, min(n, 2 * end)
-
-
-def cell_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int):
-    """(query id, candidate id, score) columns of each query's k best in a cell."""
+class Lists:
+    """The sorted lists of a cell's candidates."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
+        self.ids, self.matrix = ids, matrix
+        self.table = matrix.astype(np.float64)
+        self.order = np.argsort(self.table, axis=0, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(self.table, self.order, 0)
+        self.largest = np.abs(self.table).max(0, initial=0)
+
+    def nra(self, query: np.ndarray, own: np.ndarray, k: int, bar: float = -np.inf) -> tuple[np.ndarray, float]:
+        """(positions of the candidates that may be among the k best and reach the bar, share of the lists that was read)."""
+        n, d = self.table.shape
+        columns, up = np.arange(d), query >= 0
+        most = float(np.abs(query) @ self.largest)
+        slack = 0.0 if most < 2**53 else most * (d + 4) * 2.0**-50
+        worst = query * np.where(up, self.values[0], self.values[-1])
+        known, floor, unseen = np.zeros(n), np.full(n, worst.sum()), np.ones((n, d))
+        begin, block = 0, max(16.0, n / FIRST_BLOCK)
+        while True:
+            end = min(n, begin + int(block))
+            met = np.where(up, self.order[n - end : n - begin][::-1], self.order[begin:end])
+            gain = query * self.table[met, columns]
+            unseen[met, columns] = 0
+            known += np.bincount(met.ravel(), gain.ravel(), n)
+            floor += np.bincount(met.ravel(), (gain - worst).ravel(), n)
+            ceiling = known + unseen @ (query * np.where(up, self.values[n - end], self.values[end - 1]))
+            if n > k:
+                bar = max(bar, min(float(np.partition(np.where(own, -np.inf, floor), n - k)[n - k]), float(MOST)))
+            left = np.flatnonzero((ceiling + 2 * slack >= bar) & ~own)
+            if end == n or len(left) <= FEW * k:
+                return left, end / n
+            begin, block = end, block * BLOCK_GROWTH
+
+    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products, within 64 bits."""
+        if float(np.abs(query.astype(np.float64)) @ self.largest) < 2**53:
+            return self.matrix[at].astype(np.int64) @ query
+        exact = self.matrix[at].astype(object) @ query.astype(object)
+        return np.array([min(max(int(x), -MOST - 1), MOST) for x in exact], np.int64)
+
+
+def cell_top(query_ids: np.ndarray, queries: np.ndarray, bars: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> list[list]:
+    """(query id, candidate id, score) columns of each query's k best in a cell, of those that reach its bar."""
     out: list[list] = [[], [], []]
-    d = matrix.shape[1]
-    exact = not matrix.size or not queries.size or float(np.abs(queries.astype(float)).max()) * float(np.abs(matrix.astype(float)).max()) * d < 2**53
-    if exact:
-        queries, wide = queries.astype(np.float64), matrix.astype(np.float64)
-        lists = np.argsort(wide, axis=0, kind="stable")
-        values = np.take_along_axis(wide, lists, 0)
-    for q, v in zip(query_ids, queries, strict=True):
+    lists = Lists(ids, matrix)
+    for q, v, bar in zip(query_ids, queries, bars, strict=True):
         own = ids == q
-        if exact and d:
-            left = nra(v, lists, values, wide, own, k)
-            scores = (wide[left] @ v).astype(np.int64)
-        else:
-            left = np.flatnonzero(~own)
-            sums = [sum(int(a) * int(b) for a, b in zip(matrix[i], v, strict=True)) for i in left]
-            scores = np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in sums], np.int64)
-        best = np.lexsort((ids[left], -scores.astype(object) if len(scores) and scores.min() == np.iinfo(np.int64).min else -scores))[:k]
+        left = lists.nra(v.astype(np.float64), own, k, bar)[0] if matrix.shape[1] else np.flatnonzero(~own)
+        scores = lists.scores(left, v)
+        best = np.lexsort((ids[left], ~scores))[:k]
         out[0] += [int(q)] * len(best)
         out[1] += ids[left][best].tolist()
         out[2] += scores[best].tolist()
@@ -84,28 +99,40 @@ def cell_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix
 def top_inner_products(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score for queries whose vec_id is divisible by every, against all other rows."""
     spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     x = F.col("embedding")
     good = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     whole = vectors.where(F.coalesce(good, F.lit(False))).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"), F.size(x).alias("dim")
     )
     asked = whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by(F.struct("v", "dim"), F.col("v")).alias("m")).select("vec_id", "m.v", "m.dim")
+    asked = scratch.keep(asked, "asked")
     n, m = whole.count(), asked.count()
     c = max(1, ceil(n / CELL_CANDIDATES), min(ceil(n / LEAST_CANDIDATES), 4 * shuffle_width(spark)))
     b = max(1, ceil(m / CELL_QUERIES))
     part = lambda width, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(width)).cast("int")
     all_of = lambda width: F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
     left = whole.withColumn("c", part(c, 1)).withColumn("b", all_of(b))
-    right = asked.withColumn("b", part(b, 2)).withColumn("c", all_of(c))
+    asked = asked.withColumn("b", part(b, 2)).withColumn("home", part(c, 1))
 
     def cell(key, candidates, queries):
         out = [[], [], []]
         if candidates.num_rows and queries.num_rows:
             matrix = lambda t: np.array(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, key[2].as_py())
-            out = cell_top(queries.column("vec_id").to_numpy(), matrix(queries), candidates.column("vec_id").to_numpy(), matrix(candidates), k)
+            bars = queries.column("bar").to_numpy()
+            out = cell_top(queries.column("vec_id").to_numpy(), matrix(queries), bars, candidates.column("vec_id").to_numpy(), matrix(candidates), k)
         return pa.table({a: pa.array(v, pa.int64()) for a, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
-    found = left.groupBy("c", "b", "dim").cogroup(right.groupBy("c", "b", "dim")).applyInArrow(cell, RESULT)
+    def met(queries: DataFrame) -> DataFrame:
+        return left.groupBy("c", "b", "dim").cogroup(queries.select("vec_id", "v", "dim", "c", "b", "bar").groupBy("c", "b", "dim")).applyInArrow(cell, RESULT)
+
+    found = scratch.keep(met(asked.withColumn("c", F.col("home")).withColumn("bar", F.lit(float("-inf")))), "home")
+    if c > 1:
+        bars = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("bar"))
+        # a double next to a large score may lie above it: one unit in the last place below is a bar still
+        lower = F.col("bar") - F.abs("bar") * 2.0**-52
+        others = asked.join(bars, "vec_id", "left").withColumn("bar", F.coalesce(lower, F.lit(float("-inf")))).withColumn("c", all_of(c)).where("c <> home")
+        found = found.unionByName(met(others))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
