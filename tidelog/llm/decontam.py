@@ -4,25 +4,29 @@ Test items become patterns: windows of consecutive words, or the whole item wher
 tables over blocks of two words: the shift table says how far the search may skip after a block, the bucket of a block whose
 shift is zero selects the patterns that end with it, a check of their first block and a direct comparison confirm them.
 
-Items are searched for in blocks of a stated number of patterns, so the tables sent to the workers have a bound whatever the
-benchmark's size; each block is one pass over the documents. Null texts have no words. Items without words are never found.
-Repeated rows of documents give a row each; repeated items count once. An empty benchmark finds nothing.
+Items are searched for in blocks of a stated number of words, so the tables of a worker have a bound whatever the benchmark's size
+(about 1.1 KB a word); each block is one pass over the documents, and a worker builds its tables once. After a few passes the
+documents are written, so a task never holds the tables of more. Null texts have no words, and texts are searched whole. Items
+without words are never found. Repeated rows of documents give a row each; repeated items count once; null ids of documents stay
+as they are. An empty benchmark finds nothing, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean
+from .common import Scratch, lean
 
 WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-#: Patterns sent to the workers at once.
-BLOCK_PATTERNS = 500_000
+#: Words of items that are searched for at once (or one longer item), and passes before the documents are written.
+BLOCK_PATTERNS, PASSES = 100_000, 4
 
 
 def words(text: str | None) -> list[bytes]:
@@ -90,6 +94,25 @@ class Matcher:
         return union(spans), items
 
 
+class Block:
+    """Items under a name, by which a worker knows them again."""
+
+    def __init__(self, name: str, items: list):
+        self.name, self.items = name, items
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
+    def __eq__(self, other) -> bool:
+        return self.name == other.name
+
+
+@lru_cache(maxsize=1)
+def matcher_of(block: Block, window: int) -> Matcher:
+    """The tables of a block, built once in a worker."""
+    return Matcher(block.items, window)
+
+
 def item_blocks(items: DataFrame, window: int, block_patterns: int):
     """Lists of (id as string, text), of block_patterns words together at most (or one item)."""
     block, size = [], 0
@@ -116,10 +139,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_pat
     schema = T.StructType([*out.schema.fields, *(T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.ArrayType(span), T.ArrayType(T.StringType())), strict=True))])
     kinds = (pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()))
     for k, block in enumerate(item_blocks(items, window, block_patterns)):
-        given = spark.sparkContext.broadcast(block)
+        if k and k % PASSES == 0:
+            out = Scratch(spark, "decontamination").keep(out, "rows")
+        given = spark.sparkContext.broadcast(Block(uuid4().hex, block))
 
         def run(batches, given=given, first=k == 0):
-            matcher = Matcher(given.value, window)
+            matcher = matcher_of(given.value, window)
             for batch in batches:
                 n, spans, ids = [], [], []
                 for i, text in enumerate(batch.column(text_at)):

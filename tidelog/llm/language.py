@@ -3,12 +3,13 @@
 Texts are lower-cased, runs of other characters than letters become one space, and all 2- and 3-grams of the whole text are
 hashed into 2**BITS features. Document frequencies come from all training documents. The weights are learned by
 follow-the-regularised-leader with elastic net (FTRL-proximal, per-coordinate rates) on a bounded sample of labelled rows,
-chosen by a hash of the id, SAMPLE_PER_LANGUAGE of each language at most; one scale for the scores (a temperature) is then
+chosen by a hash of the id, SAMPLE_PER_LANGUAGE of each language and SAMPLE_ROWS in all at most; one scale for the scores (a temperature) is then
 fitted on a part of the sample that the weights don't see.
 
 Training documents are those with a label whose crc32(id as text) mod 4 isn't 2. Null texts and texts without letters get
 `und` with score 0; so does everything if there is nothing to learn from. A null id is neither held out nor learned from.
-Rows map one to one, so repeated rows get equal predictions.
+Texts are read whole, however long. Rows map one to one, so repeated rows get equal predictions; of equal scores the first
+language by name wins. Other columns stay as they are, unless they have the name of a result. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import lean
 
 BITS = 14
-#: Labelled rows of each language to learn from, about.
-SAMPLE_PER_LANGUAGE = 1500
+#: Labelled rows to learn from, about: of each language, and of all together (a row's features take 100 KB at most).
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 6000
 #: Share of the sample that only the temperature is fitted on.
 CALIBRATION_SHARE = 5
 #: FTRL: learning rate, its smoothing, L1, L2, passes, rows of a step.
@@ -117,6 +118,7 @@ def sample(train: DataFrame, per_language: int) -> list[tuple[int, str, np.ndarr
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
+    per_language = min(per_language, max(1, SAMPLE_ROWS // len(sizes)))
     order = F.xxhash64(F.lit("sample"), "doc_id")
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
     rows = train.where(order.cast("double") / 2.0**64 + 0.5 <= share).select(order.alias("order"), "lang", "text")

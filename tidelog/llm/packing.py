@@ -6,7 +6,9 @@ functions give a lower bound of each partition's bin count: a partition that mee
 that matters, is certified and final. Partitions with gaps keep their well-filled bins; the pieces of the others are dealt
 anew, among fewer partitions, and packed again, until one partition is left or a round gains nothing.
 
-Nulls count as empty texts, which have one token (the final id 0). Repeated rows are packed each. An empty table gives no rows.
+Nulls count as empty texts, which have one token (the final id 0). Texts are encoded whole; a long one becomes many pieces. Ids
+have any type, and null ones are packed as others are. Repeated rows are packed each; pieces of equal length go by id, so ties
+are settled alike each time. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from .common import durable, lean
 from .tokens import default_tokenizer, loaded
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = f"{PIECE}, sequence_id long, offset long, gap boolean"
 #: Pieces of one packing partition, at least: many enough that best fit leaves almost no waste.
 PARTITION_PIECES = 20_000
 #: Sequence numbers: round, partition, bin.
@@ -39,23 +40,24 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """A row for each piece of each document, with the checksum of its ids."""
     lean(docs.sparkSession)
-    path = tokenizer or default_tokenizer()
+    path, kind = tokenizer or default_tokenizer(), docs.schema["doc_id"].dataType
 
     def run(batches):
         t = loaded(path)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             rows: list[list] = [[], [], [], [], []]
             for i, tokens in t.each(texts, True):
                 tokens = np.concatenate([tokens, end]).astype("<u4")
                 data = memoryview(tokens.tobytes())
                 for k, (s, n) in enumerate(cut(len(tokens), capacity)):
-                    for column, value in zip(rows, (ids[i], k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])), strict=True):
+                    for column, value in zip(rows, (i, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == 1 else pa.int64()) for k, v in enumerate(rows)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids = batch.column(0).take(pa.array(rows[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(rows[1], pa.int32()), *(pa.array(v, pa.int64()) for v in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, PIECE)
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, PIECE.replace("doc_id long", f"doc_id {kind.simpleString()}"))
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -91,7 +93,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     sizes, counts = np.unique(lengths, return_counts=True)
     best = -(-int((sizes * counts).sum()) // capacity)
     # sizes over capacity - e count whole, those under e nothing
-    for e in sizes[sizes <= capacity // 2].tolist()[:: max(1, len(sizes) // 64)]:
+    for e in sizes[sizes <= capacity // 2].tolist():
         whole, middle = sizes > capacity - e, (sizes >= e) & (sizes <= capacity - e)
         best = max(best, int(counts[whole].sum()) + -(-int((sizes * counts)[middle].sum()) // capacity))
     # steps of 1/k
@@ -111,9 +113,9 @@ def pack_partition(lengths: np.ndarray, capacity: int, slack: float) -> tuple[np
     return where, offset, (np.array(fill) < capacity * (1 - slack))[where]
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, partition_pieces: int = PARTITION_PIECES, slack: float = 0.01, rounds: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, partition_pieces: int = PARTITION_PIECES, slack: float = 0.01) -> DataFrame:
     """pieces with sequence_id and offset: sequences hold capacity tokens at most and have no holes before their end."""
-    spark = pieces.sparkSession
+    schema = pieces.select("*", *[F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset")], F.lit(False).alias("gap")).schema
 
     def packer(turn: int):
         def run(key, table):
@@ -126,19 +128,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, partition_pieces: int = PARTIT
 
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "gap": F.lit(False)})
     done, rest, before = [full], pieces.where(F.col("length") < capacity), None
-    for turn in range(rounds):
-        n = rest.count()
+    turn = 0
+    while (n := rest.count()) and (before is None or n < before):
         parts = max(1, n // partition_pieces)
-        if not n or before is not None and n >= before:
-            break
         dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "start"), F.lit(parts)))
-        placed = durable(dealt.groupBy("part").applyInArrow(packer(turn), PLACED))
-        last = parts == 1 or turn == rounds - 1
-        done.append(placed if last else placed.where(~F.col("gap")))
-        before, rest = n, placed.where("gap").select(pieces.columns)
-        if last:
+        placed = durable(dealt.groupBy("part").applyInArrow(packer(turn), schema))
+        if parts == 1:
+            done.append(placed)
             rest = None
             break
+        done.append(placed.where(~F.col("gap")))
+        before, rest, turn = n, placed.where("gap").select(pieces.columns), turn + 1
     if rest is not None and before is not None:
         done.append(placed.where("gap"))
     out = done[0]
