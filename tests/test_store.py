@@ -315,3 +315,47 @@ def test_followers_tell_of_deleted_events(spark, log, tmp_path):
         caught()
     caught(failOnDataLoss="false")
     assert lsns(spark.read.parquet(f"{tmp_path}/rows"))[-5:] == [71, 72, 73, 74, 75]
+
+
+def test_pins_hold_for_other_drivers(spark, log):
+    log.append(rows(spark, 60), ["ts_ns"])
+    log.rotate()
+    log.append(rows(spark, 5, 60))
+    other = Log(spark, log.root, log.options)
+    with log.snapshot() as s:
+        assert other.delete_before(61) == 0
+        assert other.vacuum() == 0
+        assert lsns(s.read()) == list(range(1, 66))
+    assert other.delete_before(61) >= 2
+    held = other.snapshot()
+    held.__enter__()
+    other.options.pin_ttl_ns = 0  # as if its driver had gone long ago
+    assert other.delete_before(10**6) == 0 and other._held() == set()
+
+
+def test_old_manifests_go(spark, log, monkeypatch):
+    from tidelog.plans import manifest
+
+    monkeypatch.setattr(manifest, "KEPT", 3)
+    for i in range(7):
+        log.append(rows(spark, 2, 2 * i))
+    assert log.manifests.versions() == [4, 5, 6, 7]
+    assert lsns(Log(spark, log.root, log.options).read()) == list(range(1, 15))
+
+
+def test_batch_options():
+    b = Batch(Clock()).append(b"a").append(b"b", ts_ns=0).append(b"c", ts_ns=7).mark_no_compress()
+    assert [r.ts_ns for r in b.records] == [1001, 1002, 7]
+    got = []
+    buffer = Buffer(got.extend)
+    buffer.put(b)
+    buffer.put(Batch().add(b"d"))
+    buffer.flush()
+    assert (len(got), buffer.plain) == (4, {1})
+
+
+def test_errors_of_writes_reach_observers(spark, tmp_path):
+    seen = Seen()
+    with pytest.raises(errors.BatchTooLarge):
+        Log(spark, f"file://{tmp_path}/log", Options(max_batch_bytes=50), seen).append(rows(spark, 5))
+    assert "on_error" in {c for c, _ in seen.calls}

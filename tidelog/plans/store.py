@@ -7,8 +7,9 @@ manifest, and a reader that holds one has a snapshot. Deletion removes segments
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from uuid import uuid4
@@ -49,6 +50,8 @@ class Options:
     retention_bytes: int | None = None
     retention_age_ns: int | None = None
     start_lsn: int = 1
+    #: How long a snapshot that is never ended keeps its segments from deletion.
+    pin_ttl_ns: int = 24 * 3600 * 10**9
     clock: Callable[[], int] = time.time_ns
     #: When a commit counts as synced: SYNC_MODES; the numbers say how often, for the last three.
     sync_mode: str = "batch"
@@ -97,7 +100,7 @@ class Hooks:
 class Log:
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None, *observers):
         self.spark, self.root, self.options, self.hooks = spark, root.rstrip("/"), options or Options(), Hooks(*observers)
-        self.files, self.life, self.pins = self.options.storage(spark), Lifecycle(), {}
+        self.files, self.life = self.options.storage(spark), Lifecycle()
         self.unsynced = {"batches": 0, "bytes": 0}
         self.manifests = Manifests(self.files, self.root)
         self.manifest = self._recover()
@@ -177,14 +180,23 @@ class Log:
             m = self._fresh()
             self._count(m, {"drops": held.drops - told[0]})
             told[0] = held.drops
-            self._write(m, events)
+            self._write(m, events, plain=held.plain)
 
         told = [0]
         held = Buffer(write, self._fresh().last_lsn + 1, max_batch_bytes=self.options.max_batch_bytes, on_drop=lambda n: self.hooks.fire("on_drop", n), **settings)
         return held
 
-    def _write(self, m: Manifest, events: DataFrame, sealed: bool = False, imported: bool = False) -> int:
-        """Places, writes and commits numbered events; retries under the next version if only another's commit was in between and numbers are kept."""
+    def _write(self, m: Manifest, events: DataFrame, **how) -> int:
+        """Places, writes and commits numbered events; observers are told of what goes wrong."""
+        try:
+            return self._placed(m, events, **how)
+        except CommitConflict:
+            raise  # told of by the commit
+        except Exception as e:
+            self.hooks.fire("on_error", e)
+            raise
+
+    def _placed(self, m: Manifest, events: DataFrame, sealed: bool = False, imported: bool = False, plain: Iterable[int] = ()) -> int:
         batches = durable(fr.frames(events, "batch_first_lsn"))
         head = batches.agg(F.count(F.lit(1)).alias("batches"), F.sum("cnt").alias("events"), F.max("size").alias("largest"), F.sum("size").alias("bytes"), F.max("last_lsn").alias("last"), F.min("first_lsn").alias("first")).first()
         if not head["batches"]:
@@ -231,7 +243,7 @@ class Log:
         if imported:
             count |= {"import_batches": head["batches"], "import_bytes": head["bytes"]}
         elif self.options.compression:
-            count["compressed_bytes"] = self._compressed(events)
+            count["compressed_bytes"] = self._compressed(events.where(~F.col("batch_first_lsn").isin(*plain)) if plain else events)
         self._count(m, count)
         if rotations:
             self._retire(m)
@@ -367,14 +379,16 @@ class Log:
 
     @contextmanager
     def snapshot(self) -> Iterator[Snapshot]:
-        """A version to read and to compact up to a checkpoint; its segments aren't deleted meanwhile."""
+        """A version to read and to compact up to a checkpoint; no driver deletes its segments meanwhile."""
         self.life.must_read()
-        key, snap = uuid4().hex, Snapshot(self, Manifest.of(self.manifest.to_bytes()))
-        self.pins[key] = {s["first_lsn"] for s in snap.manifest.segments}
+        key = uuid4().hex
+        snap = Snapshot(self, Manifest.of(self.manifest.to_bytes()), key)
+        held = {"at": self.options.clock(), "segments": [s["first_lsn"] for s in snap.manifest.segments]}
+        self.files.write(f"{self.root}/pins/{key}.json", json.dumps(held).encode())
         try:
             yield snap
         finally:
-            self.pins.pop(key, None)
+            self.files.delete(f"{self.root}/pins/{key}.json")
 
     def open_segment(self, first_lsn: int) -> tuple[DataFrame, dict]:
         """Events and entry of one sealed segment."""
@@ -417,8 +431,22 @@ class Log:
 
     # --- deletion
 
-    def _held(self) -> set[int]:
-        return set().union(*self.pins.values()) if self.pins else set()
+    def _pins(self, but: str | None = None) -> list[set[int]]:
+        """First numbers of the segments that snapshots of any driver hold."""
+        out = []
+        for name in self.files.names(f"{self.root}/pins"):
+            try:
+                pin = json.loads(self.files.read(f"{self.root}/pins/{name}"))
+            except Exception:  # noqa: BLE001, S112  ended meanwhile
+                continue
+            if self.options.clock() - pin["at"] > self.options.pin_ttl_ns:
+                self.files.delete(f"{self.root}/pins/{name}")
+            elif name != f"{but}.json":
+                out.append(set(pin["segments"]))
+        return out
+
+    def _held(self, but: str | None = None) -> set[int]:
+        return set().union(*self._pins(but))
 
     def _drop(self, m: Manifest, gone: list[dict]) -> int:
         keys = {s["first_lsn"] for s in gone}
@@ -432,25 +460,26 @@ class Log:
         o = self.options
         self._drop(m, retention.retire(m.segments, o.clock(), o.max_segments, o.retention_age_ns, o.retention_bytes, self._held()))
 
-    def _delete(self, rule: Callable[[dict], bool]) -> int:
+    def _delete(self, rule: Callable[[dict], bool], but: str | None = None) -> int:
         self.life.must_write()
-        m, held = self._fresh(), self._held()
+        m, held = self._fresh(), self._held(but)
         gone = [s for s in m.segments[:-1] if s["sealed"] and s["first_lsn"] not in held and rule(s)]
         if gone:
             self._drop(m, gone)
             self._commit(m, 0)
         return len(gone)
 
-    def delete_before(self, lsn: int) -> int:
-        return self._delete(lambda s: s["last_lsn"] < lsn)
+    def delete_before(self, lsn: int, but: str | None = None) -> int:
+        """Deletes sealed segments that end before a number; how many. but: a snapshot whose hold doesn't count."""
+        return self._delete(lambda s: s["last_lsn"] < lsn, but)
 
-    def delete_older_than(self, ts_ns: int) -> int:
-        return self._delete(lambda s: s["last_ts"] < ts_ns)
+    def delete_older_than(self, ts_ns: int, but: str | None = None) -> int:
+        return self._delete(lambda s: s["last_ts"] < ts_ns, but)
 
     def vacuum(self) -> int:
         """Deletes data folders that the newest manifest doesn't list and no snapshot holds. Not while another writer appends."""
         m = self._fresh()
-        if self.pins:
+        if self._pins():
             return 0
         listed = {f for s in m.segments for f in s["folders"]}
         n = 0
@@ -479,8 +508,8 @@ class Log:
 class Snapshot:
     """A version of a log inside Log.snapshot()."""
 
-    def __init__(self, log: Log, manifest: Manifest):
-        self.log, self.manifest, self.lsn, self.ts = log, manifest, None, None
+    def __init__(self, log: Log, manifest: Manifest, key: str):
+        self.log, self.manifest, self.key, self.lsn, self.ts = log, manifest, key, None, None
 
     def read(self, first: int = 0, last: int | None = None) -> DataFrame:
         return self.log.read(first, last, self.manifest)
@@ -496,10 +525,5 @@ class Snapshot:
 
     def compact(self) -> int:
         """Deletes whole segments before the checkpoints; what this snapshot alone holds may go. Without a checkpoint nothing does."""
-        own = [k for k, v in self.log.pins.items() if v == {s["first_lsn"] for s in self.manifest.segments}][:1]
-        held = {k: self.log.pins.pop(k) for k in own}
-        try:
-            n = self.log.delete_before(self.lsn) if self.lsn is not None else 0
-            return n + (self.log.delete_older_than(self.ts) if self.ts is not None else 0)
-        finally:
-            self.log.pins.update(held)
+        n = self.log.delete_before(self.lsn, self.key) if self.lsn is not None else 0
+        return n + (self.log.delete_older_than(self.ts, self.key) if self.ts is not None else 0)
