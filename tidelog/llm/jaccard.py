@@ -52,7 +52,7 @@ HELD, HOT = 2_000_000, 16_384
 #: Members in a row that tells of a group or a part of one.
 PART = 4_096
 #: Comparisons of one set that a task makes, and members in a block of a group: more are dealt out.
-DEALT, BLOCK = 256, 256
+DEALT, BLOCK = 64, 256
 #: Groups that a node names, so that a pair of several groups is told of by one.
 FIRST = 16
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
