@@ -4,7 +4,8 @@ Texts are lower-cased, runs of other characters than letters become one space, a
 hashed into 2**BITS features. Document frequencies come from all training documents. The weights are learned by
 follow-the-regularised-leader with elastic net (FTRL-proximal, per-coordinate rates) on a bounded sample of labelled rows,
 chosen by a hash of the id, SAMPLE_PER_LANGUAGE of each language and SAMPLE_ROWS in all at most; one scale for the scores (a temperature) is then
-fitted on a part of the sample that the weights don't see.
+fitted on a part of the sample that the weights don't see. The same part tells how much evidence (the best language's score before
+the softmax) a text of a learned language has; a text with far less is of none of them, however the softmax shares it out.
 
 Training documents are those with a label whose crc32(id as text) mod 4 isn't 2. Null texts and texts without letters get
 `und` with score 0; so does everything if there is nothing to learn from. A null id is neither held out nor learned from.
@@ -32,6 +33,8 @@ CALIBRATION_SHARE = 5
 #: FTRL: learning rate, its smoothing, L1, L2, passes, rows of a step.
 ALPHA, BETA, L1, L2, PASSES, STEP = 0.5, 1.0, 0.02, 0.5, 4, 32
 UNKNOWN = "und"
+#: A text is recognised with this share of the evidence that all but a hundredth of the calibration's texts have.
+LEAST_EVIDENCE = 0.25
 
 
 @cache
@@ -66,14 +69,17 @@ class Model(NamedTuple):
     bias: np.ndarray
     idf: np.ndarray
     temperature: float
+    evidence: float
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, whether the text has the evidence of a learned language)."""
         got = features(text)
         if got is None or not self.languages:
-            return UNKNOWN, 0.0
-        p = softmax((weighed(*got, self.idf) @ self.weights[got[0]] + self.bias)[None] / self.temperature)[0]
+            return UNKNOWN, 0.0, False
+        logits = weighed(*got, self.idf) @ self.weights[got[0]] + self.bias
+        p = softmax(logits[None] / self.temperature)[0]
         best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        return self.languages[best], float(p[best]), bool(logits[best] >= self.evidence)
 
 
 def weighed(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -190,11 +196,15 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     check = [d for r, d in zip(got, data, strict=True) if not r[0] % CALIBRATION_SHARE]
     w, bias = ftrl(learn or data, len(languages)) if data else (np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     logits = np.array([x @ w[f] + bias for f, x, _ in check]).reshape(len(check), len(languages))
-    return Model(languages, w, bias, idf, temperature(logits, np.array([c for *_, c in check], int)))
+    evidence = LEAST_EVIDENCE * float(np.quantile(logits.max(1), 0.01)) if logits.size else -np.inf
+    return Model(languages, w, bias, idf, temperature(logits, np.array([c for *_, c in check], int)), evidence)
 
 
-def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of docs, and the language and score; columns of docs that have one of their names are replaced."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, and the language, the score and, by a third name, whether the language is recognised.
+
+    Columns of docs that have one of the names are replaced.
+    """
     lean(docs.sparkSession)
     rows = docs.drop(*names)
     kept, given = rows.columns, docs.sparkSession.sparkContext.broadcast(model)
@@ -203,9 +213,11 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     def run(batches):
         for batch in batches:
             got = [given.value.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*kept, *names])
+            told = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_())[: len(names)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*kept, *names])
 
-    return rows.mapInArrow(run, rows.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema)
+    empty = [F.lit(v).alias(n) for v, n in zip(("", 0.0, False), names)]  # noqa: B905
+    return rows.mapInArrow(run, rows.select("*", *empty).schema)
 
 
 def language_report(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -6,7 +6,8 @@ once for each distinct string while it stays in a bounded table. The split into
 Texts with characters outside the tables, or with a special token's string, go to the library whole, so results equal the
 library's in every case.
 
-Nulls count as empty texts. Empty texts have no tokens.
+Nulls count as empty texts. Empty texts have no tokens. Texts are counted whole, however long. Null ids and repeated rows give a
+row each. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
