@@ -35,6 +35,7 @@ def test_chat_round_trip(spark):
     r = random.Random(3)
     rows = [(c, t, r.choice(["user", "assistant", "a\\n\nb<|", None]), r.choice(texts), 1) for c in range(120) for t in range(r.randint(1, 7))]
     rows += [(500, 1, "user", "b", 1), (500, 1, "user", "a", 1), (500, None, "assistant", "first", 1), (500, 1, "user", "a", 1), (None, 0, "user", "x", 1)]
+    rows += [(600, i, "user" if i // 5 % 2 else "assistant", f"turn {i}", 1) for i in range(2000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns long")
     want = defaultdict(list)
     for c, t, role, text, _ in rows:
@@ -47,6 +48,8 @@ def test_chat_round_trip(spark):
         told = "".join(f"{role}\n{t}\n" for _, role, t in turns)
         assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), hashlib.sha256(told.encode()).hexdigest())
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    alone = spark.createDataFrame([(None, 0, "user", "x"), (None, 1, "user", "y"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    assert sorted(x["n_turns"] for x in chat.chat_report(alone).collect()) == [1, 1, 1]
     shown = chat.format_chat(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c<|")], "conv_id long, turn long, role string, text string")).first()
     assert shown["formatted"] == "<|im_start|>user\na<|im_sep|>b<|im_end|>\n<|im_start|>assistant\nc<\\|<|im_end|>\n"
     assert chat.chat_report(df.limit(0)).count() == 0
@@ -116,7 +119,7 @@ def test_jaccard_summaries_do_not_wrap(spark):
     assert np.frombuffer(jaccard.summary_of(s), np.int32)[0] == n
     summary = [jaccard.summary_of(x) for x in (s[:10], s[: n - 10], s)]
     sets = spark.createDataFrame([(i, k, bytearray(x)) for i, k, x in zip((1, 2, 3), (10, n - 10, n), summary)], "node long, n long, summary binary")
-    members = spark.createDataFrame([(9, 1), (9, 2), (9, 3)], "gid long, node long")
+    members = spark.createDataFrame([(9, 1, 0.5), (9, 2, 0.5), (9, 3, 0.1)], "gid long, node long, weight double")
     stars = spark.createDataFrame([], "u long, v long")
     assert [tuple(r) for r in jaccard.other_pairs(members, stars, sets, 85, 100).collect()] == [(2, 3)]
 
@@ -260,7 +263,10 @@ def test_lower_bound_never_exceeds_a_packing():
     assert packing.lower_bound(np.array([34] * 6), 100) == 3
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize(("candidates", "queries"), [(16_384, 16_384), (50, 2)])
+def test_exact_top_k(spark, monkeypatch, candidates, queries):
+    monkeypatch.setattr(topk, "CELL_CANDIDATES", candidates)
+    monkeypatch.setattr(topk, "CELL_QUERIES", queries)
     r = np.random.default_rng(6)
     rows = [(i, [float(x) for x in r.normal(size=8).round(2 if i % 3 else 0)], 0, 1) for i in range(400)]
     rows += [(400, None, 0, 1), (401, [1.0, None], 0, 1), (402, [float("nan")] * 8, 0, 1), (403, [float("inf")] * 8, 0, 1), (500, [1.0, 2.0], 0, 1), (501, [3.0, 1.0], 0, 1), (None, [1.0] * 8, 0, 1), (7, rows[7][1], 0, 1), (600, [1e17] * 8, 0, 1)]
@@ -278,6 +284,23 @@ def test_exact_top_k(spark):
     assert topk.top_inner_products(df.limit(0)).count() == 0
 
 
+def test_lists_are_read_in_part():
+    """Vectors of 200 clusters: the median query reads less than half of the lists."""
+    r = np.random.default_rng(2)
+    centers = r.normal(size=(200, 32)) * 20
+    vectors = np.floor(1024 * (centers[r.integers(0, 200, 4000)] + r.normal(size=(4000, 32)) * 0.2)).astype(np.int64)
+    lists, depths = topk.Lists(np.arange(4000), vectors), []
+    for q in range(0, 4000, 100):
+        left, depth = lists.nra(vectors[q].astype(float), lists.ids == q, 10)
+        scores = vectors @ vectors[q]
+        scores[q] = -(1 << 62)
+        assert set(np.lexsort((lists.ids, -scores))[:10]) <= set(left)
+        depths.append(depth)
+        bar = float(np.sort(scores)[-10])
+        assert lists.nra(vectors[q].astype(float), lists.ids == q, 10, bar)[1] <= depth
+    assert np.median(depths) < 0.5
+
+
 def test_decontamination(spark):
     r = random.Random(8)
     words = ["a", "b", "É1", "c", "Dd", "2"]
@@ -338,94 +361,212 @@ def test_held_out_labels_change_nothing(spark):
     assert a == b
 
 
-def test_pipeline(spark, sf):
+def reports(spark):
+    """name: (the operator over a table, rows that it gives for each row)."""
+    from tidelog.llm import pii, repeats, secrets
+
+    bench = spark.createDataFrame([(1, "seven words that stand in no text")], "item_id long, text string")
+    return {
+        "secrets": secrets.secret_report,
+        "jaccard": jaccard.similar_documents,
+        "tokens": tokens.token_counts,
+        "pii": pii.pii_report,
+        "repeats": repeats.without_repeats,
+        "decontamination": lambda df: decontam.contamination_report(df, bench),
+        "packing": packing.pack_documents,
+        "language": language.language_report,
+    }
+
+
+@pytest.mark.parametrize("name", ["secrets", "jaccard", "tokens", "pii", "repeats", "decontamination", "packing", "language"])
+def test_odd_rows(spark, name):
+    """Null ids and texts, repeated and empty rows, columns named as the operators' own, an empty table."""
+    report = reports(spark)[name]
+    own = "key, name, node, twin, start, words, n_words, spans, items, score, lang_pred, piece, length, n_tokens, base, weak, marks, a, b".split(", ")
+    rows = [(None, "the words of a text without an id"), (None, None), (None, None), (5, "abc def"), (5, "abc def"), (6, ""), (7, None), (8, "x" * 50_000)]
+    df = spark.createDataFrame([(*r, "xx", *["x"] * len(own)) for r in rows], f"doc_id long, text string, lang string, {', '.join(f'{n} string' for n in own)}")
+    got = report(df).collect()
+    per_row = [x for x in got if name != "packing" or x["piece"] == 0]
+    assert sorted(str(x["doc_id"]) for x in per_row) == sorted(str(r[0]) for r in rows)
+    own_row = lambda x: tuple(v for k, v in x.asDict().items() if k not in ("sequence_id", "offset"))
+    assert len({own_row(x) for x in per_row if x["doc_id"] == 5}) == 1
+    assert report(df.limit(0)).count() == 0
+    strings = report(df.withColumn("doc_id", df["doc_id"].cast("string")))
+    assert sorted(str(x["doc_id"]) for x in strings.collect()) == sorted(str(x["doc_id"]) for x in got)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) >= 100")
+    held = language.language_report(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(held) > 150
+    assert sum(x["lang"] == x["lang_pred"] for x in held) >= 0.97 * len(held)
+
+
+def test_pipeline_stages_by_brute_force(spark, sf, library):
+    """Each stage on what its predecessor kept; a plain reading of its rule gives the rows that it must keep."""
     import corpus_pipeline
 
+    stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    left = docs
+    rows = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    held, out = docs, {}
     for name, stage in corpus_pipeline.STAGES[:4]:
-        out = stage(spark, left, sf).cache()
-        assert out.columns == docs.columns
-        assert 0 < out.count() <= left.count(), name
-        left = out
-    rows = corpus_pipeline.run(spark, sf)
-    assert {r[0] for r in rows.select("doc_id").distinct().collect()} == {r[0] for r in left.select("doc_id").collect()}
-    extra = docs.selectExpr("*", "'x' AS key", "1 AS score", "'y' AS items", "2 AS marks")
+        out[name] = stage(spark, held, sf)
+        assert out[name].columns == docs.columns
+        held = out[name].checkpoint()
+        out[name] = (rows(held), held)
+
+    model, given = language.train(docs.select("doc_id", "text", "lang")), rows(docs)
+    seen, seen_df = out["language_id"]
+    assert seen == {i: t for i, t in given.items() if model.predict(t)[2] and model.predict(t)[1] >= corpus_pipeline.LEAST_SCORE}
+
+    ids = sorted(seen)
+    first = {ids[c] for _, c in brute_components([seen[i] for i in ids], 5, 80, 100).values()}
+    distinct, _ = out["near_duplicates"]
+    assert distinct == {i: seen[i] for i in first}
+
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = low(r["text"])
+        m = min(10, len(w))
+        windows |= {tuple(w[i : i + m]) for i in range(len(w) - m + 1 if m else 0)}
+    sizes = {len(w) for w in windows}
+    leaked = lambda w: any(tuple(w[i : i + m]) in windows for m in sizes for i in range(len(w) - m + 1))
+    clean, clean_df = out["decontamination"]
+    assert clean == {i: t for i, t in distinct.items() if not leaked(low(t))}
+
+    from tidelog.llm import pii
+
+    masked, masked_df = out["personal_data"]
+    assert masked.keys() == clean.keys()
+    for r in pii.pii_report(clean_df).collect():
+        at, want = 0, ""
+        for kind, a, b in sorted((s.split(":") for s in filter(None, r["spans"].split(","))), key=lambda s: (int(s[1]), pii.KINDS.index(s[0]))):
+            if int(a) >= at:
+                want += clean[r["doc_id"]][at : int(a)] + f"[{kind.upper()}]"
+            at = max(at, int(b))
+        assert masked[r["doc_id"]] == want + (clean[r["doc_id"]] or "")[at:]
+    assert all(r["n_chars"] == len(r["text"]) for r in masked_df.collect())
+
+    packed = defaultdict(list)
+    for r in stages["best_fit_packing"](spark, masked_df, sf).collect():
+        packed[r["doc_id"]].append(r)
+    assert packed.keys() == masked.keys()
+    for i, pieces in packed.items():
+        tokens = np.array([*library.encode(masked[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert sum(p["length"] for p in pieces) == len(tokens)
+        for p in pieces:
+            assert zlib.crc32(tokens[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
+    assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == len(masked)
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf):
+    """Nulls in any column, empty and repeated rows, columns with the operators' own names, an empty table."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = "key, score, items, marks, spans, lang_pred, name, node, _id, _key".split(", ")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "the text of the a and to of", None, None, None), (10**9, "", "en", "s", 0), (10**9, "", "en", "s", 0)], docs.schema)
+    held = docs.unionByName(docs.limit(3)).unionByName(odd).selectExpr("*", *(f"'x' AS {n}" for n in names))
     for _, stage in corpus_pipeline.STAGES[:4]:
-        extra = stage(spark, extra, sf)
-    assert extra.columns == [*docs.columns, "key", "score", "items", "marks"]
-    assert extra.where("key = 'x' and score = 1 and items = 'y' and marks = 2").count() == extra.count() > 0
+        held = stage(spark, held, sf)
+        assert held.columns == [*docs.columns, *names]
+        held = held.checkpoint()
+        assert held.where(" AND ".join(f"{n} = 'x'" for n in names)).count() == held.count() > 0
+    assert held.where("doc_id is not null").count() == held.select("doc_id").distinct().where("doc_id is not null").count()
+    assert corpus_pipeline.STAGES[4][1](spark, held, sf).count() >= held.count()
+    held = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        held = stage(spark, held, sf)
+    assert held.count() == 0
+
+
+def test_texts_of_an_unlearned_language_are_rejected(spark):
+    import corpus_pipeline
 
+    r = random.Random(6)
+    pieces = {"xx": ["ka", "to", "mi", "ra"], "yy": ["schl", "ung", "keit", "ver"], "zz": ["eau", "oi", "ç", "ent"], "vv": ["the", "ing", "whs", "ly"]}
+    made = lambda p: " ".join("".join(r.choice(p) for _ in range(r.randint(1, 4))) for _ in range(r.randint(20, 60)))
+    rows = [(i, made(pieces[lang]), lang) for i in range(1200) for lang in [r.choice(list(pieces))]]
+    rows += [(2000 + i, made(["жу", "шы", "ёк", "пц"]), None) for i in range(40)] + [(3000, "12 !?", None), (3001, None, None)]
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert len([i for i in range(1200) if i in kept]) >= 1190
+    assert len([i for i in range(2000, 2040) if i in kept]) <= 4
+    assert not kept & {3000, 3001}
 
-def test_substring_dedup(spark):
-    from tidelog.llm import repeats
 
-    r = random.Random(11)
-    pool = [" ".join(r.choice(["aa", "Bé", "cc", "dd"]) for _ in range(r.randint(1, 9))) + r.choice([".", "! ", ".\n", "\n", "?  "]) for _ in range(60)]
-    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(120)] + [None, "", "...", "x y " * 4000]
+def without_repeats(texts, least):
+    """Brute force: lines, and from each sentence the fewest with least words; all but the first of equal ones go."""
+    norm = lambda u: re.sub(r"[ \t\r\n]+", " ", u.lower()).strip(" ")
     seen, want = set(), {}
     for i, t in enumerate(texts):
-        kept, gone = "", []
-        for m in re.finditer(r"[^\n.!?]+[.!?]*[ \t\r\n]*|[\n.!?]+[ \t\r\n]*", t or ""):
-            p = re.sub(r"[ \t\r\n]+", " ", m.group().lower()).strip(" ")
-            if len(p.split(" ")) >= repeats.MIN_WORDS and p in seen:
-                gone.append(f"{m.start()}:{m.end()}")
-            else:
-                kept += m.group()
+        s = [(m.start(), m.end(), norm(m.group()), "\n" in m.group()) for m in re.finditer(r"[^\n.!?]+[.!?]*[ \t\r\n]*|[\n.!?]+[ \t\r\n]*", t or "")]
+        s = [x for x in s if x[2]]
+        units, line = set(), 0
+        for k, x in enumerate(s):
+            if x[3] or k == len(s) - 1:
+                units.add((line, k))
+                line = k + 1
+            n = 0
+            for e in range(k, len(s)):
+                n += len(s[e][2].split(" "))
+                if n >= least:
+                    units.add((k, e))
+                    break
+        gone = set()
+        for a, b in sorted(units):
+            p = tuple(x[2] for x in s[a : b + 1])
+            if sum(len(x.split(" ")) for x in p) >= least:
+                if p in seen:
+                    gone.update(range(s[a][0], s[b][1]))
                 seen.add(p)
-        want[i] = (len(gone), ",".join(gone), kept if t is not None else None)
-    df = docs_of(spark, texts)
-    got = repeats.without_repeats(df.unionByName(df.where("doc_id = 3")).repartition(4)).collect()
-    assert len(got) == len(texts) + 1
-    assert {x["doc_id"]: tuple(x)[1:] for x in got} == want
-    assert repeats.without_repeats(df.limit(0)).count() == 0
+        cuts = [c for c in sorted(gone) if c - 1 not in gone]
+        cuts = [(c, next(e for e in range(c, len(t) + 1) if e not in gone)) for c in cuts]
+        want[i] = (len(cuts), ",".join(f"{a}:{b}" for a, b in cuts), None if t is None else "".join(c for k, c in enumerate(t) if k not in gone))
+    return want
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("least", [1, 4, 15])
+def test_substring_dedup(spark, least):
     from tidelog.llm import repeats
 
-    r = random.Random(12)
+    r = random.Random(11)
     pool = [" ".join(r.choice(["aa", "Bé", "cc", "dd"]) for _ in range(r.randint(1, 9))) + r.choice([".", "! ", ".\n", "\n", "?  ", " \r\n\n ", "...\n"]) for _ in range(60)]
     texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(120)]
-    texts += [None, "", "...", "\n---\n---\n", " \nles.\n.\n.les", "LES.\nx", "Short one. Two! Three? So on.\ny", "z\nshort  one. two! Three? so on.", "x y " * 4000]
-    seen, want = set(), {}
-    norm = lambda u: re.sub(r"[ \t\r\n]+", " ", u.lower()).strip(" ")
-    for i, t in enumerate(texts):
-        kept, gone = "", []
-        for m in re.finditer(r"[^\n]*\n[ \t\r\n]*|[^\n]+", t or ""):
-            parts = [(x.group(), m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^\n.!?]+[.!?]*[ \t\r\n]*|[\n.!?]+[ \t\r\n]*", m.group())]
-            whole = norm(m.group())
-            if not re.search(r"\w", whole):
-                kept += m.group()
-            elif whole in seen:
-                gone.append(f"{m.start()}:{m.end()}")
-            else:
-                for u, start, end in parts:
-                    p = norm(u)
-                    if len(p.split(" ")) >= repeats.MIN_WORDS and p != whole and p in seen:
-                        gone.append(f"{start}:{end}")
-                    else:
-                        kept += u
-                        seen |= {p} if len(p.split(" ")) >= repeats.MIN_WORDS else set()
-                seen.add(whole)
-        want[i] = (len(gone), ",".join(gone), kept if t is not None else None)
-    df = docs_of(spark, texts)
-    got = repeats.without_repeats(df.unionByName(df.where("doc_id = 3")).repartition(4), repeats.lines_of).collect()
+    texts += [None, "", "...", "\n---\n---\n", " \nles.\n.\n.les", "\n\n  LES.\nx", "x y " * 4000, *texts[:5]]
+    df = docs_of(spark, texts).withColumnsRenamed({"n_words": "twin", "spans": "start", "items": "words", "lang": "u"})
+    got = repeats.without_repeats(df.unionByName(df.where("doc_id = 3")).repartition(4), least).collect()
     assert len(got) == len(texts) + 1
-    assert {x["doc_id"]: tuple(x)[1:] for x in got} == want
-    assert want[125][2] == "x" and want[127][2] == "z\n"
-    assert repeats.without_repeats(df.limit(0), repeats.lines_of).count() == 0
+    assert {x["doc_id"]: tuple(x)[1:] for x in got} == without_repeats(texts, least)
+    assert repeats.without_repeats(df.limit(0), least).count() == 0
+
+
+def test_substring_dedup_of_many_sentences_is_linear(spark):
+    import time
+
+    from tidelog.llm import repeats
+
+    def seconds(n):
+        text = "".join(f"This is sentence number {i} of a text that goes on. " for i in range(n))
+        df = docs_of(spark, [text, f"x. {text}"])
+        began = time.perf_counter()
+        assert [x["n_removed"] for x in repeats.without_repeats(df).sort("doc_id").collect()] == [0, 1]
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(32_000) < 4 * seconds(8_000) + 4
 
 
-def test_line_dedup_equals_duckdb(spark, sf):
+def test_substring_dedup_equals_duckdb(spark, sf):
     import duckdb
 
     from tidelog.llm.queries import QUERIES, SQL
 
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = c.sql(SQL["op7_line_dedup"])
-    assert sorted(map(tuple, QUERIES["op7_line_dedup"](spark, sf).select(want.columns).collect())) == sorted(want.fetchall())
+    want = c.sql(SQL["op7_substring_dedup"])
+    assert sorted(map(tuple, QUERIES["op7_substring_dedup"](spark, sf).select(want.columns).collect())) == sorted(want.fetchall())
 
 
 def test_components_of_long_paths(spark):
