@@ -1,4 +1,10 @@
-"""Cleaning and packing a corpus: language ID, near duplicates, benchmark passages, personal data, packing."""
+"""Cleaning and packing a corpus: language ID, near duplicates, benchmark passages, personal data, packing.
+
+Each stage takes the rows that its predecessor kept, with any further columns, also those named as an operator's own, and returns
+the same columns, but for the last. Null ids and labels stay as they are; rows with null, empty or wordless texts go in the first
+stage. Repeated rows, of one id and text, pass singly from the second stage on. Texts are handled whole, however long. An empty
+table passes through all stages.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, jaccard, language, packing, pii
-from tidelog.llm.common import fresh, stored, table
+from tidelog.llm.common import Scratch, fresh, table
 
-#: Score under which a prediction counts as a rejection: no language of the corpus fits.
-LEAST_SCORE = 0.3
+#: Score under which a prediction counts as a rejection, whatever the evidence: no language is likelier than the others together.
+LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without letters or of no learned language go."""
+    """Documents whose language is recognised; those without letters or of no learned language go, all where nothing can be learned."""
     model = language.train(docs.select("doc_id", "text", "lang"))
-    lang, score = fresh(docs.columns, "lang_pred", "score")
-    return language.predict(docs, model, (lang, score)).where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
+    score, known = fresh(docs.columns, "score", "known")
+    (lang,) = fresh([*docs.columns, score, known], "lang_pred")
+    return language.predict(docs, model, (lang, score, known)).where(F.col(known) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the documents; of the tables between them only the last is kept."""
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
