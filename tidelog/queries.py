@@ -11,8 +11,9 @@ from .functions.columns import event_time, parse_segment_name, segment_name
 from .operators import frames as fr
 from .operators import ordering, reads, replication, retention
 from .plans.store import Log, Options
-from .session import shared_folder
+from .session import durable, shared_folder
 from .sources import codec, wal
+from .sources.files import Files
 from .sources.view import LogView, event_log
 
 SEGMENT = 65_536
@@ -247,12 +248,12 @@ def follow_available_now(spark, sf_dir):
     return drain(rows)
 
 
-def _store(spark: SparkSession, sf_dir: str, observe=None) -> Log:
+def _store(spark: SparkSession, sf_dir: str, observe=None, **options) -> Log:
     """A native log of the events, from two appends; observe(log) runs between them."""
     v = event_log(spark, sf_dir)
     a, b = _bounds(v)
     middle = a + (b - a) // 2 // v.batch_size * v.batch_size - 1
-    log = Log(spark, f"{shared_folder(spark)}/log-{uuid4().hex}", Options(batch_size=v.batch_size, max_segment_bytes=SEGMENT))
+    log = Log(spark, f"{shared_folder(spark)}/log-{uuid4().hex}", Options(batch_size=v.batch_size, max_segment_bytes=SEGMENT, **options))
     for rows in (v.events(last=middle), v.events(first=middle + 1)):
         if not rows.isEmpty():
             log.append(rows.select("lsn", "ts_ns", "key", "meta", "payload").withColumnRenamed("lsn", "at"), ["at"])
@@ -307,6 +308,46 @@ def store_rotate(spark, sf_dir):
     return log.read().groupBy(F.col("segment_lsn").alias("first_lsn")).agg(F.count(F.lit(1)).alias("events"))
 
 
+def store_open_segment(spark, sf_dir):
+    """The oldest sealed segment by itself; nothing where none is sealed."""
+    log = _store(spark, sf_dir)
+    sealed = [s["first_lsn"] for s in log.manifest.segments if s["sealed"]]
+    return _strings(log.open_segment(sealed[0])[0] if sealed else log.read().limit(0))
+
+
+def store_retention(spark, sf_dir):
+    """What a limit of three segments leaves to read."""
+    return _strings(_store(spark, sf_dir, max_segments=3).read())
+
+
+def store_rebuild(spark, sf_dir):
+    """A log whose manifests are all torn, opened again."""
+    log = _store(spark, sf_dir)
+    for v in log.manifests.versions():
+        log.files.write(f"{log.manifests.folder}/v{v:010d}.json", b"torn")
+    return _strings(Log(spark, log.root, log.options).read())
+
+
+def store_index_feed(spark, sf_dir):
+    """What an indexer gets at the commits of two appends."""
+    fed: list[DataFrame] = []
+    _store(spark, sf_dir, indexer=fed.append)
+    rows = fed[0].unionByName(fed[1]) if len(fed) > 1 else fed[0]
+    return rows.select("lsn", "ts_ns", *[F.col(c).cast("string").alias(c) for c in ("key", "meta")], "offset", "segment_lsn")
+
+
+def wal_segments(spark, sf_dir):
+    """A recovery scan of a file of frames for each segment, the last of which ends in ten torn bytes."""
+    folder = f"{shared_folder(spark)}/wal-{uuid4().hex}"
+    placed = durable(_placed(spark, sf_dir)).select("batch_no", F.col("first_lsn").alias("batch_first_lsn"), "segment_lsn")
+    rows = _log(spark, sf_dir).join(placed, "batch_no")
+    wal.write_segments(rows.select("lsn", "ts_ns", *[F.col(c).cast("binary").alias(c) for c in ("key", "meta", "payload")], "batch_first_lsn", "segment_lsn"), folder)
+    files = Files(spark)
+    last = f"{folder}/{files.names(folder)[-1]}"
+    files.write(last, files.read(last) + b"torn bytes")
+    return wal.read_segments(spark, folder).select("segment_lsn", "first_lsn", "last_lsn", "size", "file_size", "first_ts", "last_ts", "frames", "corrupted", "truncated")
+
+
 def wal_files(spark, sf_dir):
     """The log written as files of frames and read again, both by format("wal")."""
     wal.register(spark)
@@ -339,7 +380,8 @@ QUERIES = {
         *(delete_before, delete_older_than, retention_count, retention_size, compact_checkpoint, snapshot_read, import_overlap, import_distinct),
         *(replica_missing_segments, index_feed, index_lookup, live_index, latest_per_key, assign_lsn, drop_gaps, batch_too_large, recover_prefix),
         *(replay_skip_rest, stats, segment_names, wal_roundtrip, wal_roundtrip_compressed, frame_headers, follow_available_now),
-        *(store_append_read, store_segments, store_delete_before, store_snapshot, store_import, store_rotate, wal_files, follow_tidelog),
+        *(store_append_read, store_segments, store_delete_before, store_snapshot, store_import, store_rotate, store_open_segment, store_retention, store_rebuild, store_index_feed),
+        *(wal_files, wal_segments, follow_tidelog),
     )
 }
 
@@ -409,6 +451,11 @@ C(i, seg, full_at) AS (
   UNION ALL SELECT N.i, CASE WHEN full_at >= {SEGMENT} OR first_lsn = a + (b - a) // 2 // 100 * 100 THEN first_lsn ELSE seg END, CASE WHEN full_at >= {SEGMENT} OR first_lsn = a + (b - a) // 2 // 100 * 100 THEN 0 ELSE full_at END + size
   FROM C JOIN N ON N.i = C.i + 1, B)
 SELECT seg AS first_lsn, sum(cnt)::BIGINT AS events FROM C JOIN N USING (i) GROUP BY seg""",
+    "store_open_segment": f"{_TO_S} SELECT {_EVENTS} FROM L WHERE lsn <= (SELECT min(last_lsn) FROM S WHERE sealed)",
+    "store_retention": f"{_TO_S} SELECT {_EVENTS} FROM L WHERE lsn >= (SELECT min(first_lsn) FROM (SELECT first_lsn FROM S ORDER BY first_lsn DESC LIMIT 3))",
+    "store_rebuild": f"WITH {_L} SELECT {_EVENTS} FROM L",
+    "store_index_feed": f'{_TO_P} SELECT lsn, ts_ns, key, meta, "offset", segment_lsn FROM L JOIN P USING (batch_no)',
+    "wal_segments": f"{_TO_S}, M AS (SELECT max(first_lsn) AS m FROM S) SELECT first_lsn AS segment_lsn, first_lsn, last_lsn, size, size + CASE WHEN first_lsn = m THEN 10 ELSE 0 END AS file_size, first_ts, last_ts, frames, first_lsn = m AS corrupted, CASE WHEN first_lsn = m THEN 10 ELSE 0 END::BIGINT AS truncated FROM S, M",
     "wal_files": f"WITH {_L} SELECT {_EVENTS} FROM L",
     "follow_tidelog": f"WITH {_L}, {_B} SELECT {_EVENTS} FROM L, B WHERE lsn >= a + (b - a) // 3",
 }
