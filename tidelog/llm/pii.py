@@ -144,12 +144,14 @@ def pii_report(docs: DataFrame) -> DataFrame:
     rows, added = pii_spans(docs)
     base = F.concat(*[of_kind(F.col(f"_{k}"), k, i) for i, k in enumerate(KINDS)])
     found = attach(rows.select("doc_id", "key", base.alias("base")), added, "key")
+    found = found.withColumn("every", F.concat("base", F.coalesce("added", F.slice("base", 1, 0))))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id",
         *[n(k) for k in KINDS],
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
-        spans_text(F.concat("base", F.coalesce("added", F.slice("base", 1, 0)))).alias("spans"),
+        spans_text(F.col("every")).alias("spans"),
+        F.size("every").cast("long").alias("n_found"),
     )
 
 

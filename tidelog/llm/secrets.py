@@ -76,4 +76,5 @@ def secret_report(docs: DataFrame) -> DataFrame:
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_found"),
     )
