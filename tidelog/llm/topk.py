@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, shuffle_width
 
 #: Candidates and queries of one cell at most (on average, as they are dealt by hash).
-CELL_CANDIDATES, CELL_QUERIES = 16_384, 16_384
+CELL_CANDIDATES, CELL_QUERIES = 32_768, 65_536
 #: Candidates of one cell at least, where fewer cells would leave cores idle.
 LEAST_CANDIDATES = 2_048
 #: Share of the lists in the first block, growth of the blocks, and candidates (in k) that are few enough to resolve.
