@@ -169,27 +169,32 @@ def byte_tables() -> tuple[np.ndarray, np.ndarray]:
     return codes[: TABLED * 256], codes[TABLED * 256 :]
 
 
-def word_hashes(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, hash, second hash) of the words of data; separators: which byte values part words.
+def word_hashes(data: bytes, separators: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, hash, second hash) of the words of data; separators: which byte values part words; cuts: where, sorted, words also begin.
 
     Tabulation hashing: the sum over a word's bytes of random values by place and byte, so no structure of a word makes two
     words meet. Data is handled in slabs that end after a separator, so memory is bounded but for single longer words.
     """
     every, parts, at = np.frombuffer(data, np.uint8), [], 0
+    cuts = np.zeros(0, np.int64) if cuts is None else cuts
     while at < len(every) or not parts:
         end, cut = min(len(every), at + CHUNK_CHARS), ()
         while end < len(every) and not len(cut := np.flatnonzero(separators[every[at:end]])):
             end = min(len(every), 2 * end - at)
         if len(cut):
             end = at + int(cut[-1]) + 1
-        parts.append(hash_slab(data, every[at:end], at, separators))
+        mine = cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, end)] - at
+        parts.append(hash_slab(data, every[at:end], at, separators, mine))
         at = end
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def hash_slab(data: bytes, slab: np.ndarray, at: int, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(separators[slab], prepend=True, append=True))
-    begin, end = edge[::2], edge[1::2]
+def hash_slab(data: bytes, slab: np.ndarray, at: int, separators: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inside = ~separators[slab]
+    begins = inside & np.r_[True, ~inside[:-1]][: len(slab)]
+    begins[cuts] = inside[cuts]
+    begin = np.flatnonzero(begins)
+    end = np.flatnonzero(inside & np.r_[begins[1:] | ~inside[1:], True][: len(slab)]) + 1
     last = np.zeros(len(slab), np.int64)
     last[begin] = begin
     place = np.arange(len(slab)) - np.maximum.accumulate(last)

@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines and passages of all texts, in Spark expressions only.
+"""Substring dedup by hashing lines and passages of all texts.
 
 A text is cut into sentences that end after sentence marks or a line feed, with the white space that follows; they cover the text.
 Hashed units are its lines, whole, and in addition, as shared passages also sit inside lines, its passages: from each sentence on,
@@ -9,21 +9,28 @@ Of each digest the occurrence that ranks first (least doc_id, then place) counts
 removed, and its places in the original text kept. Each removed unit ranks behind an equal one, so each removed sentence has an
 equal one that stays.
 
+Cutting and hashing run over arrays of bytes in Arrow batches, the rest in Spark expressions.
+
 A null text counts as empty; a null id ranks before all others. Texts have any length. Rows with equal id and text are one
 document, so a repeated row loses nothing to its twin. Other columns, also those named as the operator's own, are not read. An
-empty table gives no rows.
+empty table gives no rows. Where a letter's lower case takes another number of bytes, that letter stays as it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .spans import sums_before, without
+from .common import Scratch, chunks, lean, splitmix, word_hashes
+from .spans import without
 
-SENTENCE = r"[^\n.!?]++[.!?]*+[ \t\r\n]*+|[\n.!?]++[ \t\r\n]*+"
 LEAST_WORDS = 15
+SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0D, 0x0A])
+MARKS = np.isin(np.arange(256), list(b".!?"))
+FEED = 0x0A
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -32,45 +39,107 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text, F.length(text)).alias("twin"), "text")
 
 
+def sentence_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a sentence starts at each byte; first: whether a text does.
+
+    A sentence is a run without marks and line feeds, the marks and then the white space behind it; one that begins with marks or
+    line feeds is all of these that follow and then the white space.
+    """
+    follows = lambda x: np.r_[False, x[:-1]] & ~first
+    feed, mark, space = data == FEED, MARKS[data], SPACES[data]
+    behind_mark, behind_space = follows(mark), follows(space)
+    # white space ends a sentence if it has a line feed or begins behind a mark
+    begins = space & ~behind_space
+    run = np.cumsum(begins) - 1
+    ends = behind_mark[begins]
+    ends[run[feed]] = True
+    ended = follows(space & np.r_[ends, False][run])
+    start = first | (~space & ((behind_mark & ~mark) | ended))
+    # marks behind a line feed go on with a sentence of marks and line feeds
+    stops = mark | feed
+    begins = stops & ~follows(stops)
+    run = np.cumsum(begins) - 1
+    inner = np.flatnonzero(start & mark & follows(feed))
+    runs = run[inner]
+    stays = ~start[begins][runs] & np.r_[True, runs[1:] != runs[:-1]][: len(runs)]
+    start[inner[~stays]] = False
+    return start
+
+
+def lowered(text: str) -> bytes:
+    """The lower case of a text's letters, byte for byte beside the text."""
+    data, low = text.encode(), text.lower().encode()
+    if len(data) == len(low) and np.array_equal(SPACES[np.frombuffer(data, np.uint8)], SPACES[np.frombuffer(low, np.uint8)]):
+        return low
+    return "".join(x if len((x := c.lower()).encode()) == len(c.encode()) else c for c in text).encode()
+
+
+def sequence_hashes(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of values[first : first + n] for each of first and n."""
+    out, order = np.zeros(len(first), np.uint64), np.argsort(-n, kind="stable")
+    first, left = first[order], n[order]
+    with np.errstate(over="ignore"):
+        sums, k = np.zeros(len(first), np.uint64), 0
+        live = len(first)
+        while live:
+            live = int(np.searchsorted(-left[:live], -k, "left"))  # those longer than k
+            sums[:live] += splitmix(values[first[:live] + k] ^ splitmix(np.array([k + 1], np.uint64) * STEP))
+            k += 1
+        out[order] = splitmix(sums + left.astype(np.uint64) * STEP)
+    return out
+
+
+def cut(texts: list[str], least_words: int) -> tuple[np.ndarray, ...]:
+    """(index of the text, start, end, a, b) of the lines and passages of texts."""
+    if not (held := [(i, t) for i, t in enumerate(texts) if t]):
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    data = [t.encode() for _, t in held]
+    whole = np.frombuffer(b"".join(data), np.uint8)
+    text_at = np.cumsum([0] + [len(d) for d in data])
+    first = np.zeros(len(whole), bool)
+    first[text_at[:-1]] = True
+    start = np.flatnonzero(sentence_starts(whole, first))
+    points = np.r_[0, np.cumsum((whole & 0xC0) != 0x80)]
+    begin, *hashes = word_hashes(b"".join(lowered(t) for _, t in held), SPACES, start)
+    # sentences with words
+    of = np.searchsorted(start, begin, "right") - 1
+    heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    words = np.diff(np.r_[heads, len(of)])
+    sums = [sequence_hashes(h, heads, words) for h in hashes]
+    own = of[heads]
+    s, e = start[own], np.r_[start[1:], len(whole)][own]
+    text = np.searchsorted(text_at, s, "right") - 1
+    feeds = np.r_[0, np.cumsum(whole == FEED)]
+    last = np.r_[text[1:] != text[:-1], True][: len(s)]
+    line_ends = np.flatnonzero((feeds[e] > feeds[s]) | last)
+    upto = np.cumsum(words)
+    before = upto - words
+    # lines, and from each sentence on the fewest that have enough words
+    line_begins = np.r_[0, line_ends[:-1] + 1][: len(line_ends)]
+    enough = upto[line_ends] - before[line_begins] >= least_words
+    reach = np.searchsorted(upto, before + least_words, "left")
+    of_text = np.flatnonzero(reach < len(s))
+    of_text = of_text[text[reach[of_text]] == text[of_text]]
+    a, b = np.r_[line_begins[enough], of_text], np.r_[line_ends[enough], reach[of_text]]
+    base = points[text_at[text[a]]]
+    indexes = np.array([i for i, _ in held], np.int64)
+    return indexes[text[a]], points[s[a]] - base, points[e[b]] - base, *(sequence_hashes(x, a, b - a + 1) for x in sums)
+
+
 def units_of(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, twin, start, end, a, b (digest) of each line and each passage."""
-    whole = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(SENTENCE), F.lit(0))
-    cut = keyed(docs).select("doc_id", "twin", whole.alias("u")).where(F.size("u") > 0)
-
-    def sentence(u: Column, start: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.lower(u), r"[ \t\r\n]+", " "))
-        words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
-        fields = {"start": start, "end": start + F.length(u), "words": words.cast("long"), "feed": F.contains(u, F.lit("\n")), "a": F.xxhash64(plain), "b": F.xxhash64(F.lit(7), plain)}
-        return F.struct(*[c.alias(k) for k, c in fields.items()])
-
-    starts = sums_before(F.transform("u", lambda u: F.length(u).cast("long")))
-    rows = cut.select("doc_id", "twin", F.zip_with("u", starts, sentence).alias("s"))
-    # only the first sentence can be white space alone, as the others begin behind it
-    rows = rows.select("doc_id", "twin", F.filter("s", lambda s: s["words"] > 0).alias("s")).where(F.size("s") > 0)
-    each = lambda k: F.transform("s", lambda s: s[k]).alias(k)
-    rows = rows.select("doc_id", "twin", *[each(k) for k in ("start", "end", "words", "feed", "a", "b")])
-    rows = rows.withColumn("before", sums_before(F.col("words")))
-
-    def unit(first: Column, n: Column) -> Column:
-        """n sentences from the first on (counted from 0)."""
-        digest = lambda c: F.xxhash64(F.transform(F.sequence(first, first + n - 1), lambda j: F.get(c, j)))
-        return F.struct(F.get("start", first).alias("start"), F.get("end", first + n - 1).alias("end"), digest("a").alias("a"), digest("b").alias("b"))
-
-    last = F.size("words") - 1
-    total = lambda first, end: F.get("before", end) + F.get("words", end) - F.get("before", first)
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: F.get("feed", i) | (i == last))
-    rows = rows.withColumn("ends", ends)
-    lines = F.transform("ends", lambda e, i: F.struct(F.when(i > 0, F.get("ends", i - 1) + 1).otherwise(0).alias("first"), e.alias("last")))
-    lines = F.transform(F.filter(lines, lambda x: total(x["first"], x["last"]) >= least_words), lambda x: unit(x["first"], x["last"] - x["first"] + 1))
-
-    def fewest(i: Column) -> Column:
-        """How many sentences it takes from i on; 0 if the text ends before."""
-        ahead = F.sequence(i, F.least(i + least_words - 1, last))
-        return F.array_position(F.transform(ahead, lambda j: total(i, j) >= least_words), True).cast("int")
-
-    taken = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("first"), fewest(i).alias("n")))
-    passages = F.transform(F.filter(taken, lambda x: x["n"] > 0), lambda x: unit(x["first"], x["n"]))
-    return rows.select("doc_id", "twin", F.explode(F.concat(lines, passages)).alias("x")).select("doc_id", "twin", "x.*")
+    """doc_id, twin, start, end, a, b (digest) of each line and each passage; some twice."""
+    lean(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            for x, y in chunks(texts):
+                at, *columns = cut(texts[x:y], least_words)
+                at = pa.array(at + x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c.astype(np.int64)) for c in columns)], names=["doc_id", "twin", "start", "end", "a", "b"])
+
+    return keyed(docs).mapInArrow(run, f"doc_id {kind}, twin long, start long, end long, a long, b long")
 
 
 def stretches(spans: DataFrame) -> DataFrame:
