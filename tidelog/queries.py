@@ -11,6 +11,8 @@ from .functions.columns import event_time, parse_segment_name, segment_name
 from .operators import frames as fr
 from .operators import ordering, reads, replication, retention
 from .plans.store import Log, Options
+from .schema import SEGMENT as SEGMENT_DDL
+from .schema import SEGMENT_FIELDS
 from .session import durable, shared_folder
 from .sources import codec, wal
 from .sources.files import Files
@@ -348,6 +350,18 @@ def wal_segments(spark, sf_dir):
     return wal.read_segments(spark, folder).select("segment_lsn", "first_lsn", "last_lsn", "size", "file_size", "first_ts", "last_ts", "frames", "corrupted", "truncated")
 
 
+def index_bytes(spark, sf_dir):
+    """The segments' sparse indexes as files have them, read again."""
+    return codec.decode_index(codec.encode_index(_placed(spark, sf_dir)))
+
+
+def manifest_bytes(spark, sf_dir):
+    """A manifest of the segments as files have it, read again; a row for each segment reaches the driver."""
+    rows = [r.asDict() | {"created_at": r["first_ts"]} for r in _segments(spark, sf_dir).orderBy("first_lsn").collect()]
+    entries, last = codec.read_manifest(codec.manifest_bytes(rows, rows[-1]["last_lsn"] if rows else 0))
+    return spark.createDataFrame([(*(e[f] for f in SEGMENT_FIELDS), last) for e in entries], f"{SEGMENT_DDL}, log_last_lsn long")
+
+
 def wal_files(spark, sf_dir):
     """The log written as files of frames and read again, both by format("wal")."""
     wal.register(spark)
@@ -381,7 +395,7 @@ QUERIES = {
         *(replica_missing_segments, index_feed, index_lookup, live_index, latest_per_key, assign_lsn, drop_gaps, batch_too_large, recover_prefix),
         *(replay_skip_rest, stats, segment_names, wal_roundtrip, wal_roundtrip_compressed, frame_headers, follow_available_now),
         *(store_append_read, store_segments, store_delete_before, store_snapshot, store_import, store_rotate, store_open_segment, store_retention, store_rebuild, store_index_feed),
-        *(wal_files, wal_segments, follow_tidelog),
+        *(wal_files, wal_segments, follow_tidelog, index_bytes, manifest_bytes),
     )
 }
 
@@ -456,6 +470,8 @@ SELECT seg AS first_lsn, sum(cnt)::BIGINT AS events FROM C JOIN N USING (i) GROU
     "store_rebuild": f"WITH {_L} SELECT {_EVENTS} FROM L",
     "store_index_feed": f'{_TO_P} SELECT lsn, ts_ns, key, meta, "offset", segment_lsn FROM L JOIN P USING (batch_no)',
     "wal_segments": f"{_TO_S}, M AS (SELECT max(first_lsn) AS m FROM S) SELECT first_lsn AS segment_lsn, first_lsn, last_lsn, size, size + CASE WHEN first_lsn = m THEN 10 ELSE 0 END AS file_size, first_ts, last_ts, frames, first_lsn = m AS corrupted, CASE WHEN first_lsn = m THEN 10 ELSE 0 END::BIGINT AS truncated FROM S, M",
+    "index_bytes": f'{_TO_P} SELECT segment_lsn, first_lsn, "offset", frame_ts FROM P',
+    "manifest_bytes": f"{_TO_S} SELECT first_lsn, last_lsn, size, first_ts AS created_at, first_ts, last_ts, sealed, (SELECT max(last_lsn) FROM S) AS log_last_lsn FROM S",
     "wal_files": f"WITH {_L} SELECT {_EVENTS} FROM L",
     "follow_tidelog": f"WITH {_L}, {_B} SELECT {_EVENTS} FROM L, B WHERE lsn >= a + (b - a) // 3",
 }

@@ -253,6 +253,33 @@ def encode_frames(log: DataFrame, key: str = "batch_first_lsn", codec: str | Non
     return batches.mapInArrow(run, f"`{key}` {kind}, first_lsn long, frame binary")
 
 
+INDEX = "segment_lsn long, first_lsn long, offset long, frame_ts long"
+
+
+def encode_index(placed: DataFrame) -> DataFrame:
+    """segment_lsn, index (binary): the sparse index of each segment's frames. A segment's size bounds their number."""
+    entry = F.struct("first_lsn", "offset", "frame_ts")
+    each = placed.groupBy("segment_lsn").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+
+    def run(rows):
+        for batch in rows:
+            data = [index_bytes([(e["first_lsn"], e["offset"], e["frame_ts"]) for e in entries.as_py()]) for entries in batch.column("entries")]
+            yield pa.RecordBatch.from_arrays([batch.column("segment_lsn"), pa.array(data, pa.binary())], names=["segment_lsn", "index"])
+
+    return each.mapInArrow(run, "segment_lsn long, index binary")
+
+
+def decode_index(indexes: DataFrame) -> DataFrame:
+    """A row for each entry of sparse indexes (segment_lsn, index); a bad one raises."""
+
+    def run(rows):
+        for batch in rows:
+            out = [(s, *e) for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in read_index(data)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["segment_lsn", "first_lsn", "offset", "frame_ts"])
+
+    return indexes.select("segment_lsn", "index").mapInArrow(run, INDEX)
+
+
 def verified(frames: list[bytes]) -> list[Header]:
     """Headers of whole frames, checksums computed together."""
     heads = [header_at(f, 0) for f in frames]
