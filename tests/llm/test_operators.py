@@ -163,6 +163,24 @@ def test_much_shared_signatures_leave_in_parts(monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_signatures_that_a_task_shares_leave_at_once(spark):
+    """More near copies in one task than LOCAL_HOT, and others of them in tasks with few."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    copies = lambda n: [" ".join([*base[:k], f"x{r.random()}", *base[k:]]) for k in (r.randint(0, 60) for _ in range(n))]
+    texts = [*copies(3 * jaccard.LOCAL_HOT), *mixed(8), *copies(30)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.similar_documents(docs_of(spark, texts).repartitionByRange(3, "doc_id")).collect()}
+    assert got == brute_components(texts, 4, 85, 100)
+    sig, node = np.array([9] * jaccard.LOCAL_HOT + [5, 9 << 40], np.uint64), np.arange(jaccard.LOCAL_HOT + 2, dtype=np.uint64)
+    kind = np.full(len(sig), 2 << 6 | 1, np.uint64)
+    stays, ((gid, members),) = jaccard.much_shared(sig, np.zeros(len(sig), np.uint64), node, kind)
+    assert (np.flatnonzero(stays).tolist(), len(members), kind[0] >> 6) == ([0, *range(jaccard.LOCAL_HOT, jaccard.LOCAL_HOT + 2)], jaccard.LOCAL_HOT, jaccard.MARK)
+    bucket = jaccard.Bucket(0)
+    assert not list(bucket.add(jaccard.packed((sig[stays], node[stays], kind[stays])))) and bucket.hot == {9}
+    assert list(bucket.add(jaccard.packed((sig[:1], node[5:6], kind[1:2])))) == []
+    assert [(g, m.tolist()) for g, m in bucket.groups()] == [(gid, [5 << 8 | 2 << 6 | 1])]
+
+
 def test_keep_one_tells_rows_of_one_id_apart(spark):
     text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     rows = [(1, text(0, 200)), (1, text(500, 700)), (1, text(500, 700)), (2, text(5, 205)), (3, ""), (3, ""), (None, None), (None, None), (None, text(3, 203)), (None, text(900, 999)), (None, text(900, 999))]

@@ -13,8 +13,9 @@ Linked sets thus share over SPARE signatures, so each may leave its SPARE larges
 filter). In a group, all are compared first with the member that shares most with others, as near copies of one text lie nearest
 to that text; then follow the pairs between those that still lie in several
 components, in blocks. Sizes and counts over the hash domain prove most pairs too different before their elements are read.
-Nothing is capped: large groups leave a task in parts, are compared in blocks that several tasks share, and cost a row for
-each member, not for each pair, where their members are near copies.
+Nothing is capped: a signature that much of a task's texts share leaves that task in parts and doesn't meet the rest of its rows in
+one place, large groups are compared in blocks that several tasks share, and cost a row for each member, not for each pair,
+where their members are near copies.
 
 Signatures name nodes by 48 bits; where two nodes have those in common, both stand for them and are compared with each other.
 
@@ -28,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache, reduce
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ SUMMARY = 128
 FLUSH = 12 << 20
 #: Rows of one bucket that a task holds at most, and rows of one signature that then leave in parts.
 HELD, HOT = 2_000_000, 16_384
+#: Rows of one signature among those that are passed on together that leave in parts at once; the spare that marks such a signature.
+LOCAL_HOT, MARK = 128, 3
 #: Members in a row that tells of a group or a part of one.
 PART = 4_096
 #: Comparisons of one set that a task makes, and members in a block of a group: more are dealt out.
@@ -189,6 +193,23 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def gid_of(bucket: int, sig: int) -> int:
+    """Names the group of a signature that leaves in parts; sig: its lower 40 bits."""
+    return int.from_bytes(blake2b(f"{bucket}:{sig}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def much_shared(sigs: np.ndarray, bucket: np.ndarray, node: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(which rows stay, (id of a group, members) of the much shared signatures); of each of those one row stays, as a mark in kind."""
+    stays, parts = np.ones(len(sigs), bool), []
+    values, counts = np.unique(sigs, return_counts=True)
+    for hot in values[counts >= LOCAL_HOT]:
+        at = np.flatnonzero(sigs == hot)
+        parts.append((gid_of(int(bucket[at[0]]), int(hot) & ((1 << 40) - 1)), np.unique(node[at] << np.uint64(8) | kind[at])))
+        stays[at[1:]] = False
+        kind[at[0]] = kind[at[0]] & np.uint64(63) | np.uint64(MARK << 6)
+    return stays, parts
+
+
 class Bucket:
     """The signatures of one bucket: groups of the nodes that share one. Rows of a much shared one leave in parts."""
 
@@ -196,7 +217,10 @@ class Bucket:
         self.number, self.rows, self.held, self.hot = number, [], 0, set()
 
     def add(self, blob: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
-        self.rows.append(unpacked(blob))
+        sig, node, kind = unpacked(blob)
+        marks = kind >> np.uint64(6) == MARK
+        self.hot.update(sig[marks].tolist())
+        self.rows.append([c[~marks] for c in (sig, node, kind)])
         self.held += len(blob) // WIDTH
         if self.held > HELD:
             yield from self.relieve()
@@ -224,7 +248,7 @@ class Bucket:
         self.held = max(0, len(sig) - HELD // 2)
 
     def gid(self, sig: int) -> int:
-        return int.from_bytes(blake2b(f"{self.number}:{sig}".encode(), digest_size=8).digest(), "little", signed=True)
+        return gid_of(self.number, sig)
 
     def groups(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(id of a group that leaves in parts, members)."""
@@ -274,11 +298,17 @@ def signature_groups(docs: DataFrame, size: int, windows: Windows) -> DataFrame:
             sizes = [len(h[0]) for h in held]
             node, kind = (np.repeat(np.array([h[i] for h in held], np.uint64), sizes) for i in (1, 2))
             bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
+            stays, parts = much_shared(sigs, bucket, node, kind)
+            order = np.flatnonzero(stays)
+            order = order[np.argsort(bucket[order], kind="stable")]
             rows, bucket = [c[order] for c in (sigs, node, kind)], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-            blobs = [packed(tuple(c[a:b] for c in rows)) for a, b in zip(cuts, np.r_[cuts[1:], len(sigs)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+            blobs = [packed(tuple(c[a:b] for c in rows)) for a, b in zip(cuts, np.r_[cuts[1:], len(order)], strict=True)]
+            numbers = bucket[cuts].astype(np.int32).tolist()
+            for gid, member in parts:  # by negative numbers, that deal them anywhere
+                blobs.append(gid.to_bytes(8, "little", signed=True) + lower(member, 7).tobytes())
+                numbers.append(-1 - crc32(blobs[-1]) % buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
     def sign(batches):
         held, total, done = [], 0, set()
@@ -315,6 +345,10 @@ def signature_groups(docs: DataFrame, size: int, windows: Windows) -> DataFrame:
 
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b < 0:
+                    take([(int.from_bytes(blob[:8], "little", signed=True), raised(np.frombuffer(blob, np.uint8, offset=8), 7))])
+                    yield from flush(4 << 20)
+                    continue
                 if bucket is None or b != bucket.number:
                     if bucket:
                         take(bucket.groups())
@@ -535,13 +569,13 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     rows = named.where("name is not null").join(heads.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key")
     rows = rows.unionByName(named.where("name is null and doc_id is not null").select("doc_id", "key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
     kept = Scratch(docs.sparkSession, "kept").keep(rows, "rows")
-    key, = fresh(docs.columns, "key")
+    key, its_id, its_key = fresh(docs.columns, "key", "its_id", "its_key")
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.withColumn(key, F.xxhash64(text, F.length(text)))
 
     def chosen(which: DataFrame) -> DataFrame:
-        which = which.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
-        return held.join(which, held["doc_id"].eqNullSafe(F.col("_kept_id")) & (held[key] == F.col("_kept_key")), "left_semi")
+        which = which.select(F.col("doc_id").alias(its_id), F.col("key").alias(its_key))
+        return held.join(which, held["doc_id"].eqNullSafe(F.col(its_id)) & (held[key] == F.col(its_key)), "left_semi")
 
     out = [chosen(kept.where("times = 1")).select(docs.columns)]
     if not (more := kept.where("times > 1")).isEmpty():
