@@ -7,7 +7,7 @@ shift is zero selects the patterns that end with it, a check of their first bloc
 Items are searched for in blocks of a stated number of words, so the tables of a worker have a bound whatever the benchmark's size
 (about 1.1 KB a word); each block is one pass over the documents, and a worker builds its tables once. After a few passes the
 documents are written, so a task never holds the tables of more. Null texts have no words, and texts are searched whole. Items
-without words are never found. Repeated rows of documents give a row each; repeated items count once; null ids of documents stay
+without words are never found. Repeated rows of documents give a row each; repeated items count once; null ids and other columns stay
 as they are. An empty benchmark finds nothing, an empty table gives no rows.
 """
 

@@ -34,7 +34,7 @@ CALIBRATION_SHARE = 5
 ALPHA, BETA, L1, L2, PASSES, STEP = 0.5, 1.0, 0.02, 0.5, 4, 32
 UNKNOWN = "und"
 #: A text is recognised with this share of the evidence that all but a hundredth of the calibration's texts have.
-LEAST_EVIDENCE = 0.25
+LEAST_EVIDENCE = 0.2
 
 
 @cache
