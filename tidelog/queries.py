@@ -322,6 +322,34 @@ def store_retention(spark, sf_dir):
     return _strings(_store(spark, sf_dir, max_segments=3).read())
 
 
+def store_retention_bytes(spark, sf_dir):
+    """What a limit of 200,000 bytes leaves to read."""
+    return _strings(_store(spark, sf_dir, retention_bytes=200_000).read())
+
+
+def store_delete_older_than(spark, sf_dir):
+    """What a deletion by time, half through the segments, leaves to read."""
+    log = _store(spark, sf_dir)
+    stamps = [s["last_ts"] for s in log.manifest.segments]
+    log.delete_older_than((min(stamps) + max(stamps)) // 2)
+    return _strings(log.read())
+
+
+def store_compact(spark, sf_dir):
+    """What a snapshot's compaction, with a checkpoint in the middle, leaves to read."""
+    log = _store(spark, sf_dir)
+    first, last = log.manifest.first_lsn, log.manifest.last_lsn
+    with log.snapshot() as snap:
+        snap.checkpoint(first + (last - first) // 2)
+        snap.compact()
+    return _strings(log.read())
+
+
+def store_stats(spark, sf_dir):
+    """The counters and gauges that two appends leave."""
+    return _store(spark, sf_dir).stats().select("events_written", "batches_written", "bytes_written", "rotation_count", "segment_count", "total_size", "first_lsn", "last_lsn")
+
+
 def store_rebuild(spark, sf_dir):
     """A log whose manifests are all torn, opened again."""
     log = _store(spark, sf_dir)
@@ -338,18 +366,38 @@ def store_index_feed(spark, sf_dir):
     return rows.select("lsn", "ts_ns", *[F.col(c).cast("string").alias(c) for c in ("key", "meta")], "offset", "segment_lsn")
 
 
-def wal_segments(spark, sf_dir):
-    """A recovery scan of a file of frames for each segment, the last of which ends in ten torn bytes."""
+def _wal_folder(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder with a file of frames for each segment, and the placed frames."""
     folder = f"{shared_folder(spark)}/wal-{uuid4().hex}"
-    placed = durable(_placed(spark, sf_dir)).select("batch_no", F.col("first_lsn").alias("batch_first_lsn"), "segment_lsn")
-    rows = _log(spark, sf_dir).join(placed, "batch_no")
+    placed = durable(_placed(spark, sf_dir))
+    rows = _log(spark, sf_dir).join(placed.select("batch_no", F.col("first_lsn").alias("batch_first_lsn"), "segment_lsn"), "batch_no")
     wal.write_segments(rows.select("lsn", "ts_ns", *[F.col(c).cast("binary").alias(c) for c in ("key", "meta", "payload")], "batch_first_lsn", "segment_lsn"), folder)
+    return folder, placed
+
+
+def wal_segments(spark, sf_dir):
+    """A recovery scan of a file of frames for each segment, the last of which ends in ten torn bytes."""
+    folder, _ = _wal_folder(spark, sf_dir)
     files = Files(spark)
     last = f"{folder}/{files.names(folder)[-1]}"
     files.write(last, files.read(last) + b"torn bytes")
     return wal.read_segments(spark, folder).select("segment_lsn", "first_lsn", "last_lsn", "size", "file_size", "first_ts", "last_ts", "frames", "corrupted", "truncated")
 
 
+def wal_skip_rest(spark, sf_dir):
+    """Files of frames, a byte of the first one's middle frame flipped: a replay leaves out the rest of that file only."""
+    folder, placed = _wal_folder(spark, sf_dir)
+    first = placed.where(F.col("segment_lsn") == placed.agg(F.min("segment_lsn")).first()[0])
+    low, high = first.agg(F.min("batch_no"), F.max("batch_no")).first()
+    at = first.where(F.col("batch_no") == (low + high) // 2).first()["offset"]
+    files = Files(spark)
+    path = f"{folder}/{files.names(folder)[0]}"
+    data = bytearray(files.read(path))
+    data[at + 40] ^= 1
+    files.write(path, bytes(data))
+    return _strings(wal.read_events(spark, folder))
+
+
 def index_bytes(spark, sf_dir):
     """The segments' sparse indexes as files have them, read again."""
     return codec.decode_index(codec.encode_index(_placed(spark, sf_dir)))
@@ -395,6 +443,7 @@ QUERIES = {
         *(replica_missing_segments, index_feed, index_lookup, live_index, latest_per_key, assign_lsn, drop_gaps, batch_too_large, recover_prefix),
         *(replay_skip_rest, stats, segment_names, wal_roundtrip, wal_roundtrip_compressed, frame_headers, follow_available_now),
         *(store_append_read, store_segments, store_delete_before, store_snapshot, store_import, store_rotate, store_open_segment, store_retention, store_rebuild, store_index_feed),
+        *(store_retention_bytes, store_delete_older_than, store_compact, store_stats, wal_skip_rest),
         *(wal_files, wal_segments, follow_tidelog, index_bytes, manifest_bytes),
     )
 }
@@ -472,6 +521,11 @@ SELECT seg AS first_lsn, sum(cnt)::BIGINT AS events FROM C JOIN N USING (i) GROU
     "wal_segments": f"{_TO_S}, M AS (SELECT max(first_lsn) AS m FROM S) SELECT first_lsn AS segment_lsn, first_lsn, last_lsn, size, size + CASE WHEN first_lsn = m THEN 10 ELSE 0 END AS file_size, first_ts, last_ts, frames, first_lsn = m AS corrupted, CASE WHEN first_lsn = m THEN 10 ELSE 0 END::BIGINT AS truncated FROM S, M",
     "index_bytes": f'{_TO_P} SELECT segment_lsn, first_lsn, "offset", frame_ts FROM P',
     "manifest_bytes": f"{_TO_S} SELECT first_lsn, last_lsn, size, first_ts AS created_at, first_ts, last_ts, sealed, (SELECT max(last_lsn) FROM S) AS log_last_lsn FROM S",
+    "store_retention_bytes": f"{_TO_S} SELECT {_EVENTS} FROM L WHERE lsn >= (SELECT min(first_lsn) FROM (SELECT first_lsn, sum(size) OVER (ORDER BY first_lsn DESC) AS rest, row_number() OVER (ORDER BY first_lsn DESC) AS n FROM S) WHERE rest <= 200000 OR n = 1)",
+    "store_delete_older_than": f"{_TO_S} SELECT {_EVENTS} FROM L WHERE lsn >= (SELECT min(first_lsn) FROM S WHERE NOT ({_FREE} AND sealed AND last_ts < (SELECT (min(last_ts)::HUGEINT + max(last_ts)) // 2 FROM S)))",
+    "store_compact": f"{_TO_S} SELECT {_EVENTS} FROM L WHERE lsn >= (SELECT min(first_lsn) FROM S WHERE NOT ({_FREE} AND sealed AND last_lsn < {_MIDDLE.format(2)}))",
+    "store_stats": f"{_TO_S} SELECT * FROM (SELECT sum(cnt)::BIGINT AS events_written, count(*) AS batches_written, sum(size)::BIGINT AS bytes_written, min(first_lsn) AS first_lsn, max(last_lsn) AS last_lsn FROM F), (SELECT sum(sealed::INT)::BIGINT AS rotation_count, count(*) AS segment_count, sum(size)::BIGINT AS total_size FROM S)",
+    "wal_skip_rest": f"{_TO_P}, A AS (SELECT (min(batch_no) + max(batch_no)) // 2 AS bad, max(last_lsn) AS upto FROM P WHERE segment_lsn = (SELECT min(segment_lsn) FROM P)) SELECT {_EVENTS} FROM L, A WHERE batch_no < bad OR lsn > upto",
     "wal_files": f"WITH {_L} SELECT {_EVENTS} FROM L",
     "follow_tidelog": f"WITH {_L}, {_B} SELECT {_EVENTS} FROM L, B WHERE lsn >= a + (b - a) // 3",
 }
