@@ -75,18 +75,15 @@ def lowered(text: str) -> bytes:
 
 
 def sequence_hashes(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of values[first : first + n] for each of first and n."""
-    out, order = np.zeros(len(first), np.uint64), np.argsort(-n, kind="stable")
-    first, left = first[order], n[order]
+    """A hash of values[first : first + n] for each of first and n (1 or more)."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum(n)
+    place = np.arange(ends[-1]) - np.repeat(ends - n, n)
     with np.errstate(over="ignore"):
-        sums, k = np.zeros(len(first), np.uint64), 0
-        live = len(first)
-        while live:
-            live = int(np.searchsorted(-left[:live], -k, "left"))  # those longer than k
-            sums[:live] += splitmix(values[first[:live] + k] ^ splitmix(np.array([k + 1], np.uint64) * STEP))
-            k += 1
-        out[order] = splitmix(sums + left.astype(np.uint64) * STEP)
-    return out
+        salts = splitmix(np.arange(1, int(n.max()) + 1, dtype=np.uint64) * STEP)
+        each = splitmix(values[np.repeat(first, n) + place] ^ salts[place])
+        return splitmix(np.add.reduceat(each, ends - n) + n.astype(np.uint64) * STEP)
 
 
 def cut(texts: list[str], least_words: int) -> tuple[np.ndarray, ...]:
