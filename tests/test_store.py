@@ -359,3 +359,18 @@ def test_errors_of_writes_reach_observers(spark, tmp_path):
     with pytest.raises(errors.BatchTooLarge):
         Log(spark, f"file://{tmp_path}/log", Options(max_batch_bytes=50), seen).append(rows(spark, 5))
     assert "on_error" in {c for c, _ in seen.calls}
+
+
+def test_failed_writes_commit_nothing(spark, tmp_path):
+    class Broken(Files):
+        def create(self, uri, data):
+            raise OSError("no space")
+
+    log = Log(spark, f"file://{tmp_path}/log", Options(storage=Broken))
+    with pytest.raises(errors.CommitError, match="no space"):
+        log.append(rows(spark, 5))
+    whole = Log(spark, log.root)
+    assert whole.append(rows(spark, 3)) == 3
+    with pytest.raises(errors.WriterFailed):
+        whole._write(whole._fresh(), spark.range(3).selectExpr("id AS lsn"))
+    assert lsns(Log(spark, log.root).read()) == [1, 2, 3]

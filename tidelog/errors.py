@@ -58,7 +58,7 @@ class CommitConflict(LogError):
 
 
 class CommitError(LogError):
-    pass
+    """A manifest couldn't be written."""
 
 
 class SegmentNotFound(LogError):
@@ -74,4 +74,4 @@ class ImportInvalid(LogError):
 
 
 class WriterFailed(LogError):
-    pass
+    """Events couldn't be computed, placed or written; nothing is committed."""

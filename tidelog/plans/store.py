@@ -17,7 +17,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import BatchTooLarge, CommitConflict, EmptyBatch, ImportInvalid, LsnRangeError, ManifestError, SegmentNotFound
+from ..errors import BatchTooLarge, CommitConflict, CommitError, EmptyBatch, ImportInvalid, LogError, LsnRangeError, ManifestError, SegmentNotFound, WriterFailed
 from ..functions.columns import FRAME_BYTES, MOST_KEY_BYTES, MOST_META_BYTES, empty_to_null, null_to_empty
 from ..operators import frames as fr
 from ..operators import retention
@@ -190,11 +190,13 @@ class Log:
         """Places, writes and commits numbered events; observers are told of what goes wrong."""
         try:
             return self._placed(m, events, **how)
-        except CommitConflict:
+        except (CommitConflict, CommitError):
             raise  # told of by the commit
         except Exception as e:
             self.hooks.fire("on_error", e)
-            raise
+            if isinstance(e, LogError):
+                raise
+            raise WriterFailed(str(e)[:500]) from e
 
     def _placed(self, m: Manifest, events: DataFrame, sealed: bool = False, imported: bool = False, plain: Iterable[int] = ()) -> int:
         batches = durable(fr.frames(events, "batch_first_lsn"))
@@ -352,10 +354,12 @@ class Log:
             self._sync(m, now)
         try:
             self.manifest = self.manifests.commit(m)
-        except CommitConflict as e:
+        except Exception as e:
             self.unsynced = before
             self.hooks.fire("on_error", e)
-            raise
+            if isinstance(e, LogError):
+                raise
+            raise CommitError(str(e)[:500]) from e
 
     # --- reading
 
