@@ -73,11 +73,6 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    return Scratch(df.sparkSession, name).keep(df, "rows")
-
-
 def lean(spark: SparkSession) -> None:
     """Lets few rows at once go to Python workers, as texts may be long; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
