@@ -374,3 +374,39 @@ def test_failed_writes_commit_nothing(spark, tmp_path):
     with pytest.raises(errors.WriterFailed):
         whole._write(whole._fresh(), spark.range(3).selectExpr("id AS lsn"))
     assert lsns(Log(spark, log.root).read()) == [1, 2, 3]
+
+
+def test_files_are_imported_together(spark, sf, log, tmp_path, monkeypatch):
+    """Many segments are exported by one job and imported by one commit; files that begin at one number stay two segments."""
+    from tidelog import queries
+    from tidelog.plans.manifest import Manifests
+
+    log.append(rows(spark, 40), ["ts_ns"])
+    sealed = [s["first_lsn"] for s in log.manifest.segments if s["sealed"]]
+    paths = log.export_segments(sealed[::-1], f"{tmp_path}/wal", "zstd")
+    assert [int(p[-24:-4]) for p in paths] == sealed
+    assert log.export_segments([], f"{tmp_path}/wal") == []
+    with pytest.raises(errors.SegmentNotFound):
+        log.export_segments([sealed[0], 10**6], f"{tmp_path}/wal")
+    (tmp_path / f"{5:020d}.wal").write_bytes(codec.encode([codec.Record(0, None, None, b"again"), codec.Record(7, b"k", None, b"")], 1))
+    (tmp_path / f"{6:020d}.wal").write_bytes(codec.encode([codec.Record(0, None, None, b"bad")], 900)[:-1] + b"\0")
+    (tmp_path / f"{7:020d}.wal").write_bytes(b"")
+    seen = Seen()
+    replica = Log(spark, log.root + "-replica", Options(clock=Clock()), seen)
+    for wrong in ([], paths[:1] * 2, [*paths, f"{tmp_path}/{6:020d}.wal"], [*paths, f"{tmp_path}/{7:020d}.wal"], [*paths, f"{tmp_path}/{8:020d}.wal"]):
+        with pytest.raises(errors.ImportInvalid):
+            replica.import_segments(wrong, "zstd")
+    assert not replica.manifests.versions()
+    last = max(s["last_lsn"] for s in log.manifest.segments if s["sealed"])
+    assert replica.import_segments([f"{tmp_path}/{5:020d}.wal", *paths], "zstd") == last
+    assert [s["first_lsn"] for s in replica.manifest.segments] == [1, *sealed]
+    assert sorted(s["last_lsn"] for s in replica.manifest.segments)[0] == 2
+    assert lsns(replica.read()) == sorted([1, 2, *range(1, last + 1)])
+    assert sorted(a[:2] for c, a in seen.calls if c == "on_import") == sorted((s["first_lsn"], s["last_lsn"]) for s in replica.manifest.segments)
+    assert replica.stats().first()["import_bytes"] == sum(s["size"] for s in replica.manifest.segments)
+    commits, commit = [], Manifests.commit
+    monkeypatch.setattr(queries, "SEGMENT", 5_000)
+    monkeypatch.setattr(Manifests, "commit", lambda self, m: commits.append(len(m.segments)) or commit(self, m))
+    got = lsns(queries.store_import(spark, sf))
+    assert len(commits) == 3 and commits[2] > 3
+    assert got == list(range(1, len(got) + 1)) and len(got) > 500

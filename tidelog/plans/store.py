@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BatchTooLarge, CommitConflict, CommitError, EmptyBatch, ImportInvalid, LogError, LsnRangeError, ManifestError, SegmentNotFound, WriterFailed
@@ -186,10 +186,10 @@ class Log:
         held = Buffer(write, self._fresh().last_lsn + 1, max_batch_bytes=self.options.max_batch_bytes, on_drop=lambda n: self.hooks.fire("on_drop", n), **settings)
         return held
 
-    def _write(self, m: Manifest, events: DataFrame, **how) -> int:
+    def _write(self, m: Manifest, events: DataFrame, write: Callable[..., int] | None = None, **how) -> int:
         """Places, writes and commits numbered events; observers are told of what goes wrong."""
         try:
-            return self._placed(m, events, **how)
+            return (write or self._placed)(m, events, **how)
         except (CommitConflict, CommitError):
             raise  # told of by the commit
         except Exception as e:
@@ -198,28 +198,48 @@ class Log:
                 raise
             raise WriterFailed(str(e)[:500]) from e
 
-    def _placed(self, m: Manifest, events: DataFrame, sealed: bool = False, imported: bool = False, plain: Iterable[int] = ()) -> int:
-        batches = durable(fr.frames(events, "batch_first_lsn"))
+    def _head(self, batches: DataFrame) -> Row:
+        """Counts and bounds of the batches to write."""
         head = batches.agg(F.count(F.lit(1)).alias("batches"), F.sum("cnt").alias("events"), F.max("size").alias("largest"), F.sum("size").alias("bytes"), F.max("last_lsn").alias("last"), F.min("first_lsn").alias("first")).first()
         if not head["batches"]:
             raise EmptyBatch("no rows")
         if head["largest"] > self.options.max_batch_bytes:
             raise BatchTooLarge(f"{head['largest']} bytes in a batch")
+        return head
+
+    def _store(self, events: DataFrame, size: int, by: list[str]) -> str:
+        """Writes events, sorted, to files of each segment; the folder's name."""
+        folder = uuid4().hex
+        self.hooks.fire("before_write", size)
+        began = self.options.clock()
+        events.repartitionByRange(*by).sortWithinPartitions(*by).select(*[f.name for f in EVENT.fields], "segment").write.partitionBy("segment").parquet(f"{self.root}/data/{folder}")
+        self.hooks.fire("after_write", size, self.options.clock() - began)
+        return folder
+
+    @staticmethod
+    def _sorted(m: Manifest, last: int) -> None:
+        """Puts the entries in order: only the last one stays open, and none is empty."""
+        m.segments.sort(key=lambda s: s["first_lsn"])
+        for s in m.segments[:-1]:
+            s["sealed"] = True
+        m.segments = [s for s in m.segments if s["folders"]]
+        m.last_lsn = max(m.last_lsn, last)
+        m.first_lsn = min(s["first_lsn"] for s in m.segments)
+
+    def _placed(self, m: Manifest, events: DataFrame, imported: bool = False, plain: Iterable[int] = ()) -> int:
+        batches = durable(fr.frames(events, "batch_first_lsn"))
+        head = self._head(batches)
         if events.where((F.octet_length("key") > MOST_KEY_BYTES) | (F.octet_length("meta") > MOST_META_BYTES)).limit(1).count():
             raise BatchTooLarge("a key or meta is too long")
-        opened = None if sealed or not m.segments or m.segments[-1]["sealed"] else m.segments[-1]
+        opened = None if not m.segments or m.segments[-1]["sealed"] else m.segments[-1]
         if opened and self.options.max_segment_age_ns and self.options.clock() - opened["created_at"] >= self.options.max_segment_age_ns:
             opened["sealed"] = True
             opened = None
-        limit = 1 << 62 if sealed else self.options.max_segment_bytes
+        limit = self.options.max_segment_bytes
         batches = durable(fr.place(batches, limit, (opened["first_lsn"], opened["size"]) if opened else None))
         segment_of = batches.select("batch_first_lsn", "segment_lsn", F.col("segment_lsn").alias("segment"))
         events = events.drop("segment_lsn").join(segment_of, "batch_first_lsn")
-        folder = uuid4().hex
-        self.hooks.fire("before_write", head["bytes"])
-        began = self.options.clock()
-        events.repartitionByRange("lsn").sortWithinPartitions("lsn").select(*[f.name for f in EVENT.fields], "segment").write.partitionBy("segment").parquet(f"{self.root}/data/{folder}")
-        self.hooks.fire("after_write", head["bytes"], self.options.clock() - began)
+        folder = self._store(events, head["bytes"], ["lsn"])
         now = self.options.clock()
         rotations = []
         for s in self._segment_rows(batches):
@@ -228,20 +248,13 @@ class Log:
                 opened["folders"].append(f"{folder}/segment={s['first_lsn']}")
                 entry = opened
             else:
-                entry = s | {"created_at": s["first_ts"] if sealed else now, "folders": [f"{folder}/segment={s['first_lsn']}"], "sealed": False}
+                entry = s | {"created_at": now, "folders": [f"{folder}/segment={s['first_lsn']}"], "sealed": False}
                 m.segments.append(entry)
-            if sealed or entry["size"] >= limit:
+            if entry["size"] >= limit:
                 entry["sealed"] = True
-                if not sealed:
-                    rotations.append(entry)
-        m.segments.sort(key=lambda s: s["first_lsn"])
-        for s in m.segments[:-1]:
-            s["sealed"] = True
-        m.segments = [s for s in m.segments if s["folders"]]
-        m.last_lsn = max(m.last_lsn, head["last"])
-        m.first_lsn = min(s["first_lsn"] for s in m.segments)
-        written = {"events_written": head["events"], "batches_written": head["batches"]}
-        count = {"bytes_written": head["bytes"], "rotation_count": len(rotations)} | ({} if sealed else written)
+                rotations.append(entry)
+        self._sorted(m, head["last"])
+        count = {"bytes_written": head["bytes"], "rotation_count": len(rotations), "events_written": head["events"], "batches_written": head["batches"]}
         if imported:
             count |= {"import_batches": head["batches"], "import_bytes": head["bytes"]}
         elif self.options.compression:
@@ -252,11 +265,10 @@ class Log:
         self._commit(m, head["bytes"], head["batches"])
         for s in rotations:
             self.hooks.fire("on_rotation", dict(s))
-        if not sealed:
-            self.hooks.fire("after_append", head["first"], head["last"], head["events"])
+        self.hooks.fire("after_append", head["first"], head["last"], head["events"])
         if imported:
             self.hooks.fire("on_import", head["first"], head["last"], head["bytes"])
-        if self.options.indexer is not None and not sealed:
+        if self.options.indexer is not None:
             rows = events.select("lsn", "ts_ns", "key", "meta", "batch_first_lsn").join(batches.select("batch_first_lsn", "offset", "segment_lsn"), "batch_first_lsn").drop("batch_first_lsn")
             try:
                 self.options.indexer(rows)
@@ -264,6 +276,33 @@ class Log:
                 pass
         return head["last"]
 
+    def _taken_in(self, m: Manifest, events: DataFrame) -> int:
+        """Writes and commits the events of whole files, each file a sealed segment; files that begin at one number are written one after the other."""
+        batches = durable(fr.frames(events.withColumn("_batch", F.struct("file", "segment_lsn", "batch_first_lsn")), "_batch").select("*", "_batch.file", "_batch.segment_lsn"))
+        head = self._head(batches)
+        turns: list[dict[int, int]] = []
+        for r in batches.select("segment_lsn", "file").distinct().orderBy("segment_lsn", "file").collect():
+            turn = next((t for t in turns if r["segment_lsn"] not in t), None)
+            if turn is None:
+                turns.append(turn := {})
+            turn[r["segment_lsn"]] = r["file"]
+        entries = []
+        for turn in turns:
+            mine = lambda rows: rows
+            if len(turns) > 1:
+                files = F.broadcast(self.spark.createDataFrame([(f,) for f in turn.values()], "file int"))
+                mine = lambda rows, files=files: rows.join(files, "file", "left_semi")
+            found = self._segment_rows(mine(batches))
+            folder = self._store(mine(events).withColumn("segment", F.col("segment_lsn")), sum(s["size"] for s in found), ["segment_lsn", "lsn"])
+            entries += [s | {"created_at": s["first_ts"], "folders": [f"{folder}/segment={s['first_lsn']}"], "sealed": True} for s in found]
+        m.segments += entries
+        self._sorted(m, head["last"])
+        self._count(m, {"bytes_written": head["bytes"], "import_batches": head["batches"], "import_bytes": head["bytes"]})
+        self._commit(m, head["bytes"], head["batches"])
+        for s in entries:
+            self.hooks.fire("on_import", s["first_lsn"], s["last_lsn"], s["size"])
+        return head["last"]
+
     def _compressed(self, events: DataFrame) -> int:
         """Bytes that the records of compressed frames take: those that the codec makes smaller."""
         heads = codec.scan_frames(codec.encode_frames(events, "batch_first_lsn", self.options.compression).select("frame"))
@@ -404,21 +443,33 @@ class Log:
 
     def export_segment(self, first_lsn: int, folder: str, compression: str | None = None) -> str:
         """Writes a sealed segment as a file of binary frames; its path."""
-        events, _ = self.open_segment(first_lsn)
-        return wal.write_segments(events, folder, compression)[0]
+        return self.export_segments([first_lsn], folder, compression)[0]
+
+    def export_segments(self, first_lsns: list[int], folder: str, compression: str | None = None) -> list[str]:
+        """Writes sealed segments as files of binary frames, side by side; their paths in order of number."""
+        self.life.must_read()
+        sealed = {s["first_lsn"]: s for s in reversed(self.manifest.segments) if s["sealed"]}
+        if missing := [n for n in first_lsns if n not in sealed]:
+            raise SegmentNotFound(", ".join(map(str, missing[:10])))
+        paths = [f"{self.root}/data/{f}" for n in dict.fromkeys(first_lsns) for f in sealed[n]["folders"]]
+        return wal.write_segments(self.spark.read.schema(EVENT).parquet(*paths), folder, compression) if paths else []
 
     # --- imports
 
     def import_segment(self, path: str, compression: str | None = None) -> int:
         """Takes in a file of frames as a sealed segment with its own numbers; refused whole if a frame is bad."""
+        return self.import_segments([path], compression)
+
+    def import_segments(self, paths: list[str], compression: str | None = None) -> int:
+        """Takes in files of frames, each as a sealed segment with its own numbers, in one commit; all are refused if a frame is bad."""
         self.life.must_write()
+        if len(set(paths)) < max(1, len(paths)):
+            raise ImportInvalid("no file, or one named twice")
         try:
-            events = durable(wal.read_events(self.spark, path, on_corrupt="fail", compression=compression))
+            events = durable(wal.read_files(self.spark, paths, compression))
         except Exception as e:
             raise ImportInvalid(str(e)[:500]) from e
-        if events.isEmpty():
-            raise ImportInvalid("no frames")
-        return self._write(self._fresh(), events, sealed=True, imported=True)
+        return self._write(self._fresh(), events, self._taken_in)
 
     def import_batch(self, frame: bytes, compression: str | None = None) -> int:
         """Takes in one frame with its own numbers."""

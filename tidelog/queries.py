@@ -298,9 +298,9 @@ def store_import(spark, sf_dir):
     """Sealed segments, exported as files of compressed frames and imported by a replica."""
     log = _store(spark, sf_dir)
     replica = Log(spark, f"{log.root}-replica")
-    for s in log.manifest.segments:
-        if s["sealed"]:
-            replica.import_segment(log.export_segment(s["first_lsn"], f"{log.root}-files", "zstd"), "zstd")
+    sealed = [s["first_lsn"] for s in log.manifest.segments if s["sealed"]]
+    if sealed:
+        replica.import_segments(log.export_segments(sealed, f"{log.root}-files", "zstd"), "zstd")
     return _strings(replica.read())
 
 

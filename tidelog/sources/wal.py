@@ -53,7 +53,7 @@ def segment_of(segment: int, path: str, data: bytes) -> tuple:
     )
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, segment_lsn, content of segment files; other names are left out."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path)
     named = rows.select("path", parse_segment_name(F.element_at(F.split("path", "/"), -1)).alias("segment_lsn"), "content")
@@ -85,6 +85,24 @@ def read_events(spark: SparkSession, path: str, on_corrupt: str = "skip", compre
     return _each(_files(spark, path), lambda p, s, data: events_of(s, data, on_corrupt, compression), EVENTS)
 
 
+def read_files(spark: SparkSession, paths: list[str], compression: str | None = None) -> DataFrame:
+    """Events of many segment files, all of whose frames must be good. segment_lsn: the first number in the file, whatever its name; file: which one it is."""
+    found = _files(spark, paths)
+    named = sorted(r["path"] for r in found.select("path").collect())
+    if len(named) != len(paths):
+        raise ImportInvalid(f"{len(named)} segment files at {len(paths)} paths")
+    number = {p: i for i, p in enumerate(named)}
+
+    def make(path: str, _: int, data: bytes) -> Iterator[tuple]:
+        rows = list(events_of(0, data, "fail", compression))
+        if not rows:
+            raise ImportInvalid(f"no frames in {path}")
+        first = min(r[0] for r in rows)
+        return ((*r[:-1], first, number[path]) for r in rows)
+
+    return _each(found, make, f"{EVENTS}, file int")
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return _each(_files(spark, path), lambda p, s, data: frames_of(s, data), FRAMES)
 
