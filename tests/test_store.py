@@ -410,3 +410,19 @@ def test_files_are_imported_together(spark, sf, log, tmp_path, monkeypatch):
     got = lsns(queries.store_import(spark, sf))
     assert len(commits) == 3 and commits[2] > 3
     assert got == list(range(1, len(got) + 1)) and len(got) > 500
+
+
+def test_rebuilt_with_one_listing_of_each_folder(spark, log, monkeypatch):
+    for i in range(3):
+        log.append(rows(spark, 40, 40 * i), ["ts_ns"])
+    segments = [(s["first_lsn"], s["last_lsn"], sorted(s["folders"])) for s in log.manifest.segments]
+    assert len(segments) > 7 and max(len(f) for *_, f in segments) > 1
+    for v in log.manifests.versions():
+        log.files.write(f"{log.manifests.folder}/v{v:010d}.json", b"torn")
+    listed, names = [], Files.names
+    monkeypatch.setattr(Files, "names", lambda self, uri: listed.append(uri) or names(self, uri))
+    rebuilt = Log(spark, log.root, log.options)
+    assert [(s["first_lsn"], s["last_lsn"], sorted(s["folders"])) for s in rebuilt.manifest.segments] == segments
+    assert lsns(rebuilt.read()) == list(range(1, 121))
+    inside = [u for u in listed if "/data/" in u]
+    assert len(inside) == len(set(inside)) == 3

@@ -131,9 +131,12 @@ class Log:
         rows = self.spark.read.option("recursiveFileLookup", "true").schema(EVENT).parquet(*data)
         found = self._segment_rows(fr.frames(rows.withColumn("batch_no", F.struct("segment_lsn", "batch_first_lsn"))).withColumn("segment_lsn", F.col("batch_no.segment_lsn")))
         m = Manifest(segments=[], counters=dict.fromkeys(COUNTERS, 0))
+        folders: dict[str, list[str]] = {}
+        for d in data:
+            for n in self.files.names(d):
+                folders.setdefault(n, []).append(f"{d.rpartition('/')[2]}/{n}")
         for s in found:
-            folders = [f"{d.rpartition('/')[2]}/segment={s['first_lsn']}" for d in data if f"segment={s['first_lsn']}" in self.files.names(d)]
-            m.segments.append(s | {"sealed": True, "created_at": s["first_ts"], "folders": folders})
+            m.segments.append(s | {"sealed": True, "created_at": s["first_ts"], "folders": folders[f"segment={s['first_lsn']}"]})
         m.segments.sort(key=lambda s: s["first_lsn"])
         m.last_lsn = max(s["last_lsn"] for s in m.segments)
         return m
