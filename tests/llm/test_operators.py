@@ -319,6 +319,33 @@ def test_lists_are_read_in_part():
     assert np.median(depths) < 0.5
 
 
+def test_lists_are_read_for_many_queries_at_once(monkeypatch):
+    """A cell's queries take a bounded number of steps together; ties, repeated rows, bars and scores beyond 64 bits as by brute force."""
+    r = np.random.default_rng(4)
+    for scale, n in ((3, 700), (1 << 20, 700), (1 << 40, 150), (3, 7), (3, 1)):
+        matrix = r.integers(-scale, scale + 1, (n, 6))
+        if scale == 1 << 40:
+            matrix[:4], matrix[4:] = 1 << 36, -abs(matrix[4:]) - (1 << 34)
+        ids = r.permutation(np.r_[np.arange(n - n // 7), np.arange(n // 7)])
+        steps, bounds = [], topk.Lists.bounds
+        monkeypatch.setattr(topk.Lists, "bounds", lambda self, q, depth, bounds=bounds: steps.append(len(q)) or bounds(self, q, depth))
+        at = [int(np.flatnonzero(ids == q)[0]) for q in np.unique(ids)]
+        bars = np.where(np.array(at) % 3, 0.0, -np.inf)
+        got = topk.cell_top(ids[at], matrix[at], bars, ids, matrix, 10)
+        monkeypatch.setattr(topk.Lists, "bounds", bounds)
+        assert len(steps) <= 5 and steps[0] == len(at)
+        rows = defaultdict(list)
+        for q, c, x in zip(*got):
+            rows[q].append((-x, c))
+        for j, bar in zip(at, bars):
+            exact = [max(min(sum(int(a) * int(b) for a, b in zip(matrix[j], w)), 2**63 - 1), -(2**63)) for w in matrix]
+            want = sorted((-x, int(i)) for x, i in zip(exact, ids) if i != ids[j])[:10]
+            least = sorted(w for w in want if -w[0] >= bar)
+            assert sorted(rows[ids[j]])[: len(least)] == least
+            if bar < 0:
+                assert sorted(rows[ids[j]]) == want
+
+
 def test_decontamination(spark):
     r = random.Random(8)
     words = ["a", "b", "É1", "c", "Dd", "2"]

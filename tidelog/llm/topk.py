@@ -2,9 +2,11 @@
 
 Vectors become integers, floor(scale * x). Queries and candidates meet in the cells of a grid (fragment and replicate): each
 cell holds a bounded number of both. In a cell, each component is a list of candidates sorted by its contribution; lists are
-read in step from their best ends, in blocks that begin small and grow by a quarter. A candidate's lower bound takes the list's
-worst value for each list it wasn't yet met in, its upper bound the value last read there. After each block, reading stops when
-all but a few candidates have an upper bound under the k-th lower bound; the scores of the few are resolved.
+read in step from their best ends, to a twentieth first and then to thrice the depth before, for many queries at once. A
+candidate's lower bound takes the list's worst value for each list it wasn't yet met in, its upper bound the value last read
+there; at one depth these values are the same for all queries of one sign, so the bounds of all pairs are a matrix product. After
+each step, reading stops for the queries that leave only a few candidates whose upper bound reaches the k-th lower bound; the
+scores of the few are resolved.
 
 A query first visits one cell; its k-th score there is passed on to the other cells as a bar that outsiders must reach, so those
 mostly stop before they have k of their own. The cells' lists are merged by score, ties to the smaller id.
@@ -20,6 +22,7 @@ Other columns, also those named as the operator's own, are not read. An empty ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -33,8 +36,10 @@ from .common import Scratch, shuffle_width
 CELL_CANDIDATES, CELL_QUERIES = 32_768, 65_536
 #: Candidates of one cell at least, where fewer cells would leave cores idle.
 LEAST_CANDIDATES = 2_048
-#: Share of the lists in the first block, growth of the blocks, and candidates (in k) that are few enough to resolve.
-FIRST_BLOCK, BLOCK_GROWTH, FEW = 64, 1.25, 4
+#: The first depth, as a part of the lists, its growth from step to step, and candidates (in k) that are few enough to resolve.
+FIRST_DEPTH, DEPTH_GROWTH, FEW = 20, 3, 4
+#: Bounds that are held at once (queries x candidates), and values of candidates that they are made of (x dimensions).
+BOUND_ELEMENTS = 1 << 21
 MOST = (1 << 63) - 1
 RESULT = "query_id long, vec_id long, score long"
 
@@ -45,33 +50,54 @@ class Lists:
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids, self.matrix = ids, matrix
         self.table = matrix.astype(np.float64)
-        self.order = np.argsort(self.table, axis=0, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(self.table, self.order, 0)
-        self.largest = np.abs(self.table).max(0, initial=0)
+        self.values = np.sort(np.ascontiguousarray(self.table.T), axis=1)
+        self.largest = np.abs(self.values[:, [0, -1]]).max(1, initial=0) if len(ids) else np.zeros(matrix.shape[1])
+
+    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all scores, a row for each query, when every list is read to a depth from its best end.
+
+        A value was met if it is at least (at most, where the query is negative) the one last read. The upper bound takes the
+        last value read for others, the lower bound the list's worst.
+        """
+        n, d = self.table.shape
+        if depth >= n:
+            scores = queries @ self.table.T
+            return scores, scores
+        high, low, top, bottom = self.values[:, n - depth], self.values[:, depth - 1], self.values[:, -1], self.values[:, 0]
+        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], 1)
+        floor, ceiling = np.empty((len(queries), n)), np.empty((len(queries), n))
+        step = max(1, BOUND_ELEMENTS // (2 * d))
+        for i in range(0, n, step):
+            t = self.table[i : i + step]
+            ceiling[:, i : i + step] = signed @ np.concatenate([np.maximum(t, high), np.minimum(t, low)], 1).T
+            floor[:, i : i + step] = signed @ np.concatenate([np.where(t >= high, t, bottom), np.where(t <= low, t, top)], 1).T
+        return floor, ceiling
 
     def nra(self, query: np.ndarray, own: np.ndarray, k: int, bar: float = -np.inf) -> tuple[np.ndarray, float]:
         """(positions of the candidates that may be among the k best and reach the bar, share of the lists that was read)."""
-        n, d = self.table.shape
-        columns, up = np.arange(d), query >= 0
-        most = float(np.abs(query) @ self.largest)
-        slack = 0.0 if most < 2**53 else most * (d + 4) * 2.0**-50
-        worst = query * np.where(up, self.values[0], self.values[-1])
-        known, floor, unseen = np.zeros(n), np.full(n, worst.sum()), np.ones((n, d))
-        begin, block = 0, max(16.0, n / FIRST_BLOCK)
-        while True:
-            end = min(n, begin + int(block))
-            met = np.where(up, self.order[n - end : n - begin][::-1], self.order[begin:end])
-            gain = query * self.table[met, columns]
-            unseen[met, columns] = 0
-            known += np.bincount(met.ravel(), gain.ravel(), n)
-            floor += np.bincount(met.ravel(), (gain - worst).ravel(), n)
-            ceiling = known + unseen @ (query * np.where(up, self.values[n - end], self.values[end - 1]))
-            if n > k:
-                bar = max(bar, min(float(np.partition(np.where(own, -np.inf, floor), n - k)[n - k]), float(MOST)))
-            left = np.flatnonzero((ceiling + 2 * slack >= bar) & ~own)
-            if end == n or len(left) <= FEW * k:
-                return left, end / n
-            begin, block = end, block * BLOCK_GROWTH
+        return next(self.nra_of(query[None], [np.flatnonzero(own)], k, np.array([bar])))[1:]
+
+    def nra_of(self, queries: np.ndarray, own: list[np.ndarray], k: int, bars: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
+        """(number of the query, what nra returns for it) of many queries, those that stop first at the front. own: positions of each one's own rows."""
+        n = len(self.table)
+        most = np.abs(queries) @ self.largest
+        slack = np.where(most < 2**53, 0.0, most * (queries.shape[1] + 4) * 2.0**-50)
+        step = max(1, BOUND_ELEMENTS // n)
+        for i in range(0, len(queries), step):
+            open_ = np.arange(i, min(len(queries), i + step))
+            bar, depth = bars[open_].copy(), min(n, max(16, n // FIRST_DEPTH))
+            while len(open_):
+                floor, ceiling = self.bounds(queries[open_], depth)
+                mine = np.repeat(np.arange(len(open_)), [len(own[q]) for q in open_]), np.concatenate([own[q] for q in open_])
+                if n > k:
+                    floor[mine] = -np.inf
+                    bar = np.maximum(bar, np.minimum(np.partition(floor, n - k, axis=1)[:, n - k], float(MOST)))
+                left = ceiling >= (np.where(bar <= -MOST, -np.inf, bar) - 2 * slack[open_])[:, None]
+                left[mine] = False
+                done = np.ones(len(open_), bool) if depth == n else np.count_nonzero(left, axis=1) <= FEW * k
+                for j in np.flatnonzero(done).tolist():
+                    yield int(open_[j]), np.flatnonzero(left[j]), depth / n
+                open_, bar, depth = open_[~done], bar[~done], min(n, depth * DEPTH_GROWTH)
 
     def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Exact inner products, within 64 bits."""
@@ -85,9 +111,14 @@ def cell_top(query_ids: np.ndarray, queries: np.ndarray, bars: np.ndarray, ids:
     """(query id, candidate id, score) columns of each query's k best in a cell, of those that reach its bar."""
     out: list[list] = [[], [], []]
     lists = Lists(ids, matrix)
-    for q, v, bar in zip(query_ids, queries, bars, strict=True):
-        own = ids == q
-        left = lists.nra(v.astype(np.float64), own, k, bar)[0] if matrix.shape[1] else np.flatnonzero(~own)
+    at = np.argsort(ids, kind="stable")
+    own = [at[a:b] for a, b in zip(np.searchsorted(ids[at], query_ids, "left"), np.searchsorted(ids[at], query_ids, "right"), strict=True)]
+    if not matrix.shape[1]:
+        found = ((i, np.setdiff1d(np.arange(len(ids)), x), 1.0) for i, x in enumerate(own))
+    else:
+        found = lists.nra_of(queries.astype(np.float64), own, k, bars)
+    for i, left, _ in found:
+        q, v = query_ids[i], queries[i]
         scores = lists.scores(left, v)
         best = np.lexsort((ids[left], ~scores))[:k]
         out[0] += [int(q)] * len(best)
