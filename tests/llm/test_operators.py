@@ -1,15 +1,17 @@
 """Each operator against a brute-force reading of its definition, with nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidelog.llm import chat, decontam, jaccard, language, packing, tokens, topk
+from tidelog.llm import chat, common, decontam, jaccard, language, packing, tokens, topk
 
 DOCS = "doc_id long, text string, n_words long, spans string, items string, lang_pred string, score double, lang string"
 
@@ -105,6 +107,28 @@ def test_jaccard_signatures_lose_no_link():
                 assert any(len(x[w][1] & y[w][1]) > max(x[w][0], y[w][0]) for w in x.keys() & y.keys())
 
 
+def test_a_worker_holds_signature_schemes_once():
+    """Each task gets its own copy of the windows; neither tasks nor sizes add to what a worker holds."""
+    sizes, held = range(1, 2 * jaccard.KNOWN), []
+    for _ in range(3):
+        windows = pickle.loads(pickle.dumps(jaccard.Windows(80, 100)))
+        for n in sizes:
+            for w, _ in windows.of(n):
+                windows.scheme(w)
+        held.append([f.cache_info().currsize for f in (jaccard.Windows.begin, jaccard.Windows.of, jaccard.Windows.scheme)])
+    assert held[0] == held[1] == held[2] and held[0][1] <= jaccard.KNOWN
+
+
+def test_binary_arrays_take_nothing_from_the_pool():
+    for values in ([], [b""], [b"ab", b"", b"c" * 70_000, bytes(3)] * 50):
+        want = pa.array(values, pa.binary())
+        before = pa.total_allocated_bytes()
+        got = common.binary_array(values)
+        assert pa.total_allocated_bytes() == before
+        got.validate(full=True)
+        assert got.equals(want)
+
+
 def test_jaccard_keeps_one_of_each_group(spark):
     texts = mixed(4)
     df = docs_of(spark, texts)

@@ -9,6 +9,7 @@ from hashlib import blake2b
 from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +108,14 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
+def binary_array(values: list[bytes]) -> pa.Array:
+    """values in buffers of their own size: what an Arrow builder outgrows stays with the worker, in Arrow's pool."""
+    ends = np.cumsum([0, *map(len, values)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        return pa.array(values, pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(values))])
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix (Steele et al.), elementwise on uint64."""
     with np.errstate(over="ignore"):

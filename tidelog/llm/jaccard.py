@@ -27,8 +27,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache, lru_cache, reduce
 from hashlib import blake2b
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, fresh, lean, shuffle_width, splitmix, word_hashes
+from .common import Scratch, binary_array, chunks, fresh, lean, shuffle_width, splitmix, word_hashes
 from .graph import components
 
 #: Growth of the size bands.
@@ -47,6 +48,8 @@ SPARE = 2
 SLACK = 0.02
 #: Counts in the summary that bounds an overlap from above.
 SUMMARY = 128
+#: Sizes whose bands a worker remembers.
+KNOWN = 4_096
 #: Bytes of signatures that a task holds before it passes them on.
 FLUSH = 12 << 20
 #: Rows of one bucket that a task holds at most, and rows of one signature that then leave in parts.
@@ -93,13 +96,16 @@ def name_of(s: np.ndarray, t: np.ndarray) -> bytes:
         return splitmix(sums ^ splitmix(sums[::-1] + np.uint64(len(s)))).tobytes()
 
 
-class Windows:
-    """Size bands and their signature schemes for similarity num / den."""
+class Windows(NamedTuple):
+    """Size bands and their signature schemes for similarity num / den.
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    A value, as each task gets a copy of its own: a worker that runs many tasks holds the schemes once.
+    """
+
+    num: int
+    den: int
 
-    @cache  # noqa: B019
+    @cache
     def begin(self, w: int) -> int:
         return 1 if w == 0 else max(self.begin(w - 1) + 1, int(self.begin(w - 1) * GROWTH))
 
@@ -108,7 +114,7 @@ class Windows:
         largest = min(self.begin(w + 1) - 1, n * self.den // self.num)
         return (n + largest) * (self.den - self.num) // (self.den + self.num) if largest >= self.begin(w) else -1
 
-    @cache  # noqa: B019
+    @lru_cache(KNOWN)
     def of(self, n: int) -> list[tuple[int, int]]:
         """(band, distance) of bands in which a set of size n may have a partner that differs from it."""
         w = 0
@@ -120,7 +126,7 @@ class Windows:
             w += 1
         return [x for x in out if x[1]]
 
-    @cache  # noqa: B019
+    @cache
     def scheme(self, w: int) -> tuple[np.ndarray, np.ndarray]:
         """(bounds of the thirds, tag of each signature)."""
         most = self.distance(self.begin(w + 1) - 1, w)
@@ -308,7 +314,7 @@ def signature_groups(docs: DataFrame, size: int, windows: Windows) -> DataFrame:
             for gid, member in parts:  # by negative numbers, that deal them anywhere
                 blobs.append(gid.to_bytes(8, "little", signed=True) + lower(member, 7).tobytes())
                 numbers.append(-1 - crc32(blobs[-1]) % buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), binary_array(blobs)], names=["bucket", "rows"])
 
     def sign(batches):
         held, total, done = [], 0, set()
@@ -326,7 +332,7 @@ def signature_groups(docs: DataFrame, size: int, windows: Windows) -> DataFrame:
 
     def told(out: Counter) -> pa.RecordBatch:
         keys = list(out)
-        columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), pa.array([len(k[1]) // 7 for k in keys], pa.int64()), pa.array(list(out.values()), pa.int64())]
+        columns = [pa.array([k[0] for k in keys], pa.int64()), binary_array([k[1] for k in keys]), pa.array([len(k[1]) // 7 for k in keys], pa.int64()), pa.array(list(out.values()), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["gid", "members", "size", "times"])
 
     def group(batches):
@@ -419,7 +425,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for _, s, _ in shingle_sets(batch.column(1).to_pylist(), size):
                 for c, v in zip(out, (len(s), s.tobytes(), summary_of(s)), strict=True):
                     c.append(v)
-            columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True))]
+            columns = [batch.column(0), pa.array(out[0], pa.int64()), binary_array(out[1]), binary_array(out[2])]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "elements", "summary"])
 
     return held.mapInArrow(run, "node long, n long, elements binary, summary binary")
@@ -535,17 +541,15 @@ def classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     met = members.select("node").distinct()
     sets = scratch.keep(sets_of(docs, nodes.join(met, "node").select("node", "doc_id", "key"), size), "sets")
     likely = scratch.keep(possible(pairs, sets, num, den).distinct(), "likely")
-    links = scratch.keep(linked(likely, sets, num, den), "links")
-    stars = components(links)
+    stars = components(linked(likely, sets, num, den))
     more = scratch.keep(other_pairs(members, stars, sets, num, den), "more")
     if not more.isEmpty():
-        further = scratch.keep(linked(more, sets, num, den), "further")
-        stars = components(stars.unionByName(further))
+        stars = components(stars.unionByName(linked(more, sets, num, den)))
     rooted = nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("head")
     least = rooted.groupBy("root").agg(head)
     ids = scratch.keep(rooted.select("name", "root").join(least, "root").select("name", F.col("head.doc_id").alias("component_id"), F.col("head.key").alias("head_key")), "ids")
-    scratch.drop("sets", "members", "pairs", "likely", "more", "further", "nodes")
+    scratch.drop("sets", "members", "pairs", "likely", "more", "nodes")
     return named, ids
 
 
